@@ -16,6 +16,8 @@ documents are packed each by itself; an empty table yields no rows.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import deque
@@ -24,13 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
+from auditloom.llm.bpe import WHITE, byte_letters
 from auditloom.llm.support import text_or_empty
 
 STRETCH = 256
-CACHE = 400_000
+CACHE = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -134,38 +139,86 @@ class Stream:
 
 
 class Encoder:
-    """Ids of the tokenizers library, with a bounded cache of runs without white space.
+    """Ids of the tokenizers library, with bounded caches.
 
-    The vocabulary's pattern never crosses white space, so a text's ids are those of its runs in turn.
+    The vocabulary's pattern never crosses white space, so a text's ids are those of its runs without white space, and a run's are those of
+    its pieces.  Pieces are normalised and spelled here and given to the library's model many in one call; every
+    piece ends in an id whose token ends a word, which tells the pieces' ids apart.  Runs that may hold a special token go to the library as they are.
+    The last id of a run that ends a sentence is kept with its top bit set.
     """
 
-    def __init__(self, path: str):
-        import re
-
-        from tokenizers import Tokenizer
+    TOP = 1 << 31
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.cache: dict[str, bytes] = {}
-        self.split = re.compile(r"[^\S\x1c-\x1f]+").split  # str.split() but for four separators that the vocabulary keeps
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        for tokenizer in (self.whole, self.model):
+            tokenizer.no_padding()
+            tokenizer.no_truncation()
+        self.runs: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.split = regex.compile(f"[{WHITE}]+").split
+        self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.marks = {t["content"][:2] for t in spec["added_tokens"]}
+        self.letters = byte_letters()
+        self.ends = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        letters = self.letters
+        for k in range(0, len(pieces), 4000):
+            part = pieces[k : k + 4000]
+            spelled = [p if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()]) for p in part]
+            ids = np.array(self.model.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data = ids.tobytes()
+            self.pieces.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _learn(self, missing: list[str]) -> None:
+        """Add runs to the cache."""
+        cut, marks, parts = self.cut, self.marks, []
+        for w in missing:
+            if w.isascii():
+                parts.append((w.lower(),) if w.isalpha() else None if any(m in w for m in marks) else cut(w.lower()))
+            else:
+                parts.append(None if any(m in w for m in marks) else cut(unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3").lower()))
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        self._learn_pieces(list({p for ps in parts if ps for p in ps}.difference(self.pieces)))
+        get, runs = self.pieces.__getitem__, self.runs
+        for w, ps in zip(missing, parts, strict=True):
+            if ps is None:
+                packed = np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                packed = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+            if w[-1] in ".!?" and packed:
+                packed = packed[:-1] + bytes((packed[-1] | 128,))
+            runs[w] = packed
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
         """Packed ids of each text, and the numbers of ids before the end of each sentence."""
         runs = [self.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        missing = list({w for run in runs for w in run if w not in cache})
-        for k in range(0, len(missing), 10_000):
-            part = missing[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.runs) > CACHE:
+            self.runs.clear()
+        self._learn([w for w in set().union(*runs).difference(self.runs) if w])
+        self.runs[""] = b""
+        get = self.runs.__getitem__
         for run in runs:
-            found = [cache[w] for w in run]
-            ends = np.fromiter(map(len, found), dtype=np.int64, count=len(found)).cumsum() // 4
-            stops = [k for k, w in enumerate(run) if w.endswith((".", "!", "?"))]
-            yield b"".join(found), ends[stops].tolist()
+            ids = np.frombuffer(b"".join(map(get, run)), dtype="<u4")
+            ends = (np.flatnonzero(ids & np.uint32(self.TOP)) + 1).tolist()
+            yield (ids & np.uint32(self.TOP - 1)).tobytes(), ends
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def load(path: str) -> Encoder:
+    """The encoder of a vocabulary file, once for each worker."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
+    return _loaded[path]
 
 
 def pack(docs: DataFrame, path: str, rules: PackingRules = PackingRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,7 +228,7 @@ def pack(docs: DataFrame, path: str, rules: PackingRules = PackingRules(), id_co
     end = np.array([rules.end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = load(path)
         stream = Stream(rules, TaskContext.get().partitionId() << 36)
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
