@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.support import materialize, shared_path
 
-FILE_BYTES = 16 << 20  # of payload in one archive, about; a file is read into memory whole
+FILE_BYTES = 4 << 20  # of payload in one archive, about; a file is read into memory whole
 DATE = "2020-01-01T00:00:00Z"
 HEADERS = "digest string, payload_bytes long"
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, content_length long, fields map<string,string>, block binary"
@@ -67,7 +67,8 @@ def write_archives(pages: DataFrame, decided: DataFrame, path: str, id_col: str
     total = decided.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
     files = max(1, ((total[0] or 0) + 1000 * (total[1] or 0)) // FILE_BYTES + 1)
     own = pages.select(pages[id_col].alias("page_id"), F.regexp_replace(F.coalesce(F.col(uri), F.lit("")), r"[\r\n]", "").alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
-    rows = own.join(decided, "page_id")
+    # Both sides are dealt to as many partitions as there will be files, so the join moves nothing again.
+    rows = own.repartition(int(files), "page_id").join(decided.repartition(int(files), "page_id"), "page_id")
     key, revisit = F.col("page_id"), F.col("refers_to").isNotNull()
     first = F.when(revisit, _id("revisit", key)).otherwise(_id("response", key))
     body = F.when(revisit, F.lit("")).otherwise(F.col("body"))
@@ -88,7 +89,7 @@ def write_archives(pages: DataFrame, decided: DataFrame, path: str, id_col: str
         [("WARC-Type", "metadata"), ("WARC-Record-ID", _id("metadata", key)), ("WARC-Date", DATE), ("WARC-Concurrent-To", _id("request", key)), ("Content-Type", "application/warc-fields")],
         F.concat(F.lit("page-id: "), key.cast("string"), F.lit("\r\npayload-bytes: "), F.col("payload_bytes").cast("string"), F.lit("\r\n")),
     )
-    records = rows.repartition(int(files), "page_id").select(F.explode(F.array(main, request, metadata)).alias("value"))
+    records = rows.select(F.explode(F.array(main, request, metadata)).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").text(path)
 
 
