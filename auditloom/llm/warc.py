@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,7 +91,7 @@ def write_archives(pages: DataFrame, decided: DataFrame, path: str, id_col: str
         F.concat(F.lit("page-id: "), key.cast("string"), F.lit("\r\npayload-bytes: "), F.col("payload_bytes").cast("string"), F.lit("\r\n")),
     )
     records = rows.select(F.explode(F.array(main, request, metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -113,6 +114,18 @@ def parse(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
         at += 4
 
 
+def inflate(data: pa.Buffer) -> memoryview:
+    """An archive's bytes, whether or not it is compressed; several gzip members may follow one another."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        return memoryview(data)
+    out, rest = [], memoryview(data)
+    while len(rest):
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(rest))
+        rest = memoryview(member.unused_data)
+    return memoryview(b"".join(out))
+
+
 def read_archives(spark, path: str, blocks: bool = True) -> DataFrame:
     """One row for each record of the archives in ``path``; without ``blocks`` the blocks of responses are not returned."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -123,7 +136,7 @@ def read_archives(spark, path: str, blocks: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for h, block in parse(memoryview(content.as_buffer())):
+                for h, block in parse(inflate(content.as_buffer())):
                     fields = None
                     if h.get("content-type") == "application/warc-fields":
                         fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in bytes(block).decode().split("\r\n") if x)]
