@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditloom.llm import bpe, exact_dedup, packing, quality, sharding, warc
+from auditloom.llm import bpe, exact_dedup, packing, pii, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_sharding": sharding.op2_sharding,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_packing": packing.op5_packing,
+        "op7_pii": pii.op7_pii,
         "op8_bpe": bpe.op8_bpe,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_warc": warc.op10_warc,
