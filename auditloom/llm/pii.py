@@ -147,17 +147,19 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, rules: DisclosureRules
     mentions = scanned.where(F.size("spans") > 0)
     beside = mentions.select("version", F.explode("context").alias("c")).select("version", "c.entity", "c.term").distinct()
     together = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= rules.min_support)
-    together = materialize(together, "pii-together")
     entities = mentions.select("version", F.explode(F.transform("spans", _entity)).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    texts = F.lit(float(max(scanned.select("version").distinct().count(), 1)))
+    information = F.log2(texts / F.col("df_entity"))
+    share = lambda df_term: F.when(information > 0, F.log2(texts * F.col("df_both") / (F.col(df_term) * F.col("df_entity"))) / information)
+    # The texts with a term beside any mention are a part of those with the term, so they bound its share from above; only terms that pass are counted.
+    near = beside.select("version", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_near"))
+    together = together.join(entities, "entity").join(near, "term").where(share("df_near") >= rules.generalise_at)
+    together = materialize(together.select("entity", "term", "df_both", "df_entity"), "pii-together")
     wanted = _small(materialize(together.select("term").distinct(), "pii-terms"), rules)
     body = text_or_empty(text)
     words = docs.select(F.xxhash64(body).alias("version"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(WORD), 0))).alias("term"))
     terms = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    texts = scanned.select("version").distinct().count()
-    information = F.log2(F.lit(float(max(texts, 1))) / F.col("df_entity"))
-    mutual = F.log2(F.lit(float(max(texts, 1))) * F.col("df_both") / (F.col("df_term") * F.col("df_entity")))
-    share = F.when(information > 0, mutual / information)
-    rated = together.join(entities, "entity").join(terms, "term").withColumn("share", share).where(F.col("share") >= rules.generalise_at)
+    rated = together.join(terms, "term").withColumn("share", share("df_term")).where(F.col("share") >= rules.generalise_at)
     return materialize(rated.select("entity", "term", "share", F.when(F.col("share") >= rules.remove_at, "remove").otherwise("generalise").alias("action")), "pii-disclosing")
 
 
