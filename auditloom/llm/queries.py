@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from auditloom.llm import bpe, exact_dedup, packing, pii, quality, sharding, warc
+from auditloom.llm import bpe, exact_dedup, jaccard_join, packing, pii, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": jaccard_join.op1_jaccard_join,
         "op2_sharding": sharding.op2_sharding,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_packing": packing.op5_packing,
