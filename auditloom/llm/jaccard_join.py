@@ -3,7 +3,7 @@
 A document's set holds the 64-bit hashes of its different ``n``-word shingles.  Documents with equal sets are one class.
 
 1. *Sketches.*  Each class keeps its ``SKETCH`` smallest hashes: a set of up to that size whole, a larger one as a uniform sample.  Two sets of similarity 0.8
-   whose sketches share fewer than ``LEAST`` hashes have a chance below 1e-16, and likewise for sharing none, so candidates are the pairs that share a sketch hash.
+   whose sketches share fewer than ``LEAST`` hashes have a chance of about 1e-12, and sharing none is rarer still, so candidates are the pairs that share a sketch hash.
 2. *Leaders.*  The smallest class with a hash leads that hash.  Pairs with a leader are tested first, as many as there are shared hashes.  Their components
    hold nearly all large groups of near copies.
 3. *Trees.*  Classes of one hash that are not yet in one component are joined block by block.  In a block a signature tree is built over the
@@ -32,7 +32,7 @@ from auditloom.llm.components import components
 from auditloom.llm.support import materialize, text_or_empty
 
 SKETCH = 48
-LEAST = 12
+LEAST = 16
 ENOUGH = 24
 HOT = 512  # components
 BLOCK = 512  # classes
@@ -88,19 +88,17 @@ def sketches(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """(doc_id, keys): the whole set of each row as packed 64-bit numbers; materialised."""
+    """(doc_id, keys): the whole set of each row; materialised."""
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in textscan.groups(batch.column(1)):
                 keys, offsets = shingle_sets(group, n)
-                data = keys.tobytes()
-                cuts = (8 * offsets).tolist()
-                packed = pa.array([data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.first, group.size), packed], names=["doc_id", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.first, group.size), lists], names=["doc_id", "keys"])
 
-    return materialize(source.mapInArrow(run, "doc_id long, keys binary"), "sets")
+    return materialize(source.mapInArrow(run, "doc_id long, keys array<long>"), "sets")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
@@ -109,21 +107,10 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str,
     if active.count() <= BROADCAST_ROWS:
         active = F.broadcast(active)
     rows = docs.select(F.col(id_col).alias("__key"), F.col(text).alias("__body")).join(active, F.col("__key") == F.col("__id"), "left_semi")
-    sets = full_sets(rows, n, "__key", "__body").dropDuplicates(["doc_id"])
-    left = sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("of_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
-                linked.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return materialize(met.mapInArrow(run, "a long, b long"), "verified")
+    sets = full_sets(rows, n, "__key", "__body")
+    met = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    met = met.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("sizes"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    return materialize(met.where(f"common > 0 and 100 * common >= {percent} * (sizes - common)").select("a", "b").distinct(), "verified")
 
 
 # -- signature trees ---------------------------------------------------------------------------------------------------
@@ -172,10 +159,9 @@ def tree_join(bits: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: i
             cb = np.tile(FAN * b[:, None] + grid, (1, FAN)).ravel()
             keep = (ca <= cb) & (ca < count) & (cb < count)
             a, b = ca[keep], cb[keep]
-    whole = bits.astype(np.float32)
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         xs, ys = slice(tree.starts[x], tree.starts[x + 1]), slice(tree.starts[y], tree.starts[y + 1])
-        common = (whole[xs] @ whole[ys].T).astype(np.int64)
+        common = (bits[xs].astype(np.float32) @ bits[ys].astype(np.float32).T).astype(np.int64)
         sx, sy = sizes[xs][:, None], sizes[ys][None, :]
         sure = (sx <= SKETCH) & (sy <= SKETCH)
         links = 100 * common >= percent * (sx + sy - common)
@@ -188,8 +174,11 @@ def tree_join(bits: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: i
             yield i + xs.start, j + ys.start, sure[i, j]
 
 
-def _join_block(ids: np.ndarray, sizes: np.ndarray, group: np.ndarray, sketch: list[np.ndarray], percent: int) -> Iterator[tuple]:
-    """New candidate pairs of one block."""
+def _join_block(ids: np.ndarray, sizes: np.ndarray, group: np.ndarray, sketch: list[np.ndarray], percent: int, token: int | None = None, unused: list[np.ndarray] | None = None) -> Iterator[tuple]:
+    """New candidate pairs of one block.
+
+    With ``token``, a pair comes only from the block of the smallest hash that both use: every pair comes once, or was tested with its leader.
+    """
     order = np.argsort(sizes, kind="stable")
     ids, sizes, group, sketch = ids[order], sizes[order], group[order], [sketch[k] for k in order]
     tokens, inverse, counts = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
@@ -198,12 +187,23 @@ def _join_block(ids: np.ndarray, sizes: np.ndarray, group: np.ndarray, sketch: l
     use = counts[inverse] > 1
     bits = np.zeros((len(ids), int((counts > 1).sum())), dtype=np.uint8)
     bits[owner[use], shared[inverse[use]]] = 1
+    used = bits
+    if unused is not None and any(len(u) for u in unused):
+        used = bits.copy()
+        for row, k in enumerate(order):
+            gone = np.searchsorted(tokens, unused[k])
+            gone = gone[counts[gone] > 1]
+            used[row, shared[gone]] = 0
+    column = shared[np.searchsorted(tokens, token)] if token is not None else 0
     for i, j, sure in tree_join(bits, sizes, group, percent):
+        if token is not None:
+            own = np.concatenate([np.argmax(used[i[k : k + 256]] & used[j[k : k + 256]], axis=1) for k in range(0, len(i), 256)]) == column
+            i, j, sure = i[own], j[own], sure[own]
         yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), sure
 
 
 def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure) of each block's pairs; ``blocks`` has (token, i, j, rep, n, component, sketch).
+    """(a, b, sure) of each block's pairs; ``blocks`` has (token, i, j, rep, n, component, sketch, unused).
 
     Rows come sorted by block, and a task holds one block, of at most two parts, at a time.
     """
@@ -216,7 +216,7 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
                 seen = {h[3]: h for h in held}
                 rows = list(seen.values())
                 arrays = [np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5)]
-                for a, b, sure in _join_block(*arrays, [np.array(r[6], dtype=np.int64) for r in rows], percent):
+                for a, b, sure in _join_block(*arrays, [np.array(r[6], dtype=np.int64) for r in rows], percent, rows[0][0], [np.array(r[7] or [], dtype=np.int64) for r in rows]):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"])
 
         for batch in batches:
@@ -266,16 +266,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     spread = open_rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.sum("rows").alias("rows")).where("components > 1")
     spread = materialize(spread, "spread")
     hot = spread.where(F.col("components") > HOT).select("token")
-    many = open_rows.select("token", "rep").join(hot, "token").groupBy("rep").agg(F.count(F.lit(1)).alias("hot"))
-    rows = open_rows.join(spread, "token").join(many, "rep", "left")
-    rows = rows.where((F.col("components") <= HOT) | (F.least("n", F.lit(SKETCH)) - F.coalesce("hot", F.lit(0)) < ENOUGH))
+    many = open_rows.select("token", "rep", "n").join(hot, "token").groupBy("rep", "n").agg(F.collect_list("token").alias("unused"))
+    many = materialize(many.where(F.least("n", F.lit(SKETCH)) - F.size("unused") >= ENOUGH).select("rep", "unused"), "unused")  # a sketch at most
+    rows = open_rows.join(spread, "token").join(many, "rep", "left").where(F.col("unused").isNull() | (F.col("components") <= HOT))
     parts = F.ceil(F.col("rows") / BLOCK).cast("int")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "n", "component")
-    blocks = rows.join(classes.select("rep", "sketch"), "rep").select("token", "i", "j", "rep", "n", "component", "sketch")
+    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "n", "component", "unused")
+    blocks = rows.join(classes.select("rep", "sketch"), "rep").select("token", "i", "j", "rep", "n", "component", "sketch", "unused")
     spark = docs.sparkSession
     dealt = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    found = block_pairs(dealt, percent).groupBy("a", "b").agg(F.first("sure").alias("sure"))
+    found = block_pairs(dealt, percent).distinct()  # blocks of several parts may repeat a pair
     second = _linked(docs, found, n, percent, id_col, text)
 
     known = grouped.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
