@@ -3,12 +3,14 @@
 A document's set holds the 64-bit hashes of its different ``n``-word shingles.  Documents with equal sets are one class.
 
 1. *Sketches.*  Each class keeps its ``SKETCH`` smallest hashes: a set of up to that size whole, a larger one as a uniform sample.  Two sets of similarity 0.8
-   whose sketches share fewer than ``LEAST`` hashes have a chance of about 1e-12, and sharing none is rarer still, so candidates are the pairs that share a sketch hash.
+      share at least the fraction p = 4/9 * (n + m) / max(n, m) of the larger one, so the sketch with the smaller range shares a binomial number with p; a number
+   ``SIGMAS`` deviations below the mean has a chance of about 1e-11, and none at all a far smaller one.  Candidates are the pairs that share enough.
 2. *Leaders.*  The smallest class with a hash leads that hash.  Pairs with a leader are tested first, as many as there are shared hashes.  Their components
    hold nearly all large groups of near copies.
 3. *Trees.*  Classes of one hash that are not yet in one component are joined block by block.  In a block a signature tree is built over the
    sketches: a node holds the OR of its token bitmaps, its range of sizes and its components.  A dual traversal from (root, root) drops
-   a pair of nodes whose sizes, largest possible overlap or single common component rule out a new link.
+   a pair of nodes whose sizes, largest possible overlap or single common component rule out a new link.  A block with more
+   candidates than twice its classes passes its classes on instead, and is joined again on whole sets, giving only links that join components.
 4. *Verification.*  Pairs of sets larger than a sketch are compared in full, on hashes made again from the whole texts of the classes concerned.
 
 A hash in very many components (a passage that unrelated documents share) is left out for classes that keep at least ``ENOUGH`` other
@@ -21,6 +23,7 @@ texts are in one component; an empty table yields no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,11 @@ from auditloom.llm.components import components
 from auditloom.llm.support import materialize, text_or_empty
 
 SKETCH = 48
-LEAST = 16
+SIGMAS = 8
 ENOUGH = 24
 HOT = 512  # components
 BLOCK = 512  # classes
+DENSE_HASHES = 4_000_000  # in the whole sets of a block that is joined on them
 BROADCAST_ROWS = 200_000
 LEAF = 16
 FAN = 8
@@ -101,18 +105,29 @@ def full_sets(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
     return materialize(source.mapInArrow(run, "doc_id long, keys array<long>"), "sets")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; ``pairs`` is materialised."""
-    active = materialize(pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct(), "active")
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
+    """(doc_id, keys) of the ids in ``wanted`` (__id)."""
+    active = materialize(wanted.distinct(), "active")
     if active.count() <= BROADCAST_ROWS:
         active = F.broadcast(active)
     rows = docs.select(F.col(id_col).alias("__key"), F.col(text).alias("__body")).join(active, F.col("__key") == F.col("__id"), "left_semi")
-    sets = full_sets(rows, n, "__key", "__body")
+    return full_sets(rows, n, "__key", "__body")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets link; ``pairs`` is materialised."""
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))), n, id_col, text)
     met = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     met = met.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("sizes"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     return materialize(met.where(f"common > 0 and 100 * common >= {percent} * (sizes - common)").select("a", "b").distinct(), "verified")
 
 
+def enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The least number of common sketch hashes of sets of sizes ``a`` and ``b`` that link."""
+    p = np.minimum(percent / (100 + percent) * (a + b) / np.maximum(np.maximum(a, b), 1), 1)
+    return np.maximum(1, np.floor(SKETCH * p - SIGMAS * np.sqrt(SKETCH * p * (1 - p))))
+
+
 # -- signature trees ---------------------------------------------------------------------------------------------------
 class SignatureTree:
     """Sets in order of size; level 0 has the leaves, the last level the root."""
@@ -135,22 +150,26 @@ class SignatureTree:
             self.levels.append((union, low, high, one, other))
 
 
-def _possible(level: tuple, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+def _possible(level: tuple, a: np.ndarray, b: np.ndarray, percent: int, limit: int) -> np.ndarray:
     """Which pairs of nodes may hold a new link."""
     union, low, high, one, other = level
     sizes = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
     fresh = ~((one[a] == other[a]) & (one[b] == other[b]) & (one[a] == one[b]))
     overlap = np.bitwise_count(union[a] & union[b]).sum(axis=1)
-    need = np.minimum(LEAST, -(-percent * (low[a] + low[b]) // (100 + percent)))
-    return sizes & fresh & (overlap >= need)
+    need = -(-percent * (low[a] + low[b]) // (100 + percent))  # the overlap of two whole sets
+    least = enough(np.array(100), np.array(percent), percent)  # of two sketches, at the widest ratio of sizes
+    return sizes & fresh & (overlap >= np.where(np.maximum(high[a], high[b]) <= limit, need, np.minimum(least, need)))
+
 
+def tree_join(bits: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int, limit: int = SKETCH) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, sure) of the pairs of sets from different groups that may link, or surely do.
 
-def tree_join(bits: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, sure) of the pairs of sets from different groups that may link, or surely do; sets are ordered by size."""
+    Sets are ordered by size; those of up to ``limit`` hashes are whole, the others sketches.
+    """
     tree = SignatureTree(bits, sizes, group)
     a = b = np.zeros(1, dtype=np.int64)
     for depth in range(len(tree.levels) - 1, -1, -1):
-        keep = _possible(tree.levels[depth], a, b, percent)
+        keep = _possible(tree.levels[depth], a, b, percent, limit)
         a, b = a[keep], b[keep]
         if depth:
             count = len(tree.levels[depth - 1][0])
@@ -163,10 +182,10 @@ def tree_join(bits: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: i
         xs, ys = slice(tree.starts[x], tree.starts[x + 1]), slice(tree.starts[y], tree.starts[y + 1])
         common = (bits[xs].astype(np.float32) @ bits[ys].astype(np.float32).T).astype(np.int64)
         sx, sy = sizes[xs][:, None], sizes[ys][None, :]
-        sure = (sx <= SKETCH) & (sy <= SKETCH)
+        sure = (sx <= limit) & (sy <= limit)
         links = 100 * common >= percent * (sx + sy - common)
         sized = (100 * sx >= percent * sy) & (100 * sy >= percent * sx)
-        ok = np.where(sure, links & (common > 0), sized & (common >= LEAST)) & (group[xs][:, None] != group[ys][None, :])
+        ok = np.where(sure, links & (common > 0), sized & (common >= np.minimum(enough(sx, sy, percent), np.minimum(sx, sy)))) & (group[xs][:, None] != group[ys][None, :])
         if x == y:
             ok &= np.tri(len(sx), k=-1, dtype=bool).T
         i, j = np.nonzero(ok)
@@ -174,60 +193,135 @@ def tree_join(bits: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: i
             yield i + xs.start, j + ys.start, sure[i, j]
 
 
-def _join_block(ids: np.ndarray, sizes: np.ndarray, group: np.ndarray, sketch: list[np.ndarray], percent: int, token: int | None = None, unused: list[np.ndarray] | None = None) -> Iterator[tuple]:
-    """New candidate pairs of one block.
-
-    With ``token``, a pair comes only from the block of the smallest hash that both use: every pair comes once, or was tested with its leader.
-    """
-    order = np.argsort(sizes, kind="stable")
-    ids, sizes, group, sketch = ids[order], sizes[order], group[order], [sketch[k] for k in order]
-    tokens, inverse, counts = np.unique(np.concatenate(sketch), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(ids)), [len(s) for s in sketch])
-    shared = np.cumsum(counts > 1) - 1  # tokens of one set only can be in no overlap
-    use = counts[inverse] > 1
-    bits = np.zeros((len(ids), int((counts > 1).sum())), dtype=np.uint8)
-    bits[owner[use], shared[inverse[use]]] = 1
-    used = bits
-    if unused is not None and any(len(u) for u in unused):
-        used = bits.copy()
-        for row, k in enumerate(order):
-            gone = np.searchsorted(tokens, unused[k])
-            gone = gone[counts[gone] > 1]
-            used[row, shared[gone]] = 0
-    column = shared[np.searchsorted(tokens, token)] if token is not None else 0
-    for i, j, sure in tree_join(bits, sizes, group, percent):
-        if token is not None:
-            own = np.concatenate([np.argmax(used[i[k : k + 256]] & used[j[k : k + 256]], axis=1) for k in range(0, len(i), 256)]) == column
-            i, j, sure = i[own], j[own], sure[own]
-        yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), sure
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Indices of edges (a, b) that form a forest with the same components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    left, out = len(np.unique(np.concatenate((a, b)))) - 1, []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            out.append(k)
+            if len(out) == left:
+                break
+    return out
+
+
+@dataclass
+class Block:
+    """The classes that share one hash, or two parts of them, in order of size."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    group: np.ndarray
+    sketch: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.sizes, kind="stable")
+        self.ids, self.sizes, self.group, self.sketch = self.ids[self.order], self.sizes[self.order], self.group[self.order], [self.sketch[k] for k in self.order]
+        self.tokens, inverse, counts = np.unique(np.concatenate(self.sketch), return_inverse=True, return_counts=True)
+        self.both = counts > 1  # hashes of one set only can be in no overlap
+        self.column = np.cumsum(self.both) - 1
+        owner = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.sketch])
+        use = self.both[inverse]
+        self.bits = np.zeros((len(self.ids), int(self.both.sum())), dtype=np.uint8)
+        self.bits[owner[use], self.column[inverse[use]]] = 1
+
+    def pairs(self, percent: int, token: int | None = None, unused: list[np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+        """(i, j, sure) of the candidates.
+
+        With ``token``, a pair comes only from the block of the smallest hash that both use: every pair comes once, or was tested with its leader.
+        """
+        used = self.bits
+        if unused is not None and any(len(u) for u in unused):
+            used = self.bits.copy()
+            for row, k in enumerate(self.order):
+                gone = np.searchsorted(self.tokens, unused[k])
+                used[row, self.column[gone[self.both[gone]]]] = 0
+        column = self.column[np.searchsorted(self.tokens, token)] if token is not None else 0
+        found = []
+        for pairs in tree_join(self.bits, self.sizes, self.group, percent):
+            if token is not None:
+                i, j = pairs[:2]
+                own = np.concatenate([np.argmax(used[i[k : k + 256]] & used[j[k : k + 256]], axis=1) for k in range(0, len(i), 256)]) == column
+                pairs = tuple(x[own] for x in pairs)
+            found.append(pairs)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 3
+
+    def links(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of links that join the block's groups, all sets being whole."""
+        found = [p[:2] for p in tree_join(self.bits, self.sizes, self.group, percent, limit=1 << 60)]
+        if not found:
+            return (np.empty(0, dtype=np.int64),) * 2
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        chosen = _forest(self.group[i], self.group[j])
+        return i[chosen], j[chosen]
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column as arrays; null is an empty one."""
+    values = column.values.to_numpy(zero_copy_only=False)
+    offsets, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok else values[:0] for a, b, ok in zip(offsets, offsets[1:], there, strict=False)]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (token, i, j, ...) sorted by block, a block at a time; lists are arrays."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(_lists(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _block_of(rows: list[tuple]) -> Block:
+    return Block(*(np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5)), [r[6] for r in rows])
 
 
 def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure) of each block's pairs; ``blocks`` has (token, i, j, rep, n, component, sketch, unused).
-
-    Rows come sorted by block, and a task holds one block, of at most two parts, at a time.
-    """
+    """Candidates of blocks (token, i, j, rep, n, component, sketch, unused): rows (a, b, sure), or, of a dense block, its classes (a) with the block's key."""
+    names = ["a", "b", "sure", "token", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len({h[5] for h in held}) > 1:
-                seen = {h[3]: h for h in held}
-                rows = list(seen.values())
-                arrays = [np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 5)]
-                for a, b, sure in _join_block(*arrays, [np.array(r[6], dtype=np.int64) for r in rows], percent, rows[0][0], [np.array(r[7] or [], dtype=np.int64) for r in rows]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"])
+        for rows in _by_block(batches):
+            if len({r[5] for r in rows}) < 2:
+                continue
+            rows = list({r[3]: r for r in rows}.values())
+            block = _block_of(rows)
+            i, j, sure = block.pairs(percent, rows[0][0], [r[7] for r in rows])
+            if len(i) > 2 * len(rows) and block.sizes.sum() <= DENSE_HASHES:
+                some = block.ids[np.unique(np.concatenate((i, j)))]
+                key = [pa.array([x] * len(some), kind) for x, kind in zip(rows[0][:3], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.bool_()), *key], names=names)
+            elif len(i):
+                a, b = block.ids[i], block.ids[j]
+                none = [pa.nulls(len(a), kind) for kind in (pa.int64(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure), *none], names=names)
+
+    return blocks.mapInArrow(run, "a long, b long, sure boolean, token long, i int, j int")
+
+
+def dense_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of links that join components of blocks (token, i, j, rep, n, component, keys) of whole sets."""
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    yield from done()
-                    held = []
-                held.append(row)
-        yield from done()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_block(batches):
+            block = _block_of(list({r[3]: r for r in rows}.values()))
+            i, j = block.links(percent)
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[i]), pa.array(block.ids[j])], names=["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long, sure boolean")
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 # -- the join ---------------------------------------------------------------------------------------------------------------
@@ -238,7 +332,9 @@ def _tested(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     met = met.where("100 * least(n_a, n_b) >= greatest(n_a, n_b) * " + str(percent)).withColumn("common", F.size(F.array_intersect("sketch_a", "sketch_b")))
     sure = F.greatest("n_a", "n_b") <= SKETCH
     links = 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return met.where(F.when(sure, links).otherwise(F.col("common") >= LEAST)).select("a", "b", sure.alias("sure"))
+    p = F.least(F.lit(1.0), F.lit(percent / (100 + percent)) * (F.col("n_a") + F.col("n_b")) / F.greatest("n_a", "n_b"))
+    least = F.least(F.greatest(F.lit(1), F.floor(SKETCH * p - SIGMAS * F.sqrt(SKETCH * p * (1 - p)))), "n_a", "n_b")
+    return met.where(F.when(sure, links).otherwise(F.col("common") >= least)).select("a", "b", sure.alias("sure"))
 
 
 def _linked(docs: DataFrame, tested: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
@@ -247,6 +343,30 @@ def _linked(docs: DataFrame, tested: DataFrame, n: int, percent: int, id_col: st
     return tested.where("sure").select("a", "b").unionByName(checked)
 
 
+def _between(shared: DataFrame, classes: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """What :func:`block_pairs` finds among the classes that share a hash and lie in two components.
+
+    A pair with a leader has been tested, so leaders stay out, and so do hashes of two classes.
+    """
+    open_rows = shared.where("rep <> leader and classes > 2").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    spread = open_rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.sum("rows").alias("rows")).where("components > 1")
+    spread = materialize(spread, "spread")
+    hot = spread.where(F.col("components") > HOT).select("token")
+    many = open_rows.select("token", "rep", "n").join(hot, "token").groupBy("rep", "n").agg(F.collect_list("token").alias("unused"))
+    many = materialize(many.where(F.least("n", F.lit(SKETCH)) - F.size("unused") >= ENOUGH).select("rep", "unused"), "unused")  # a sketch at most
+    rows = open_rows.join(spread, "token").join(many, "rep", "left").where(F.col("unused").isNull() | (F.col("components") <= HOT))
+    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "n", "component", "unused")
+    blocks = rows.join(classes.select("rep", "sketch"), "rep").select("token", "i", "j", "rep", "n", "component", "sketch", "unused")
+    return block_pairs(_dealt(blocks), percent)
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: component_id is the smallest id reachable by links."""
     every = sketches(docs, n, id_col, text)
@@ -261,25 +381,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     first = materialize(_linked(docs, _tested(pairs, classes, percent), n, percent, id_col, text), "first-links")
     grouped = components(first)
 
-    # What the leaders left apart.  A pair with a leader has been tested, so leaders stay out, and so do hashes of two classes.
-    open_rows = shared.where("rep <> leader and classes > 2").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    spread = open_rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.sum("rows").alias("rows")).where("components > 1")
-    spread = materialize(spread, "spread")
-    hot = spread.where(F.col("components") > HOT).select("token")
-    many = open_rows.select("token", "rep", "n").join(hot, "token").groupBy("rep", "n").agg(F.collect_list("token").alias("unused"))
-    many = materialize(many.where(F.least("n", F.lit(SKETCH)) - F.size("unused") >= ENOUGH).select("rep", "unused"), "unused")  # a sketch at most
-    rows = open_rows.join(spread, "token").join(many, "rep", "left").where(F.col("unused").isNull() | (F.col("components") <= HOT))
-    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "n", "component", "unused")
-    blocks = rows.join(classes.select("rep", "sketch"), "rep").select("token", "i", "j", "rep", "n", "component", "sketch", "unused")
-    spark = docs.sparkSession
-    dealt = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    found = block_pairs(dealt, percent).distinct()  # blocks of several parts may repeat a pair
-    second = _linked(docs, found, n, percent, id_col, text)
-
+    found = materialize(_between(shared, classes, grouped, percent), "candidates")
+    pairs = found.where("b is not null").select("a", "b", "sure").distinct()  # blocks of several parts may repeat a pair
+    second = _linked(docs, pairs, n, percent, id_col, text)
+    dense = found.where("b is null").select("token", "i", "j", F.col("a").alias("rep"))
+    sets = _sets_of(docs, dense.select(F.col("rep").alias("__id")), n, id_col, text)
+    dense = dense.join(sets.toDF("rep", "keys"), "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
+    dense = dense.select("token", "i", "j", "rep", F.size("keys").cast("long").alias("n"), F.coalesce("component", "rep").alias("component"), "keys")
+    third = dense_links(_dealt(dense), percent)
     known = grouped.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    last = components(known.unionByName(second)).withColumnRenamed("node", "rep")
+    grouped = components(known.unionByName(second).unionByName(third))
+    last = grouped.withColumnRenamed("node", "rep")
     named = every.join(classes.select("rep", F.col("n").alias("n_shingles"), "d1", "d2"), key, "left").select("doc_id", "n_shingles", "rep")
     return named.join(last, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 

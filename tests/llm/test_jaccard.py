@@ -83,7 +83,7 @@ def test_small_blocks_and_hot_hashes(spark, tmp_path, monkeypatch, hot, block, e
     if enough:
         check(spark, folder(documents(spark, families(2)), tmp_path))
     else:  # the trees find what leaders leave: sketches of a few hashes, blocks of parts
-        monkeypatch.setattr(jj, "LEAST", 4)
+        monkeypatch.setattr(jj, "SIGMAS", 12)
         monkeypatch.setattr(jj, "ENOUGH", 999)
         check(spark, folder(documents(spark, families(3)), tmp_path))
 
@@ -100,12 +100,14 @@ def test_tree_join_loses_no_pair():
             sets.append(s or {1})
         ids, group = np.arange(150), rng.integers(0, 60, size=150)
         sketch = [np.array(sorted(s)) for s in sets]
-        found = set()
-        for a, b, sure in jj._join_block(ids, np.array([len(s) for s in sets]), group, sketch, 80):
-            assert sure.all()
-            found |= set(zip(a.tolist(), b.tolist()))
+        block = jj.Block(ids, np.array([len(s) for s in sets]), group, sketch)
+        i, j, sure = block.pairs(80)
+        assert sure.all()
+        found = {tuple(sorted((int(block.ids[x]), int(block.ids[y])))) for x, y in zip(i, j)}
         want = {(i, j) for i in range(150) for j in range(i + 1, 150) if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
         assert found == want, trial
+        tied = union(range(60), [(int(group[block.ids[x]]), int(group[block.ids[y]])) for x, y in zip(*block.links(80))])
+        assert tied == union(range(60), [(int(group[x]), int(group[y])) for x, y in want])
 
 
 def test_components_of_random_graphs(spark):
