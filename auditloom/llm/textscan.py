@@ -79,8 +79,8 @@ class Group:
         return mix((sums[self.ends] - sums[self.starts]) * downs[self.starts])
 
 
-def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[Group]:
-    """The texts of an Arrow string column without nulls, group by group."""
+def groups(column: pa.Array, limit: int = GROUP_BYTES, breaks: np.ndarray = _SPACE) -> Iterator[Group]:
+    """The texts of an Arrow string column without nulls, group by group; ``breaks`` says which bytes part words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -93,12 +93,12 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[Group]:
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
         last = min(max(last, first + 1), len(column))
-        yield _scan(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        yield _scan(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], breaks)
         first = last
 
 
-def _scan(first: int, data: np.ndarray, offsets: np.ndarray) -> Group:
-    inside = ~_SPACE[data]
+def _scan(first: int, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> Group:
+    inside = ~breaks[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
