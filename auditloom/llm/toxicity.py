@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rules:
         rows = Rows(np.concatenate(([0], np.cumsum(sizes))), listed[0].flatten().to_numpy(), listed[1].flatten().to_numpy())
     else:
         rows = Rows(np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32))
-    fold = np.arange(found.num_rows) % rules.folds
+    fold = np.random.default_rng(1).permutation(found.num_rows) % rules.folds
     return fit_chain(rows, {c: found.column(f"__{c}").to_numpy() for c in categories}, fold, rules)
 
 
