@@ -33,7 +33,6 @@ from auditloom.llm.support import materialize, text_or_empty
 
 HEAD = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TABLE = str.maketrans(UPPER, LOWER)
 SPACES = "[\\x20\\x09-\\x0D]+"
 END, RARE = 0, 1
 
@@ -46,20 +45,14 @@ class LanguageRules:
     stride: int = 64
     window: int = 16
     lanes: int = 512
-    chunk: int = 2_000_000  # tokens dealt to lanes at a time
+    chunk: int = 6_000_000  # tokens dealt to lanes at a time, 10 bytes each
     rate: float = 0.01
     smoothing: float = 0.1
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased runs without the six ASCII separators."""
-    text = text.translate(TABLE) if not text.isascii() else text.lower()
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
-
-
-_TO_SPACE = {k: " " for k in (9, 10, 11, 12, 13)}
+def words_of(text: bytes) -> list[bytes]:
+    """Runs without the six ASCII separators, A-Z in lower case; bytes know no other letters or separators."""
+    return text.lower().split()
 
 
 class Gru:
@@ -125,10 +118,10 @@ class Gru:
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each target."""
         rows = np.arange(len(targets))
-        logits = states @ self.of_class + self.class_bias
+        logits = _bounded(states @ self.of_class + self.class_bias)
         out = logits[rows, targets // self.per] - _log_sum(logits)
         for c, part in self._by_class(targets):
-            logits = states[part] @ self.of_word[c] + self.word_bias[c]
+            logits = _bounded(states[part] @ self.of_word[c] + self.word_bias[c])
             out[part] += logits[np.arange(len(part)), targets[part] % self.per] - _log_sum(logits)
         return out
 
@@ -138,13 +131,13 @@ class Gru:
         h, grads = self.rules.state, {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         flat, wanted, weight = states.reshape(-1, h), targets.ravel(), live.ravel().astype(np.float32)
         weight = weight / max(weight.sum(), 1)
-        soft = _softmax(flat @ self.of_class + self.class_bias)
+        soft = _softmax(_bounded(flat @ self.of_class + self.class_bias))
         soft[np.arange(len(flat)), wanted // self.per] -= 1
         soft *= weight[:, None]
         grads["of_class"], grads["class_bias"] = flat.T @ soft, soft.sum(axis=0)
         back = soft @ self.of_class.T
         for c, part in self._by_class(wanted):
-            soft = _softmax(flat[part] @ self.of_word[c] + self.word_bias[c])
+            soft = _softmax(_bounded(flat[part] @ self.of_word[c] + self.word_bias[c]))
             soft[np.arange(len(part)), wanted[part] % self.per] -= 1
             soft *= weight[part][:, None]
             grads["of_word"][c], grads["word_bias"][c] = flat[part].T @ soft, soft.sum(axis=0)
@@ -180,14 +173,18 @@ class Gru:
             setattr(self, n, (getattr(self, n) - scale * m / (np.sqrt(v) + 1e-6)).astype(np.float32))
 
 
+def _bounded(logits: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials have no overflow."""
+    return np.clip(logits, -60, 60, out=logits)
+
+
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    return np.log(np.exp(logits) @ np.ones(logits.shape[1], dtype=logits.dtype))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    out = np.exp(logits - logits.max(axis=1, keepdims=True))
-    out /= out.sum(axis=1, keepdims=True)
+    out = np.exp(logits)
+    out /= (out @ np.ones(out.shape[1], dtype=out.dtype))[:, None]
     return out
 
 
@@ -221,7 +218,7 @@ def deal(texts: list[np.ndarray], most: int) -> Lanes:
     lengths = np.array([sum(int(sizes[k]) for k in lane) for lane in lanes])
     order = np.argsort(-lengths, kind="stable")
     shape = (int(lengths.max()), count)
-    out = Lanes(np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=np.int32), np.ones(shape, dtype=np.float32), np.full(shape, -1, dtype=np.int32), lengths[order])
+    out = Lanes(np.zeros(shape, dtype=np.int16), np.zeros(shape, dtype=np.int16), np.ones(shape, dtype=bool), np.full(shape, -1, dtype=np.int32), lengths[order])
     for column, lane in enumerate(order.tolist()):
         at = 0
         for k in lanes[lane]:
@@ -283,15 +280,15 @@ class Vocabulary:
     distinct: int
     ends: int
 
-    def shortlist(self, rules: LanguageRules) -> tuple[dict[str, int], np.ndarray, float]:
-        """Places of the model's own words, counts by place, and the logarithm base 10 of the rare class's smoothed mass."""
+    def shortlist(self, rules: LanguageRules) -> tuple[list[str], np.ndarray, float]:
+        """The model's own words, counts by place, and the logarithm base 10 of the rare class's smoothed mass."""
         own = list(self.head)[: rules.shortlist]
         counts = np.array([self.ends, 0, *(self.head[w] for w in own)], dtype=np.float64)
         rare = self.tokens - counts.sum()
         counts[RARE] = rare
         smoothed = self.tokens + rules.smoothing * (self.distinct + 1)
         mass = smoothed - counts[END] - rules.smoothing - sum(self.head[w] + rules.smoothing for w in own)
-        return {w: k + 2 for k, w in enumerate(own)}, np.concatenate((counts, np.zeros(rules.shortlist - len(own)))), float(np.log10(max(mass, rules.smoothing)))
+        return own, np.concatenate((counts, np.zeros(rules.shortlist - len(own)))), float(np.log10(max(mass, rules.smoothing)))
 
 
 def vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
@@ -301,38 +298,44 @@ def vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
     return Vocabulary(dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)), total + ends, kinds + (ends > 0), ends)
 
 
-def _streams(batches: Iterator[pa.RecordBatch], places: dict[str, int], rules: LanguageRules, only_training: bool) -> Iterator[tuple[list[int], list[list[str]], list[np.ndarray]]]:
-    """(ids of documents, words, tokens with the end) of about ``chunk`` tokens at a time."""
-    docs: list[int] = []
-    words: list[list[str]] = []
-    texts: list[np.ndarray] = []
-    held, get = 0, places.get
+class Ranks(dict):  # keyed by UTF-8 words
+    """Places of words by frequency; of any other word, the number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if only_training and not is_training(doc_id):
-                continue
-            own = words_of(text.as_py())
-            ids = np.fromiter((get(w, RARE) for w in own), dtype=np.int32, count=len(own))
-            docs.append(doc_id)
-            words.append([] if only_training else own)
-            texts.append(np.append(ids, np.int32(END)))
-            held += len(ids) + 1
-            if held >= rules.chunk:
-                yield docs, words, texts
-                docs, words, texts, held = [], [], [], 0
-    if docs:
-        yield docs, words, texts
+            yield doc_id, text.as_buffer().to_pybytes()
+
+
+def _tokens(ranks: np.ndarray, own: int) -> np.ndarray:
+    """The model's ids of words of these ranks, and the end."""
+    out = np.full(len(ranks) + 1, END, dtype=np.int16)
+    out[:-1] = np.where(ranks < own, ranks + 2, RARE)
+    return out
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, rules: LanguageRules = LanguageRules()) -> np.ndarray:
     """Weights averaged over the partitions of ``docs`` (doc_id, text)."""
-    places, counts, _ = vocab.shortlist(rules)
+    own, counts, _ = vocab.shortlist(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Gru(rules, counts), 0
-        for _, _, texts in _streams(batches, places, rules, only_training=True):
+        model, seen, held = Gru(rules, counts), 0, 0
+        rank, texts = Ranks((w.encode(), k) for k, w in enumerate(own)).__getitem__, []
+        for doc_id, text in _rows(batches):
+            if is_training(doc_id):
+                words = words_of(text)
+                texts.append(_tokens(np.fromiter(map(rank, words), dtype=np.int32, count=len(words)), len(own)))
+                held += len(words) + 1
+            if held >= rules.chunk:
+                train_chunk(model, texts)
+                texts, seen, held = [], seen + held, 0
+        if texts:
             train_chunk(model, texts)
-            seen += sum(map(len, texts))
+            seen += held
         if seen:
             flat = model.weights().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["k", "w", "seen"])
@@ -344,37 +347,45 @@ def fit(docs: DataFrame, vocab: Vocabulary, rules: LanguageRules = LanguageRules
 def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: np.ndarray, rules: LanguageRules = LanguageRules()) -> DataFrame:
     """Scores of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    places, start, rare_mass = vocab.shortlist(rules)
+    own, start, rare_mass = vocab.shortlist(rules)
     smooth = rules.smoothing
     whole = float(np.log10(vocab.tokens + smooth * (vocab.distinct + 1))) if vocab.tokens else float(np.log10(smooth))
     shared = spark.sparkContext.broadcast((list(vocab.head), np.array(list(vocab.head.values()), dtype=np.int64), weights))  # HEAD words at most
-    ends, n_places = vocab.ends, len(places)
-    model_of: dict[str, object] = {}
+    ends, n_own = vocab.ends, len(own)
+    model_of: dict[str, tuple] = {}
+    names = ["doc_id", "n_tokens", "n_head", "head_sum", "head_rare", "n_rare", "tail", "model"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "head" not in model_of:
             words, numbers, flat = shared.value
             model = Gru(rules, start)
             model.load(flat)
-            model_of["head"] = {w: k for k, w in enumerate(words)}, np.append(np.log10(numbers + smooth), 0.0), model
-        rank, logs, model = model_of["head"]
-        get, none = rank.get, len(logs) - 1
-        for docs, words, texts in _streams(batches, places, rules, only_training=False):
-            scores = score_chunk(model, texts)
-            head_sum, head_rare, n_head, tail = [], [], [], []
-            for own in words:
-                at = np.fromiter((get(w, none) for w in own), dtype=np.int64, count=len(own))
-                known = at < none
-                head_sum.append(float(logs[at].sum()))
-                head_rare.append(float(logs[at[known & (at >= n_places)]].sum()))
-                n_head.append(int(known.sum()))
-                tail.append([w for w, k in zip(own, known.tolist(), strict=True) if not k])
-            rare = [int((t == RARE).sum()) for t in texts]
-            arrays = [pa.array(docs, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_head, pa.int64()), pa.array(head_sum, pa.float64())]
-            arrays += [pa.array(head_rare, pa.float64()), pa.array(rare, pa.int64()), pa.array(scores), pa.array(tail, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_head", "head_sum", "head_rare", "n_rare", "model", "tail"])
-
-    first = docs.mapInArrow(run, "doc_id long, n_tokens long, n_head long, head_sum double, head_rare double, n_rare long, model double, tail array<string>")
+            model_of["head"] = Ranks((w.encode(), k) for k, w in enumerate(words)), np.append(np.log10(numbers + smooth), 0.0), model
+        ranks, logs, model = model_of["head"]
+        rank, none = ranks.__getitem__, len(ranks)
+        held, rows, texts = 0, [], []
+
+        def done() -> pa.RecordBatch:
+            arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(score_chunk(model, texts))], names=names)
+
+        for doc_id, text in _rows(batches):
+            words = words_of(text)
+            at = np.fromiter(map(rank, words), dtype=np.int32, count=len(words))
+            texts.append(_tokens(at, n_own))
+            missing = np.flatnonzero(at == none).tolist()
+            log = logs[at]
+            rare = at >= n_own
+            rows.append((doc_id, len(words) + 1, len(words) - len(missing), float(log.sum()), float(log[rare].sum()), int(rare.sum()), [words[k].decode() for k in missing]))
+            held += len(words) + 1
+            if held >= rules.chunk:
+                yield done()
+                held, rows, texts = 0, [], []
+        if rows:
+            yield done()
+
+    first = docs.mapInArrow(run, "doc_id long, n_tokens long, n_head long, head_sum double, head_rare double, n_rare long, tail array<string>, model double")
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "head-scores")
     rest = first.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
     rest = rest.join(counts, "word", "left").groupBy("row").agg(
