@@ -38,7 +38,7 @@ SKETCH = 48
 SIGMAS = 8
 ENOUGH = 24
 HOT = 512  # components
-BLOCK = 512  # classes
+BLOCK = 1024  # classes
 DENSE_HASHES = 4_000_000  # in the whole sets of a block that is joined on them
 BROADCAST_ROWS = 200_000
 LEAF = 16
