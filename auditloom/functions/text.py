@@ -125,9 +125,9 @@ def merge_dirs(a: str, b: str) -> str:
 
 
 def leader_clusters(values: list[str], close, merge) -> dict[str, str]:
-    """Each value's wildcard: sorted values join the first cluster whose leader is close; a cluster's wildcard folds its members in order."""
+    """Each value's wildcard: values, in the order given, join the first cluster whose leader is close; a cluster's wildcard folds its members in sorted order."""
     leaders: list[list[str]] = []
-    for value in sorted(set(values)):
+    for value in dict.fromkeys(values):
         for cluster in leaders:
             if close(cluster[0], value):
                 cluster.append(value)
@@ -136,8 +136,8 @@ def leader_clusters(values: list[str], close, merge) -> dict[str, str]:
             leaders.append([value])
     out = {}
     for cluster in leaders:
-        shape = cluster[0]
-        for value in cluster[1:]:
+        shape, *rest = sorted(cluster)
+        for value in rest:
             shape = merge(shape, value)
         out |= dict.fromkeys(cluster, shape)
     return out

@@ -139,7 +139,7 @@ def wildcards(values: DataFrame, kind: str) -> DataFrame:
     close, merge = (T.similar, T.wildcard) if kind == "path" else (T.near_dirs, T.merge_dirs)
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        shapes = T.leader_clusters(rows["value"].tolist(), close, merge)
+        shapes = T.leader_clusters(sorted(rows["value"]), close, merge)
         return pd.DataFrame({"epoch_id": rows["epoch_id"], "value": rows["value"], "wildcard": rows["value"].map(shapes)})
 
     return values.distinct().groupBy("epoch_id").applyInPandas(cluster, "epoch_id long, value string, wildcard string")
