@@ -35,7 +35,7 @@ from auditloom.llm.bpe import WHITE, byte_letters
 from auditloom.llm.support import text_or_empty
 
 STRETCH = 256
-CACHE = 800_000
+CACHE = 500_000  # entries of either cache, which is emptied when full
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -142,8 +142,8 @@ class Encoder:
     """Ids of the tokenizers library, with bounded caches.
 
     The vocabulary's pattern never crosses white space, so a text's ids are those of its runs without white space, and a run's are those of
-    its pieces.  Pieces are normalised and spelled here and given to the library's model many in one call; every
-    piece ends in an id whose token ends a word, which tells the pieces' ids apart.  Runs that may hold a special token go to the library as they are.
+    its pieces.  Texts are cut at special tokens and normalised, pieces are spelled, and the library's model gets many in one call; every
+    piece ends in an id whose token ends a word, which tells the pieces' ids apart.
     The last id of a run that ends a sentence is kept with its top bit set.
     """
 
@@ -152,18 +152,19 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
-        for tokenizer in (self.whole, self.model):
-            tokenizer.no_padding()
-            tokenizer.no_truncation()
-        self.runs: dict[str, bytes] = {}
+        self.model.no_padding()
+        self.model.no_truncation()
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
+        self.named = {t: f"TOKEN {i}" for t, i in special.items()}  # with a blank, as no run has
+        self.own = {self.named[t]: np.array([i], dtype="<u4").tobytes() for t, i in special.items()}
+        self.runs: dict[str, bytes] = dict(self.own)
         self.pieces: dict[str, bytes] = {}
         self.split = regex.compile(f"[{WHITE}]+").split
         self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.marks = {t["content"][:2] for t in spec["added_tokens"]}
         self.letters = byte_letters()
-        self.ends = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.ends = np.zeros(self.model.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
 
     def _learn_pieces(self, pieces: list[str]) -> None:
@@ -178,32 +179,36 @@ class Encoder:
 
     def _learn(self, missing: list[str]) -> None:
         """Add runs to the cache."""
-        cut, marks, parts = self.cut, self.marks, []
-        for w in missing:
-            if w.isascii():
-                parts.append((w.lower(),) if w.isalpha() else None if any(m in w for m in marks) else cut(w.lower()))
-            else:
-                parts.append(None if any(m in w for m in marks) else cut(unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3").lower()))
+        cut, parts = self.cut, []
+        parts = [(w,) if w.isalpha() else cut(w) for w in missing]
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        self._learn_pieces(list({p for ps in parts if ps for p in ps}.difference(self.pieces)))
+        self._learn_pieces(list(set().union(*parts).difference(self.pieces)))
         get, runs = self.pieces.__getitem__, self.runs
         for w, ps in zip(missing, parts, strict=True):
-            if ps is None:
-                packed = np.array(self.whole.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            else:
-                packed = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-            if w[-1] in ".!?" and packed:
+            packed = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+            if w[-1] in ".!?":
                 packed = packed[:-1] + bytes((packed[-1] | 128,))
             runs[w] = packed
 
+    def _runs(self, text: str) -> list[str]:
+        """The text's runs without white space, normalised; a special token is a run by the name that the cache has for it."""
+        if "<|" in text:
+            return [w for part in self.specials.split(text) for w in ([self.named[part]] if part in self.named else self._runs_of_plain(part))]
+        return self._runs_of_plain(text)
+
+    def _runs_of_plain(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        text = text.lower()
+        return [w for w in self.split(text) if w] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
         """Packed ids of each text, and the numbers of ids before the end of each sentence."""
-        runs = [self.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        runs = [self._runs(t) for t in texts]
         if len(self.runs) > CACHE:
-            self.runs.clear()
-        self._learn([w for w in set().union(*runs).difference(self.runs) if w])
-        self.runs[""] = b""
+            self.runs = dict(self.own)
+        self._learn(list(set().union(*runs).difference(self.runs)))
         get = self.runs.__getitem__
         for run in runs:
             ids = np.frombuffer(b"".join(map(get, run)), dtype="<u4")
