@@ -35,7 +35,7 @@ from auditloom.llm.bpe import WHITE, byte_letters
 from auditloom.llm.support import text_or_empty
 
 STRETCH = 256
-CACHE = 500_000  # entries of either cache, which is emptied when full
+CACHE = 150_000  # entries of a generation of the cache
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -139,12 +139,13 @@ class Stream:
 
 
 class Encoder:
-    """Ids of the tokenizers library, with bounded caches.
+    """Ids of the tokenizers library, with a bounded cache.
 
     The vocabulary's pattern never crosses white space, so a text's ids are those of its runs without white space, and a run's are those of
     its pieces.  Texts are cut at special tokens and normalised, pieces are spelled, and the library's model gets many in one call; every
     piece ends in an id whose token ends a word, which tells the pieces' ids apart.
-    The last id of a run that ends a sentence is kept with its top bit set.
+    The last id of a run that ends a sentence is kept with its top bit set.  The cache has two generations: a full one becomes the older one, whose
+    entries move on when they are met again, so what is met often stays.
     """
 
     TOP = 1 << 31
@@ -159,15 +160,17 @@ class Encoder:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
         self.named = {t: f"TOKEN {i}" for t, i in special.items()}  # with a blank, as no run has
         self.own = {self.named[t]: np.array([i], dtype="<u4").tobytes() for t, i in special.items()}
-        self.runs: dict[str, bytes] = dict(self.own)
-        self.pieces: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = dict(self.own)  # and pieces of letters, which are runs too
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}  # the other pieces
         self.split = regex.compile(f"[{WHITE}]+").split
         self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.letters = byte_letters()
         self.ends = np.zeros(self.model.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _spell(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its ids."""
         letters = self.letters
         for k in range(0, len(pieces), 4000):
             part = pieces[k : k + 4000]
@@ -175,18 +178,33 @@ class Encoder:
             ids = np.array(self.model.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             data = ids.tobytes()
-            self.pieces.update(zip(part, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            yield from zip(part, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
+
+    def _unknown(self, wanted: set[str]) -> list[str]:
+        """The runs that neither generation has; those of the older one move on."""
+        unknown, runs, older = [], self.runs, self.older
+        for w in wanted.difference(runs):
+            if (packed := older.get(w)) is None:
+                unknown.append(w)
+            else:
+                runs[w] = packed
+        return unknown
 
     def _learn(self, missing: list[str]) -> None:
         """Add runs to the cache."""
-        cut, parts = self.cut, []
-        parts = [(w,) if w.isalpha() else cut(w) for w in missing]
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        self._learn_pieces(list(set().union(*parts).difference(self.pieces)))
-        get, runs = self.pieces.__getitem__, self.runs
-        for w, ps in zip(missing, parts, strict=True):
-            packed = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        runs, cut = self.runs, self.cut
+        words = {w for w in missing if w.isalpha()}
+        mixed = [(w, cut(w)) for w in missing if w not in words]
+        pieces = set().union(*[ps for _, ps in mixed])
+        letters = {p for p in pieces if p.isalpha()}
+        if len(self.marks) > CACHE:
+            self.marks.clear()
+        runs.update(self._spell([*words, *self._unknown(letters - words)]))
+        self.marks.update(self._spell(list((pieces - letters).difference(self.marks))))
+        known = {p: runs[p] for p in letters} | {p: self.marks[p] for p in pieces - letters}
+        get = known.__getitem__
+        for w, ps in mixed:
+            packed = b"".join(map(get, ps))
             if w[-1] in ".!?":
                 packed = packed[:-1] + bytes((packed[-1] | 128,))
             runs[w] = packed
@@ -207,8 +225,8 @@ class Encoder:
         """Packed ids of each text, and the numbers of ids before the end of each sentence."""
         runs = [self._runs(t) for t in texts]
         if len(self.runs) > CACHE:
-            self.runs = dict(self.own)
-        self._learn(list(set().union(*runs).difference(self.runs)))
+            self.runs, self.older = dict(self.own), self.runs
+        self._learn(self._unknown(set().union(*runs)))
         get = self.runs.__getitem__
         for run in runs:
             ids = np.frombuffer(b"".join(map(get, run)), dtype="<u4")
@@ -248,6 +266,7 @@ def pack(docs: DataFrame, path: str, rules: PackingRules = PackingRules(), id_co
                     stream.add(doc_id, packed + end, ends)
                     if stream.waiting > STRETCH * rules.window:
                         yield from out(stream.solve(last=False))
+        encoder.older = {}  # the worker may go on to other work
         yield from out(stream.solve(last=True))
 
     return source.mapInArrow(run, SCHEMA)
