@@ -190,3 +190,15 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
         F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("metadata.fields")["payload-bytes"].cast("long").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), number(F.col("response.refers_to")).alias("refers_to"),
     )
+
+
+#: Equal payloads by their text; a digest is 32 letters of five bits.
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, upper(sha1(html)) AS hex, max(page_id) OVER (PARTITION BY html) AS newest FROM p)
+SELECT page_id, cast(payload_bytes AS bigint) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           cast(((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1 AS int), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN newest = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN newest <> page_id THEN newest END AS refers_to
+FROM d
+"""
