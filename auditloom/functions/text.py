@@ -11,6 +11,8 @@ OPEN_FLAGS = [
     ("O_DIRECT", 0o40000), ("O_DIRECTORY", 0o200000), ("O_NOFOLLOW", 0o400000), ("O_NOATIME", 0o1000000), ("O_CLOEXEC", 0o2000000),
 ]
 DEPTH_DIFFERS = 4097
+# Fields of an account record, in order.
+ACCOUNT_FIELDS = ["pid", "uid", "auid", "ses", "op", "acct", "exe", "hostname", "addr", "terminal", "res"]
 
 
 def field(msg: Column, name: str) -> Column:
@@ -46,6 +48,30 @@ def proctitle(value: Column) -> Column:
     return F.translate(F.decode(F.unhex(value), "UTF-8"), "\0", " ")
 
 
+def ipv4(saddr: Column) -> Column:
+    """The address of a hexadecimal socket address as a number; null if it is too short or not hexadecimal."""
+    part = F.substring(saddr, 9, 8)
+    return F.when(part.rlike("^[0-9A-Fa-f]{8}$"), hex_number(part))
+
+
+def uuid_hex(value: Column) -> Column:
+    """A binary identifier as lower-case hexadecimal digits."""
+    return F.lower(F.hex(value))
+
+
+def octal(value: Column) -> Column:
+    """Permission bits in octal digits."""
+    return F.conv(value.cast("string"), 10, 8)
+
+
+def account_record(msg: Column) -> Column:
+    """A struct of an account record's type, time and fields; a field that is missing is null."""
+    kind = F.regexp_extract(msg, r"^type=(\S+)", 1)
+    inner = lambda name: F.regexp_extract(msg, rf"[ ']{name}=(\"[^\"]*\"|[^ ']+)", 1)
+    found = [F.when(inner(name) != "", inner(name)).alias(name) for name in ACCOUNT_FIELDS]
+    return F.struct(F.when(kind != "", kind).alias("type"), record_time(msg).alias("time"), *found)
+
+
 def open_flags(value: Column) -> Column:
     """Names of the flags in a number, the access mode first, joined by a bar."""
     mode = F.when(value.bitwiseAND(F.lit(3)) == 1, "O_WRONLY").when(value.bitwiseAND(F.lit(3)) == 2, "O_RDWR").otherwise("O_RDONLY")

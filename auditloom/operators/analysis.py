@@ -52,6 +52,13 @@ def histogram(table: DataFrame, techniques: list[str]) -> DataFrame:
     return table.withColumn("class", syscall_class()).groupBy(mask.alias("mask"), "class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def decision_rows(events: DataFrame, decided: DataFrame) -> DataFrame:
+    """(epoch_id, event_id, seconds, size_bytes, techniques): each event with the names of the techniques that drop it, in order, by commas."""
+    names = decided.groupBy("epoch_id", "event_id").agg(F.array_join(F.array_sort(F.collect_set("technique")), ",").alias("techniques"))
+    rows = events.select("epoch_id", "event_id", "seconds", "size_bytes").join(names, ["epoch_id", "event_id"], "left")
+    return rows.withColumn("techniques", F.coalesce("techniques", F.lit("")))
+
+
 def confusion(decided: DataFrame) -> DataFrame:
     """(t1, t2, n): events that both drop."""
     left, right = decided.withColumnRenamed("technique", "t1"), decided.withColumnRenamed("technique", "t2")

@@ -87,3 +87,10 @@ def kept_by_kernel(events: DataFrame, syscalls: tuple[int, ...] = HANDLED, ignor
 def counters(events: DataFrame) -> DataFrame:
     """Events, bytes and unsupported events of each epoch."""
     return events.groupBy("epoch_id").agg(F.count(F.lit(1)).alias("events"), F.sum("size_bytes").alias("bytes"), F.sum((~F.col("syscall").isin(*HANDLED)).cast("long")).alias("unsupported"))
+
+
+def bursting(sessions: DataFrame, seconds: float = 5.0, records: int = 20) -> DataFrame:
+    """(epoch_id, event_id, records, span, bursting): whether an event has so many records over so many seconds."""
+    at = T.record_time(F.col("msg"))
+    rows = sessions.groupBy("epoch_id", "event_id").agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.max(at) - F.min(at), F.lit(0.0)).alias("span"))
+    return rows.withColumn("bursting", (F.col("span") >= seconds) & (F.col("records") >= records))

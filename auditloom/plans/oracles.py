@@ -195,6 +195,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, CASE WHEN last = fname THEN 0 ELSE 1 END AS distance, CASE WHEN last = fname THEN path ELSE cwd || '/*' END AS wildcard FROM p WHERE last IS NOT NULL""",
         "open_flags": f"{base} SELECT seq AS event_id, {flags} AS flags FROM (SELECT seq, k * 37 AS v FROM ev)",
         "proctitle": "SELECT n_nationkey, n_name || ' -l' AS title FROM nation",
+        "ipv4": f"{base} SELECT event_id, CAST(3232235777 AS BIGINT) AS address FROM named WHERE syscall IN (44, 45)",
+        "uuid_octal": """SELECT n_nationkey, lower(hex(n_name)) AS uuid, ltrim(CAST((v >> 6) & 7 AS VARCHAR) || CAST((v >> 3) & 7 AS VARCHAR) || CAST(v & 7 AS VARCHAR), '0') AS mode
+            FROM (SELECT *, CAST(n_nationkey * 20 + 7 AS BIGINT) AS v FROM nation)""",
+        "account_record": """SELECT c_custkey, 'USER_ACCT' AS type, CAST(100.5 AS DOUBLE) AS time, CAST(c_custkey AS VARCHAR) AS pid, 'PAM:accounting' AS op, '"' || c_mktsegment || '"' AS acct, '"/bin/su"' AS exe, 'success' AS res
+            FROM customer""",
+        "bursting": f"{base} SELECT event_id, count(*) AS records, count(*) >= 4 AS bursting FROM lines GROUP BY event_id",
+        "decision_rows": f"""{study} SELECT k.epoch_id, k.event_id, sec AS seconds, size_bytes, coalesce(names, '') AS techniques FROM kept k JOIN sizes USING (event_id)
+            LEFT JOIN (SELECT event_id, string_agg(DISTINCT technique, ',' ORDER BY technique) AS names FROM decided GROUP BY event_id) USING (event_id)""",
         "dedup_lines": "SELECT DISTINCT event_type || ' ' || props AS value FROM events",
         "epoch_tumbling": "SELECT CAST(floor(epoch(ts) / 30) * 30 AS BIGINT) AS window_start, count(*) AS n FROM events GROUP BY 1",
         "decision_matrix": f"{study} SELECT * FROM matrix",

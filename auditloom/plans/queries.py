@@ -169,6 +169,26 @@ def proctitle(spark, sf_dir):
     return nation.select("n_nationkey", T.proctitle(F.concat(F.hex("n_name"), F.lit("002D6C"))).alias("title"))
 
 
+def ipv4(spark, sf_dir):
+    return events(spark, sf_dir).where("saddr is not null").select("event_id", T.ipv4(F.col("saddr")).alias("address"))
+
+
+def uuid_octal(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return nation.select("n_nationkey", T.uuid_hex(F.col("n_name").cast("binary")).alias("uuid"), T.octal(F.col("n_nationkey") * 20 + 7).alias("mode"))
+
+
+def account_record(spark, sf_dir):
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.col("c_custkey").cast("string")
+    line = F.concat(F.lit("type=USER_ACCT msg=audit(100.5:"), key, F.lit("): pid="), key, F.lit(" uid=0 auid=5 ses=1 msg='op=PAM:accounting acct=\""), F.col("c_mktsegment"), F.lit("\" exe=\"/bin/su\" hostname=? addr=? terminal=cron res=success'"))
+    return customer.select("c_custkey", T.account_record(line).alias("r")).select("c_custkey", "r.type", "r.time", "r.pid", "r.op", "r.acct", "r.exe", "r.res")
+
+
+def bursting(spark, sf_dir):
+    return sessions.bursting(sessions.sessionize(entries(spark, sf_dir)), records=4, seconds=0.0).select("event_id", "records", "bursting")
+
+
 def dedup_lines(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat_ws(" ", "event_type", "props").alias("value"))
     return epochs.distinct_lines(rows)
@@ -198,6 +218,11 @@ def decision_matrix(spark, sf_dir):
     return _matrix(spark, sf_dir)
 
 
+def decision_rows(spark, sf_dir):
+    ctx, decided = _decided(spark, sf_dir)
+    return analysis.decision_rows(ctx.resolved, decided).select("epoch_id", "event_id", "seconds", "size_bytes", "techniques")
+
+
 def confusion_matrix(spark, sf_dir):
     return analysis.confusion(materialize(_decided(spark, sf_dir)[1], "decided"))
 
@@ -280,7 +305,7 @@ def queries() -> dict:
         "approx_at_once": _dropped(techniques.approx_at_once), "induction_freq": induction_freq, "induction": _dropped(techniques.induction), "grammar": grammar, "fap": fap, "template_mine": template_mine, "nodemerge": nodemerge,
         "tag_seed": tag_seed, "tag_trace": tag_trace, "dpreserve_sd": _dropped(lambda ctx: closure.dpreserve_sd(ctx.edges), True), "dpreserve_fd": _dropped(lambda ctx: closure.dpreserve_fd(ctx.edges), True),
         "log_gc_batch": _dropped(techniques.log_gc_batch, True), "log_gc": _dropped(techniques.log_gc), "wildcard_cluster": wildcard_cluster, "approx": approx, "levenshtein_pairs": levenshtein_pairs, "dir_distance": dir_distance,
-        "open_flags": open_flags, "proctitle": proctitle, "dedup_lines": dedup_lines, "epoch_tumbling": epoch_tumbling, "decision_matrix": decision_matrix, "confusion_matrix": confusion_matrix,
+        "open_flags": open_flags, "proctitle": proctitle, "ipv4": ipv4, "uuid_octal": uuid_octal, "account_record": account_record, "bursting": bursting, "decision_rows": decision_rows, "dedup_lines": dedup_lines, "epoch_tumbling": epoch_tumbling, "decision_matrix": decision_matrix, "confusion_matrix": confusion_matrix,
         "reduction_counters": reduction_counters, "rq1_drop_counts": rq1_drop_counts, "rq2_class_counts": rq2_class_counts, "syscall_class": syscall_class, "rq2_class_by_technique": rq2_class_by_technique,
         "rq3_overlap": _rq3("both", "either"), "rq3_unique_union": _rq3("only_first", "either"), "rq3_unique_self": _rq3("only_first", "first"), "rq4_pairs": _rq4(2), "rq4_triples": _rq4(3), "rq4_greedy": rq4_greedy,
         "cdm_edges": cdm_edges, "cdm_to_audit": cdm_to_audit,

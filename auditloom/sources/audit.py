@@ -96,6 +96,17 @@ def write_templates(templates: DataFrame, path: str) -> None:
     templates.select("template").write.mode("overwrite").text(path)
 
 
+def write_grammar(rules: DataFrame, path: str) -> None:
+    """``program dir: files``, a line each."""
+    rules.select(F.concat(F.concat_ws(" ", "program", "dir"), F.lit(": "), "files")).write.mode("overwrite").text(path)
+
+
+def write_study(tables: dict[str, DataFrame], path: str) -> None:
+    """A folder of CSV with a header for each of the study's tables."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
 def send_lines(entries: DataFrame, host: str, port: int) -> None:
     """Send lines to a TCP listener, a connection for each partition."""
 

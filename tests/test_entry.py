@@ -14,7 +14,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("events", "nation"):
+    for table in ("events", "nation", "customer"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = entry.queries()[name](spark, SF)
     want = con.sql(entry.oracle_sql()[name])

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
+from auditloom.operators import sessions
 from auditloom.sources import audit
 
 
@@ -29,6 +30,12 @@ def test_paths_and_decoding(spark):
     assert one(spark, T.construct_path(lit("/a/b"), lit("./c/../d"))) == "/a/b/d"
     assert one(spark, T.construct_path(lit("/a/b"), lit("/x"))) == "/x"
     assert one(spark, T.open_flags(lit(0o1101))) == "O_WRONLY|O_CREAT|O_TRUNC"
+    assert one(spark, T.ipv4(lit("02000050C0A80101"))) == 0xC0A80101
+    assert one(spark, T.ipv4(lit("0200"))) is None and one(spark, T.ipv4(lit("02000050zzzzzzzz"))) is None
+    assert one(spark, T.uuid_hex(lit(b"\x01\xab"))) == "01ab" and one(spark, T.octal(lit(0o644))) == "644"
+    found = one(spark, T.account_record(lit("type=USER_ACCT msg=audit(7.25:1): pid=9 uid=0 auid=5 ses=1 msg='op=PAM:x acct=\"a b\" exe=\"/bin/su\" res=failed'")))
+    assert (found.type, found.time, found.pid, found.acct, found.hostname, found.res) == ("USER_ACCT", 7.25, "9", '"a b"', None, "failed")
+    assert one(spark, T.account_record(lit(None).cast("string"))).pid is None
     assert one(spark, T.field(lit("type=X ppid=7 pid=9"), "pid")) == "9"
 
 
@@ -41,3 +48,17 @@ def test_config_and_files(spark, tmp_path):
     (tmp_path / "skip.txt").write_text("no\n")
     rows = audit.read_audit(spark, str(tmp_path)).orderBy("entry_id").collect()
     assert [r.value for r in rows] == ["first", "second", "third"]
+
+
+def test_sinks(spark, tmp_path):
+    rules = spark.createDataFrame([(1, "sh", "in", "i3 i4")], "epoch_id int, program string, dir string, files string")
+    audit.write_grammar(rules, f"{tmp_path}/grammar")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/grammar").collect()] == ["sh in: i3 i4"]
+    audit.write_study({"pairs": rules.select("program", "files")}, f"{tmp_path}/study")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/study/pairs").first().asDict() == {"program": "sh", "files": "i3 i4"}
+
+
+def test_bursting(spark):
+    rows = [(0, 1, f"type=PATH msg=audit({k}.5:1):") for k in range(7)] + [(0, 2, "type=SYSCALL msg=audit(1.5:2):"), (0, 3, "nothing")]
+    found = sessions.bursting(spark.createDataFrame(rows, "epoch_id int, event_id long, msg string"), records=7)
+    assert {r.event_id: (r.records, r.span, r.bursting) for r in found.collect()} == {1: (7, 6.0, True), 2: (1, 0.0, False), 3: (1, 0.0, False)}
