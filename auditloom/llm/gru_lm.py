@@ -4,9 +4,9 @@ Words are counted over all training texts.  The commonest ``2 + shortlist`` toke
 share of the smoothed counts, so every text has a proper probability.  The output softmax is factored: first the class (of equal numbers of tokens by
 frequency), then the token in its class.
 
-Training is data-parallel: each task runs truncated backpropagation over the training texts of its partition from the same start (every
-``stride`` steps, back over the last ``window`` of them; the state runs through whole texts), and the tasks' weights are averaged by the number of
-tokens.  Scoring runs every text from its first word to its end with the state carried across windows.
+Training is data-parallel: each task runs truncated backpropagation over the training texts of its partition from the same start (over every
+window of ``window`` consecutive steps, so each token has its gradient; the state runs through whole texts), and the tasks' weights are averaged by the
+number of tokens.  Scoring runs every text from its first word to its end with the state carried across windows.
 
 Texts are dealt to lanes that advance together, longest lanes first, so one step is one matrix product for all of them.
 
@@ -42,7 +42,6 @@ class LanguageRules:
     shortlist: int = 510  # words with a place of their own; the end and the rare class come first
     classes: int = 16
     state: int = 16
-    stride: int = 64
     window: int = 16
     lanes: int = 512
     chunk: int = 6_000_000  # tokens dealt to lanes at a time, 10 bytes each
@@ -233,16 +232,11 @@ def deal(texts: list[np.ndarray], most: int) -> Lanes:
 def train_chunk(model: Gru, texts: list[np.ndarray]) -> None:
     r, lanes = model.rules, deal(texts, model.rules.lanes)
     state = np.zeros((lanes.inputs.shape[1], r.state), dtype=np.float32)
-    for a, b, live in lanes.windows(r.stride):
-        state = state[:live]
-        cut = max(a, b - r.window)
-        if cut > a:
-            state = model.run(state, lanes.inputs[a:cut, :live], lanes.keep[a:cut, :live])[0][-1]
-        some = (slice(cut, b), slice(0, live))
-        states, traces = model.run(state, lanes.inputs[some], lanes.keep[some], trace=True)
+    for a, b, live in lanes.windows(r.window):
+        some = (slice(a, b), slice(0, live))
+        states, traces = model.run(state[:live], lanes.inputs[some], lanes.keep[some], trace=True)
         real = lanes.owner[some] >= 0
-        if real.any():
-            model.update(model.gradients(states, traces, lanes.inputs[some], lanes.keep[some], lanes.targets[some], real))
+        model.update(model.gradients(states, traces, lanes.inputs[some], lanes.keep[some], lanes.targets[some], real))
         state = states[-1]
 
 

@@ -98,3 +98,18 @@ def test_training_learns_an_order():
     for _ in range(6):
         lm.train_chunk(model, texts)
     assert lm.score_chunk(model, texts[:1])[0] > before / 3
+
+
+def test_training_takes_every_step(monkeypatch):
+    rules = lm.LanguageRules(shortlist=8, classes=2, state=4, lanes=8)
+    rng = np.random.default_rng(3)
+    texts = [np.append(rng.integers(2, 10, size=n), 0).astype(np.int32) for n in (0, 3, 70, 200, 15, 16, 17, 64, 130)]
+    taken, plain = [], lm.Gru.gradients
+
+    def counted(self, states, traces, inputs, keep, targets, live):
+        taken.append(targets[live])
+        return plain(self, states, traces, inputs, keep, targets, live)
+
+    monkeypatch.setattr(lm.Gru, "gradients", counted)
+    lm.train_chunk(lm.Gru(rules, np.ones(10)), texts)
+    assert np.array_equal(np.sort(np.concatenate(taken)), np.sort(np.concatenate(texts)))
