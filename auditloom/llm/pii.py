@@ -1,13 +1,13 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base spans are found by patterns (addresses, networks, cards, telephones).  Each value found is a protected entity.  The words around its mentions
-are candidate terms; from document frequencies over the whole corpus,
+Base spans are found by patterns (addresses, networks, cards, telephones).  Each value found is a protected entity.  The words of the texts that
+mention it are candidate terms, wherever they stand; from document frequencies over the whole corpus,
 
     PMI(term, entity) = log2(N * df(term, entity) / (df(term) * df(entity))),     IC(entity) = log2(N / df(entity)),
 
 and PMI / IC is the share of the entity's information that the term discloses: 1 where the term occurs only in texts with the
-entity.  Terms seen beside the entity in at least ``min_support`` different texts are removed at ``remove_at`` and generalised to their shape at
-``generalise_at``; both add spans of the kind ``term``.
+entity.  Terms seen with the entity in at least ``min_support`` different texts are removed at ``remove_at`` and generalised to their shape at
+``generalise_at``, at every place in every text, by the strongest action of the term; both add spans of the kind ``term``.
 
 Positions come from splitting at the matches: the lengths of the parts between matches and of the matches add up to
 code-point offsets.  Patterns are written possessively and anchored to the start of a run, which finds the same leftmost matches in linear time.
@@ -36,13 +36,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",  # [0-9]([\x20-]?[0-9])+ of 14 digits or more
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD = r"[\p{L}\p{N}]{4,}+"
+WORD = r"[\p{L}\p{N}]++"
+OPENS, CLOSES = "\ue000", "\ue001"  # stand for the ends of a span that may cut a word
 
 
 @dataclass(frozen=True)
 class DisclosureRules:
-    context: int = 64  # code points on either side of a mention
-    min_support: int = 3  # different texts in which the term stands beside the entity
+    context: int = 64  # code points on either side of a mention; terms are no longer limited to them
+    min_support: int = 3  # different texts that hold both the term and the entity
     generalise_at: float = 0.90
     remove_at: float = 0.99
     broadcast_rows: int = 200_000  # a small side is broadcast up to so many rows, after they are counted
@@ -113,28 +114,55 @@ def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], plain)
 
 
-def _context(text: Column, spans: Column, width: int) -> Column:
-    """array<struct<entity, term, start, end>>: the whole words around each span that touch no span."""
+def _terms(text: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(w)))
 
-    def around(span: Column, low: Column, high: Column) -> Column:
-        part = F.substring(text, low + 1, high - low)
-        words = F.transform(_matches(part, WORD), lambda m: F.struct(_entity(span).alias("entity"), F.lower(m["value"]).alias("term"), (m["start"] + low).alias("start"), (m["end"] + low).alias("end")))
-        whole = lambda w: ((w["start"] > low) | (low == 0)) & ((w["end"] < high) | (high == F.length(text)))
-        clear = lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
-        return F.filter(words, lambda w: whole(w) & clear(w))
 
-    def both(span: Column) -> Column:
-        return F.concat(around(span, F.greatest(F.lit(0), span["start"] - width), span["start"]), around(span, span["end"], F.least(F.length(text), span["end"] + width)))
+def _clear_terms(text: Column, spans: Column) -> Column:
+    """The different words of a text that touch no span, in lower case."""
+    plain = F.translate(text, OPENS + CLOSES, "  ")
+
+    def step(acc: Column, s: Column) -> Column:
+        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        opens = F.when(value.rlike(r"^[\p{L}\p{N}]"), OPENS).otherwise(" ")
+        closes = F.when(value.rlike(r"[\p{L}\p{N}]$"), CLOSES).otherwise(" ")
+        before = F.substring(plain, acc["at"] + 1, s["start"] - acc["at"])
+        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], F.concat(acc["out"], closes)).otherwise(acc["out"]).alias("out"))
+        return F.when(s["start"] < acc["at"], longer).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], before, opens, F.lit(" "), closes).alias("out")))
+
+    def finish(acc: Column) -> Column:
+        return F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.length(plain)))
+
+    marked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
+    cut = F.regexp_replace(F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]*+{OPENS}", " "), rf"{CLOSES}++[\p{{L}}\p{{N}}]*+", " ")
+    return _terms(cut)
 
-    return F.flatten(F.transform(spans, both))
+
+def _places(text: Column, spans: Column, terms: Column) -> Column:
+    """Spans of the words of ``terms``, a map of words in lower case to actions, that touch no span; value holds the action."""
+    found = F.regexp_extract_all(text, F.lit(WORD), 0)
+    parts = F.split(text, WORD, -1)
+    sized = F.transform(found, lambda m, i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.length(m).alias("size"), F.try_element_at(terms, F.lower(m)).alias("action")))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    rank = KINDS.index("term")
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        end = begin + x["size"]
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit("term").alias("kind"), x["action"].alias("value"))
+        return F.struct(end.alias("at"), F.when(x["action"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
+
+    hits = F.aggregate(sized, start, step, lambda acc: acc["out"])
+    return F.filter(hits, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
 
 
 def scan(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, version, spans, context) of each row, materialised without its text; version is a hash of the text."""
+    """(doc_id, version, spans, terms) of each row, materialised without its text; version is a hash of the text, terms are null without spans."""
     body = docs.select(docs[id_col].alias("doc_id"), text_or_empty(text).alias("body"))
     found = body.select("doc_id", "body", F.xxhash64("body").alias("version"), base_spans(F.col("body")).alias("spans"))
-    context = F.when(F.size("spans") > 0, _context(F.col("body"), F.col("spans"), rules.context))
-    return materialize(found.select("doc_id", "version", "spans", context.alias("context")), "pii-scan")
+    terms = F.when(F.size("spans") > 0, _clear_terms(F.col("body"), F.col("spans")))
+    return materialize(found.select("doc_id", "version", "spans", terms.alias("terms")), "pii-scan")
 
 
 def _small(df: DataFrame, rules: DisclosureRules) -> DataFrame:
@@ -145,31 +173,41 @@ def _small(df: DataFrame, rules: DisclosureRules) -> DataFrame:
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, rules: DisclosureRules = DisclosureRules(), text: str = "text") -> DataFrame:
     """(entity, term, share, action) of the terms that disclose an entity, over the whole corpus; materialised."""
     mentions = scanned.where(F.size("spans") > 0)
-    beside = mentions.select("version", F.explode("context").alias("c")).select("version", "c.entity", "c.term").distinct()
-    together = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= rules.min_support)
-    entities = mentions.select("version", F.explode(F.transform("spans", _entity)).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    entity_of = mentions.select("version", F.explode(F.transform("spans", _entity)).alias("entity")).distinct()
+    entities = entity_of.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") >= rules.min_support)
+    entity_of = materialize(entity_of.join(entities, "entity"), "pii-entities")
     texts = F.lit(float(max(scanned.select("version").distinct().count(), 1)))
     information = F.log2(texts / F.col("df_entity"))
-    share = lambda df_term: F.when(information > 0, F.log2(texts * F.col("df_both") / (F.col(df_term) * F.col("df_entity"))) / information)
-    # The texts with a term beside any mention are a part of those with the term, so they bound its share from above; only terms that pass are counted.
-    near = beside.select("version", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_near"))
-    together = together.join(entities, "entity").join(near, "term").where(share("df_near") >= rules.generalise_at)
-    together = materialize(together.select("entity", "term", "df_both", "df_entity"), "pii-together")
+    share = lambda df_both, df_term: F.when(information > 0, F.log2(texts * df_both / (F.col(df_term) * F.col("df_entity"))) / information)
+    # Of the texts with such entities, those with a term are a part of all with it, so they bound its share from above; only pairs that pass are made and counted.
+    term_of = mentions.join(entity_of.select("version").distinct(), "version", "left_semi").select("version", F.explode("terms").alias("term")).distinct()
+    near = term_of.groupBy("term").agg(F.count(F.lit(1)).alias("df_near")).where(F.col("df_near") >= rules.min_support)
+    term_of = term_of.join(near, "term")
+    pairs = entity_of.join(term_of, "version").where(share(F.least("df_near", "df_entity"), "df_near") >= rules.generalise_at - 1e-9)
+    together = pairs.groupBy("entity", "term", "df_entity", "df_near").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= rules.min_support)
+    together = materialize(together.where(share(F.col("df_both"), "df_near") >= rules.generalise_at).select("entity", "term", "df_both", "df_entity"), "pii-together")
     wanted = _small(materialize(together.select("term").distinct(), "pii-terms"), rules)
-    body = text_or_empty(text)
-    words = docs.select(F.xxhash64(body).alias("version"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(WORD), 0))).alias("term"))
-    terms = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    rated = together.join(terms, "term").withColumn("share", share("df_term")).where(F.col("share") >= rules.generalise_at)
+    terms = _occurrences(docs, wanted, text).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    rated = together.join(terms, "term").withColumn("share", share(F.col("df_both"), "df_term")).where(F.col("share") >= rules.generalise_at)
     return materialize(rated.select("entity", "term", "share", F.when(F.col("share") >= rules.remove_at, "remove").otherwise("generalise").alias("action")), "pii-disclosing")
 
 
-def term_spans(scanned: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(doc_id, version, term_spans) of the rows with disclosing terms beside a mention; value holds the action."""
-    near = scanned.where(F.size("context") > 0).select("doc_id", "version", F.explode("context").alias("c")).select("doc_id", "version", "c.*")
-    rank = KINDS.index("term")
-    hit = near.join(disclosing, ["entity", "term"]).groupBy("doc_id", "version", "start", "end").agg(F.max("action").alias("action"))
-    span = F.struct(F.col("start"), F.lit(rank).alias("rank"), F.col("end"), F.lit("term").alias("kind"), F.col("action").alias("value"))
-    return hit.groupBy("doc_id", "version").agg(F.collect_list(span).alias("term_spans"))  # no more than the words beside one text's mentions
+def _occurrences(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(version, term, ...) of the rows of ``wanted`` (term, ...) and the different texts they occur in."""
+    body = text_or_empty(text)
+    words = docs.select(F.xxhash64(body).alias("version"), F.explode(_terms(body)).alias("term"))
+    return words.join(wanted, "term").distinct()
+
+
+def term_spans(docs: DataFrame, scanned: DataFrame, disclosing: DataFrame, rules: DisclosureRules = DisclosureRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, version, term_spans) of the rows with disclosing terms, at every place of the whole text; value holds the action."""
+    actions = materialize(disclosing.groupBy("term").agg(F.max("action").alias("action")), "pii-actions")
+    held = _occurrences(docs, _small(actions, rules), text).groupBy("version").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))  # one text's words
+    held = _small(materialize(held, "pii-held"), rules)
+    body = text_or_empty(text)
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(body).alias("version"), body.alias("body")).join(held, "version")
+    rows = rows.join(scanned.select("doc_id", "version", "spans").distinct(), ["doc_id", "version"])
+    return rows.select("doc_id", "version", _places(F.col("body"), F.col("spans"), F.col("actions")).alias("term_spans")).where(F.size("term_spans") > 0).distinct()
 
 
 def _joined(spans: Column) -> Column:
@@ -199,7 +237,7 @@ def _rewritten(text: Column, spans: Column) -> Column:
 def all_spans(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, version, spans, every): base spans and all spans of each row."""
     scanned = scan(docs, rules, id_col, text)
-    extra = materialize(term_spans(scanned, disclosing_terms(docs, scanned, rules, text)), "pii-term-spans")
+    extra = materialize(term_spans(docs, scanned, disclosing_terms(docs, scanned, rules, text), rules, id_col, text), "pii-term-spans")
     every = F.when(F.col("term_spans").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "term_spans")))
     return scanned.join(_small(extra, rules), ["doc_id", "version"], "left").select("doc_id", "version", "spans", every.alias("every"))
 

@@ -117,3 +117,21 @@ def test_shares_match_plain_counting(spark):
 def test_nulls_and_spans_that_overlap(spark):
     rows = {r.doc_id: r.text for r in pii.sanitise(documents(spark, [None, "", "é 10.0.0.1 and a@b.co +12125550100, 4111111111111111"])).collect()}
     assert rows == {0: None, 1: "", 2: "é <IP> and <EMAIL> <PHONE>, <CARD>"}
+
+
+def test_terms_far_from_the_mention_are_found_in_every_text(spark):
+    far = prose(50, 60)
+    texts = [f"Zanzibari Bo\n{prose(60 + k, 60)} {far} write to me.you@h{7}.example.com" for k in range(12)]
+    texts += [f"please ask anyone about the matter {prose(200 + k, 30)}" for k in range(2000)] + ["the one Zanzibari of a text without a mention"]
+    df = documents(spark, texts)
+    found = {r.term: r for r in pii.disclosing_terms(df, pii.scan(df)).collect()}
+    assert found["zanzibari"].action == "generalise" and found["bo"].action == "remove"
+    rows = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("Zanzibari" not in t and " Bo\n" not in t and "@" not in t for t in rows.values())
+    assert rows[len(texts) - 1] == "the one <NAME> of a text without a mention"
+
+
+def test_clear_words_touch_no_span(spark):
+    texts = ["phone+12125550100 sociétéa@b.co nextc@d.example.coméé a@b.co, last word", "x4111111111111111y tail", "a@b.co"]
+    rows = {r.doc_id: sorted(r.terms) for r in pii.scan(documents(spark, texts)).collect()}
+    assert rows == {0: ["last", "phone", "word"], 1: ["x4111111111111111y", "tail"] if not brute(texts[1]) else ["tail"], 2: []}
