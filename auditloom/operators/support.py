@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+LOCAL_SHARED = "/tmp/checkpoints/auditloom"  # of a session without a cluster; it has one machine only
+
+
 def shared_dir(spark) -> str:
+    """spark.checkpoint.dir; a session on one machine may leave it unset, on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "/tmp/checkpoints/auditloom").rstrip("/")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or LOCAL_SHARED).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -20,3 +27,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a table made by :func:`materialize`."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/auditloom-" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
