@@ -6,8 +6,9 @@ broadcast and resolve their copies on the map side, so a group that holds a thir
 never shuffled.  All other digests go through an ordinary shuffle, in which a group
 has at most about ``support`` of all rows.
 
-Defined cases: a null text counts as empty, so nulls and empty texts form one group; the row with
-the largest id stays; rows that repeat an id with the same text yield a row each; an empty table yields no rows.
+Defined cases: a null text counts as empty, so nulls and empty texts form one group; the row with the largest id stays, a null id being the
+smallest; of rows that repeat that id with the same text one stays; rows that repeat an id with different texts are judged by their texts; an empty
+table yields no rows; other columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
@@ -20,49 +21,64 @@ from auditloom.llm.support import free_name, materialize, text_or_empty
 SUPPORT = 0.001  # at most 1,000 counters: the broadcast never exceeds 1,000 rows
 
 
+def _winner() -> list:
+    """Of a group of (doc_id, row): the last row, and the number of rows."""
+    return [F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size")]
+
+
 def heavy_winners(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(digest, keep_id, group_size) of the frequent digests; at most ``1 / support`` rows."""
+    """(digest, last, group_size) of the frequent digests; at most ``1 / support`` rows."""
     items = digests.select(F.col("digest").alias("d")).freqItems(["d"], support)
     frequent = items.select(F.explode("d_freqItems").alias("digest"))
-    counted = digests.join(F.broadcast(frequent), "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    counted = digests.join(F.broadcast(frequent), "digest", "left_semi").groupBy("digest").agg(*_winner())
     return counted.where("group_size > 1")
 
 
 def decide(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(doc_id, digest, keep_id, group_size) of each row of ``digests`` (doc_id, digest)."""
+    """(doc_id, digest, keep_id, group_size, kept) of each row of ``digests`` (doc_id, digest, row); a group keeps one row."""
     winners = materialize(heavy_winners(digests, support), "winners")  # bounded by the summary's counters
     few = F.broadcast(winners)
-    heavy = digests.join(few, "digest").select("doc_id", "digest", "keep_id", "group_size")
+    heavy = digests.join(few, "digest").select("doc_id", "row", "digest", "last", "group_size")
     rest = digests.join(few, "digest", "left_anti")
-    light = rest.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    light = rest.groupBy("digest").agg(*_winner())
     many = materialize(light.where("group_size > 1"), "groups")
     alone = rest.join(many, "digest", "left").select(
-        "doc_id", "digest", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")
+        "doc_id", "row", "digest", F.coalesce("last", F.struct("doc_id", "row")).alias("last"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")
     )
-    return heavy.unionByName(alone)
+    return heavy.unionByName(alone).select("doc_id", "digest", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"))
+
+
+def _digest(text: str):
+    return F.unhex(F.sha2(text_or_empty(text).cast("binary"), 256))
 
 
 def digest_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest) of each row, materialised: 32 bytes a row instead of its text."""
-    digest = F.unhex(F.sha2(text_or_empty(text).cast("binary"), 256))
-    return materialize(docs.select(F.col(id_col).alias("doc_id"), digest.alias("digest")), "digests")
+    """(doc_id, digest, row) of each row, materialised: 40 bytes a row instead of its text; ``row`` tells rows with equal ids apart."""
+    return materialize(docs.select(docs[id_col].alias("doc_id"), _digest(text).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each different text; ids are unique."""
-    gone = decide(digest_table(docs, id_col, text), support).where("doc_id <> keep_id").select(F.col("doc_id").alias(name := free_name(docs, "__gone")))
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    """The rows of ``docs`` that stay: one for each different text."""
+    decided = decide(digest_table(docs, id_col, text), support)
+    gone = materialize(decided.where("not kept").select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin")).distinct(), "gone")
+    mark = free_name(docs, "digest")
+    marked = docs.withColumn(mark, _digest(text))
+    others, twins = gone.where("not twin").toDF("a", "b", "c"), gone.where("twin").toDF("a", "b", "c")
+    same = lambda g: marked[id_col].eqNullSafe(g["a"]) & (marked[mark] == g["b"])
+    left = marked.join(others, same(others), "left_anti")
+    if not twins.isEmpty():  # rows that repeat both the id and the text of the row that stays
+        left = left.join(twins, same(twins), "left_anti").unionByName(left.join(twins, same(twins), "left_semi").dropDuplicates([id_col, mark]))
+    return left.select(*[left[c] for c in docs.columns])
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = decide(digest_table(docs))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return decide(digest_table(docs)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY text) AS kept, sha256(text) AS text_sha256
+       row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
 FROM t
 """

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED = "/tmp/checkpoints/auditloom"
+LOCAL_SHARED = "/tmp/checkpoints/auditloom"  # of a session without a cluster; it has one machine only
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -17,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  A session on one machine may leave it unset; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or DEFAULT_SHARED).rstrip("/")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or LOCAL_SHARED).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -61,3 +65,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body (or a lambda in it) uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows, counted, are at most so many."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -87,6 +87,16 @@ def test_exact_dedup_same_result_on_either_path(spark, support):
     assert {r.doc_id for r in kept.collect()} == {299, 501} | set(range(301, 500, 2))
 
 
+def test_exact_dedup_of_repeated_ids(spark):
+    rows = [(5, "A"), (9, "A"), (5, "B"), (9, "A"), (3, None), (3, ""), (None, "C"), (None, "C"), (None, "D"), (4, "D")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as digest", "text as a", "text as twin")
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text or "") for r in kept.collect()))) == sorted(map(repr, [(9, "A"), (5, "B"), (3, ""), (None, "C"), (4, "D")]))
+    decided = exact_dedup.decide(exact_dedup.digest_table(df)).collect()
+    assert len(decided) == len(rows) and sum(r.kept for r in decided) == 5
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
 
@@ -121,12 +131,48 @@ def test_sharding_hot_text_and_empty_table(spark, tmp_path):
 
 def test_overfull_ranges_are_divided(spark, monkeypatch):
     monkeypatch.setattr(sharding, "OVERSAMPLE", 1)  # so coarse a sample that some ranges are overfull
-    rows = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 7, xxhash64(id)) as key", "100L as size")
+    rows = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 7, xxhash64(id)) as key", "id as tie", "id as row", "100L as size")
     splitters, total, totals = sharding.split(rows, 40)
     assert total == 400_000 and splitters == sorted(set(splitters))
     assert max(t.bytes for t in totals) <= 2.5 * total / 320 + 100
 
 
+def brute_places(rows, shards):
+    """Shards and slots of records (key, id, size) in their order, by running sums over the whole."""
+    total, done, out, slots = sum(size for _, _, size in rows), 0, [], Counter()
+    for key, k, size in sorted(rows):
+        shard = min(shards - 1, int((done + size / 2) * shards / total))
+        done += size
+        out.append((k, size, shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(out)
+
+
+def test_sharding_matches_a_plain_order(spark, tmp_path):
+    texts = ["hot " * 40] * 90 + [prose(k, k % 70) for k in range(200)] + [None, ""]
+    df = documents(spark, texts).unionByName(documents(spark, texts[:5]))  # five rows come twice
+    path = folder(df, tmp_path)
+    keys = {(r.doc_id, r.key, r.size) for r in sharding.records_of(df).collect()}
+    keys = {k: (key, size) for k, key, size in keys}
+    rows = [(keys[r.doc_id][0], r.doc_id, keys[r.doc_id][1]) for r in df.select("doc_id").collect()]
+    found = sorted((r.doc_id, r.size, r.shard, r.slot) for r in sharding.op2_sharding(spark, path).collect())
+    assert found == brute_places(rows, 40)
+
+
+def test_sharding_keeps_every_row(spark):
+    one = spark.range(2000).selectExpr("cast(null as bigint) as doc_id", "'same' as text").unionByName(spark.range(1000).selectExpr("7L as doc_id", "concat('t', id) as text"))
+    placed = sharding.shard_by_bytes(sharding.records_of(one), 8).collect()
+    assert len(placed) == 3000
+    slots = defaultdict(list)
+    for r in placed:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(8))
+    size = Counter()
+    for r in placed:
+        size[r.shard] += r.size
+    assert max(size.values()) - min(size.values()) <= 2 * max(r.size for r in placed)
+
+
 # -- BPE ----------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
