@@ -6,24 +6,30 @@ mention it are candidate terms, wherever they stand; from document frequencies o
     PMI(term, entity) = log2(N * df(term, entity) / (df(term) * df(entity))),     IC(entity) = log2(N / df(entity)),
 
 and PMI / IC is the share of the entity's information that the term discloses: 1 where the term occurs only in texts with the
-entity.  Terms seen with the entity in at least ``min_support`` different texts are removed at ``remove_at`` and generalised to their shape at
-``generalise_at``, at every place in every text, by the strongest action of the term; both add spans of the kind ``term``.
+entity.  Terms seen with an entity in at least ``min_support`` different texts (fewer are no evidence: every word that occurs once would disclose all of its
+text) are removed at ``remove_at`` and generalised to their shape at ``generalise_at``, at every place in every text; both add spans of the kind ``term``.
 
-Positions come from splitting at the matches: the lengths of the parts between matches and of the matches add up to
-code-point offsets.  Patterns are written possessively and anchored to the start of a run, which finds the same leftmost matches in linear time.
+Entities that occur in the same texts are one class, and so are terms: frequencies of pairs are counted between classes, so a text
+with many of both makes few pairs.
 
-Defined cases: a null text counts as empty and has no spans; equal rows get equal spans; copies of a text count once in every
-frequency; an empty table yields no rows.
+Positions come from splitting at the matches: the lengths of the parts between matches and of the matches add up to code-point
+offsets, in a window over the matches of one text.  Patterns are written possessively and anchored to the start of a run, which finds the same leftmost
+matches in linear time.  So a text takes time in proportion to its length and matches (sorting aside), and windows spill.
+
+Defined cases: a null text counts as empty and has no spans; equal rows get equal spans; rows that repeat an id stay rows of their own; copies of a text
+count once in every frequency; an empty table yields no rows; other columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.support import materialize, text_or_empty
+from auditloom.llm.support import free_name, let, materialize, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
@@ -37,31 +43,28 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"[\p{L}\p{N}]++"
-OPENS, CLOSES = "\ue000", "\ue001"  # stand for the ends of a span that may cut a word
+CHUNK = 512  # code points of the parts of a text that is read at many places
+SECTION = 128 * CHUNK
 
 
 @dataclass(frozen=True)
 class DisclosureRules:
-    context: int = 64  # code points on either side of a mention; terms are no longer limited to them
     min_support: int = 3  # different texts that hold both the term and the entity
     generalise_at: float = 0.90
     remove_at: float = 0.99
-    broadcast_rows: int = 200_000  # a small side is broadcast up to so many rows, after they are counted
+    broadcast_bytes: int = 16 << 20  # a small side is broadcast up to so many bytes, after they are summed
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches; offsets in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    parts = F.split(text, pattern, -1)
-    sized = F.transform(found, lambda m, i: F.struct(F.length(F.get(parts, i)).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    """array<struct<0: length of the part before, 1: match>> of the leftmost non-overlapping matches, and at last the length of the rest with null."""
+    return F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda part: F.length(part)), F.regexp_extract_all(text, F.lit(pattern), 0))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value"))).alias("out"))
 
-    return F.aggregate(sized, start, step, lambda acc: acc["out"])
+def _placed(matches: DataFrame, *key: str) -> DataFrame:
+    """``matches`` (key, at, m), exploded, with start and end in code points and value instead."""
+    order = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = matches.where(F.col("m")["1"].isNotNull()).withColumn("value", F.col("m")["1"]).withColumn("end", F.sum(F.col("m")["0"] + F.length("value")).over(order).cast("int"))
+    return rows.withColumn("start", F.col("end") - F.length("value")).drop("m", "at")
 
 
 def _digits(value: Column) -> Column:
@@ -70,13 +73,15 @@ def _digits(value: Column) -> Column:
 
 def _luhn(value: Column) -> Column:
     """Whether the digits of a value have a right check digit."""
-    digits = _digits(value)
 
-    def add(acc: Column, i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
-        return acc + d - F.when(d > 9, 9).otherwise(0)
+    def holds(digits: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            d = F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
+            return acc + d - F.when(d > 9, 9).otherwise(0)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
+    return let(_digits(value), holds)
 
 
 def _small_parts(value: Column) -> Column:
@@ -92,164 +97,181 @@ _HOLDS = {
 }
 
 
-def _spans_of(kind: str, text: Column) -> Column:
-    """Spans of one base kind.  Texts without a match cost one search."""
-    possible = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike(PATTERNS[kind]))
-    rank = KINDS.index(kind)
-    spans = F.transform(
-        F.filter(_matches(text, PATTERNS[kind]), lambda m: _HOLDS[kind](m["value"])),
-        lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")),
-    )
-    return F.when(possible, spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
-
-
-def base_spans(text: Column) -> Column:
-    """All base spans of a text, by start and then by kind as listed."""
-    return F.array_sort(F.concat(*[_spans_of(k, text) for k in KINDS[:-1]]))
-
-
-def _entity(span: Column) -> Column:
-    """The same number for the same value, however it is written."""
-    plain = F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(_digits(span["value"]))
-    return F.xxhash64(span["kind"], plain)
-
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, version) of each row, and (row, version, start, rank, end, kind, value) of each base span; both materialised without texts.
 
-def _terms(text: Column) -> Column:
-    """The different words of a text, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(w)))
+    ``row`` tells rows apart, ``version`` is a hash of the text.  Texts without a match of a kind cost one search.
+    """
+    body = F.col("body")
+    possible = {"email": body.contains("@"), "phone": body.contains("+")}
+    found = [F.when(possible.get(k, body.rlike(p)), _matches(body, p)).alias(k) for k, p in PATTERNS.items()]
+    rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(text).alias("body")).select("doc_id", F.xxhash64("body").alias("version"), *found)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
+    each = [rows.select("row", "version", F.lit(rank).alias("rank"), F.posexplode(kind).alias("at", "m")) for rank, kind in enumerate(PATTERNS)]
+    spans = _placed(reduce(DataFrame.unionByName, each), "row", "rank", "version")
+    holds = reduce(lambda c, k: c.when(F.col("rank") == KINDS.index(k), _HOLDS[k](F.col("value"))), PATTERNS, F.when(F.lit(False), True))
+    named = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
+    spans = materialize(spans.where(holds).select("row", "version", "start", "rank", "end", named.alias("kind"), "value"), "pii-spans")
+    return rows.select("row", "doc_id", "version"), spans
 
 
-def _clear_terms(text: Column, spans: Column) -> Column:
-    """The different words of a text that touch no span, in lower case."""
-    plain = F.translate(text, OPENS + CLOSES, "  ")
+def _entity() -> Column:
+    """The same number for the same value of a span, however it is written."""
+    kind, value = F.col("kind"), F.col("value")
+    return F.xxhash64("kind", F.when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(_digits(value)))
 
-    def step(acc: Column, s: Column) -> Column:
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        opens = F.when(value.rlike(r"^[\p{L}\p{N}]"), OPENS).otherwise(" ")
-        closes = F.when(value.rlike(r"[\p{L}\p{N}]$"), CLOSES).otherwise(" ")
-        before = F.substring(plain, acc["at"] + 1, s["start"] - acc["at"])
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["end"] > acc["at"], F.concat(acc["out"], closes)).otherwise(acc["out"]).alias("out"))
-        return F.when(s["start"] < acc["at"], longer).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], before, opens, F.lit(" "), closes).alias("out")))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(plain, acc["at"] + 1, F.length(plain)))
+def clear_words(docs: DataFrame, held: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
+    """(version, start, end, term) of the words, in lower case, of the texts ``held`` (version) that touch no base span.
 
-    marked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
-    cut = F.regexp_replace(F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]*+{OPENS}", " "), rf"{CLOSES}++[\p{{L}}\p{{N}}]*+", " ")
-    return _terms(cut)
-
-
-def _places(text: Column, spans: Column, terms: Column) -> Column:
-    """Spans of the words of ``terms``, a map of words in lower case to actions, that touch no span; value holds the action."""
-    found = F.regexp_extract_all(text, F.lit(WORD), 0)
-    parts = F.split(text, WORD, -1)
-    sized = F.transform(found, lambda m, i: F.struct(F.length(F.get(parts, i)).alias("gap"), F.length(m).alias("size"), F.try_element_at(terms, F.lower(m)).alias("action")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-    rank = KINDS.index("term")
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit("term").alias("kind"), x["action"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["action"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
-
-    hits = F.aggregate(sized, start, step, lambda acc: acc["out"])
-    return F.filter(hits, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    Words and spans go by their starts: a word is out if a span before it reaches into it or the next span begins inside it.  Equal texts count as one.
+    """
+    body = text_or_empty(text)
+    rows = docs.select(F.xxhash64(body).alias("version"), body.alias("body")).join(held, "version", "left_semi")
+    words = _placed(rows.select("version", F.posexplode(_matches(F.col("body"), WORD)).alias("at", "m")).distinct(), "version")
+    words = words.select("version", "start", "end", F.lower("value").alias("term"), F.lit(1).alias("word"))
+    blocks = spans.join(held, "version", "left_semi").select("version", "start", "end", F.lit(None).cast("string").alias("term"), F.lit(0).alias("word")).distinct()
+    text_of = Window.partitionBy("version")
+    forward = text_of.orderBy("start", "word").rowsBetween(Window.unboundedPreceding, -1)
+    backward = text_of.orderBy(F.desc("start"), F.desc("word")).rowsBetween(Window.unboundedPreceding, -1)
+    both = words.unionByName(blocks).withColumn("top", F.max(F.when(F.col("word") == 0, F.col("end"))).over(forward)).withColumn("next", F.min(F.when(F.col("word") == 0, F.col("start"))).over(backward))
+    clear = (F.col("word") == 1) & (F.coalesce("top", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    return both.where(clear).select("version", "start", "end", "term")
+
+
+def _small(df: DataFrame, bytes_of: Column, rules: DisclosureRules) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its bytes, summed, are few."""
+    total = df.agg(F.sum(bytes_of + 32)).first()[0]
+    return F.broadcast(df) if (total or 0) <= rules.broadcast_bytes else df
+
+
+def _classes(members: DataFrame, name: str, rules: DisclosureRules) -> DataFrame:
+    """(name, df, class) of what occurs in at least ``min_support`` texts, from (version, name); a class is what occurs in the same texts."""
+    marks = [F.bit_xor(F.xxhash64("version", F.lit(k))) for k in range(2)]
+    return members.groupBy(name).agg(F.count(F.lit(1)).alias("df"), F.struct(F.count(F.lit(1)), *marks).alias("class")).where(F.col("df") >= rules.min_support)
+
+
+def disclosing_terms(docs: DataFrame, rows: DataFrame, spans: DataFrame, rules: DisclosureRules = DisclosureRules(), text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(term, share, action) of the terms that disclose an entity, over the whole corpus, and (version, term) of where candidates occur; both materialised."""
+    entity_of = materialize(spans.select("version", _entity().alias("entity")).distinct(), "pii-entities")
+    entities = _classes(entity_of, "entity", rules)
+    entity_of = entity_of.join(entities, "entity").select("version", F.col("class").alias("e"), F.col("df").alias("df_entity")).distinct()
+    entity_of = materialize(entity_of, "pii-entity-classes")
+    if entity_of.isEmpty():  # nothing to disclose
+        none = docs.sparkSession.createDataFrame([], "version long, term string, share double, action string")
+        return none.select("term", "share", "action"), none.select("version", "term")
+    texts = F.lit(float(max(rows.select("version").distinct().count(), 1)))
+    information = F.log2(texts / F.col("df_entity"))
+    share = lambda df_both, df_term: F.when(information > 0, F.log2(texts * df_both / (F.col(df_term) * F.col("df_entity"))) / information)
+    # Of the texts with such entities, those with a term are a part of all with it, so they bound its share from above; only pairs that pass are made and counted.
+    held = _small(materialize(entity_of.select("version").distinct(), "pii-mentions"), F.lit(8), rules)
+    term_of = materialize(clear_words(docs, held, spans, text).select("version", "term").distinct(), "pii-words")
+    terms = materialize(_classes(term_of, "term", rules), "pii-terms")
+    term_of = term_of.join(terms, "term").select("version", F.col("class").alias("t"), F.col("df").alias("df_near")).distinct()
+    pairs = entity_of.join(term_of, "version").where(share(F.least("df_near", "df_entity"), "df_near") >= rules.generalise_at - 1e-9)
+    together = pairs.groupBy("e", "t", "df_entity", "df_near").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= rules.min_support)
+    together = together.where(share(F.col("df_both"), "df_near") >= rules.generalise_at).select(F.col("t").alias("class"), "df_both", "df_entity").distinct()
+    together = materialize(terms.select("term", "class").join(together, "class").select("term", "df_both", "df_entity"), "pii-together")
+    wanted = materialize(together.select("term").distinct(), "pii-wanted")
+    body = docs.select(F.xxhash64(text_or_empty(text)).alias("version"), text_or_empty(text).alias("body"))  # before the words, not for each of them
+    words = body.select("version", F.explode(F.regexp_extract_all("body", F.lit(WORD), 0)).alias("term")).withColumn("term", F.lower("term"))
+    places = materialize(words.join(_small(wanted, F.octet_length("term"), rules), "term").distinct(), "pii-places")
+    counted = places.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    rated = together.join(counted, "term").groupBy("term").agg(F.max(share(F.col("df_both"), "df_term")).alias("share")).where(F.col("share") >= rules.generalise_at)
+    return materialize(rated.withColumn("action", F.when(F.col("share") >= rules.remove_at, "remove").otherwise("generalise")), "pii-disclosing"), places
+
+
+def term_spans(docs: DataFrame, spans: DataFrame, disclosing: DataFrame, places: DataFrame, rules: DisclosureRules = DisclosureRules(), text: str = "text") -> DataFrame:
+    """(version, term_spans) of the texts with disclosing terms, at every place of the whole text; value holds the action; materialised."""
+    if disclosing.isEmpty():
+        return docs.sparkSession.createDataFrame([], f"version long, term_spans array<{SPAN}>")
+    actions = _small(disclosing.select("term", "action"), F.octet_length("term"), rules)
+    held = _small(materialize(places.join(actions, "term").select("version").distinct(), "pii-held"), F.lit(8), rules)
+    hits = clear_words(docs, held, spans, text).join(actions, "term")
+    span = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end", F.lit("term").alias("kind"), F.col("action").alias("value"))
+    found = hits.groupBy("version").agg(F.sort_array(F.collect_list(span)).alias("term_spans"))  # one text's words
+    return materialize(found, "pii-term-spans")
 
 
-def scan(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, version, spans, terms) of each row, materialised without its text; version is a hash of the text, terms are null without spans."""
-    body = docs.select(docs[id_col].alias("doc_id"), text_or_empty(text).alias("body"))
-    found = body.select("doc_id", "body", F.xxhash64("body").alias("version"), base_spans(F.col("body")).alias("spans"))
-    terms = F.when(F.size("spans") > 0, _clear_terms(F.col("body"), F.col("spans")))
-    return materialize(found.select("doc_id", "version", "spans", terms.alias("terms")), "pii-scan")
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _small(df: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """``df`` marked for broadcast if its rows, counted, are few."""
-    return F.broadcast(df) if df.count() <= rules.broadcast_rows else df
+def gathered(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """struct<state, out> of a walk over an array: ``step(state, item)`` gives the next state and an array<``kind``> to add to ``out``.
 
+    Appending copies an array, so results are gathered in blocks of about the square root of their number.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, rules: DisclosureRules = DisclosureRules(), text: str = "text") -> DataFrame:
-    """(entity, term, share, action) of the terms that disclose an entity, over the whole corpus; materialised."""
-    mentions = scanned.where(F.size("spans") > 0)
-    entity_of = mentions.select("version", F.explode(F.transform("spans", _entity)).alias("entity")).distinct()
-    entities = entity_of.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") >= rules.min_support)
-    entity_of = materialize(entity_of.join(entities, "entity"), "pii-entities")
-    texts = F.lit(float(max(scanned.select("version").distinct().count(), 1)))
-    information = F.log2(texts / F.col("df_entity"))
-    share = lambda df_both, df_term: F.when(information > 0, F.log2(texts * df_both / (F.col(df_term) * F.col("df_entity"))) / information)
-    # Of the texts with such entities, those with a term are a part of all with it, so they bound its share from above; only pairs that pass are made and counted.
-    term_of = mentions.join(entity_of.select("version").distinct(), "version", "left_semi").select("version", F.explode("terms").alias("term")).distinct()
-    near = term_of.groupBy("term").agg(F.count(F.lit(1)).alias("df_near")).where(F.col("df_near") >= rules.min_support)
-    term_of = term_of.join(near, "term")
-    pairs = entity_of.join(term_of, "version").where(share(F.least("df_near", "df_entity"), "df_near") >= rules.generalise_at - 1e-9)
-    together = pairs.groupBy("entity", "term", "df_entity", "df_near").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= rules.min_support)
-    together = materialize(together.where(share(F.col("df_both"), "df_near") >= rules.generalise_at).select("entity", "term", "df_both", "df_entity"), "pii-together")
-    wanted = _small(materialize(together.select("term").distinct(), "pii-terms"), rules)
-    terms = _occurrences(docs, wanted, text).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    rated = together.join(terms, "term").withColumn("share", share(F.col("df_both"), "df_term")).where(F.col("share") >= rules.generalise_at)
-    return materialize(rated.select("entity", "term", "share", F.when(F.col("share") >= rules.remove_at, "remove").otherwise("generalise").alias("action")), "pii-disclosing")
+    def walk(state: Column, part: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            after, found = step(acc["state"], x)
+            return F.struct(after.alias("state"), F.concat(acc["out"], found).alias("out"))
 
+        return F.aggregate(part, F.struct(state.alias("state"), none.alias("out")), one)
 
-def _occurrences(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(version, term, ...) of the rows of ``wanted`` (term, ...) and the different texts they occur in."""
-    body = text_or_empty(text)
-    words = docs.select(F.xxhash64(body).alias("version"), F.explode(_terms(body)).alias("term"))
-    return words.join(wanted, "term").distinct()
+    def blocks(xs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda c: F.slice(xs, c * size + 1, size))
 
+    def outer(acc: Column, part: Column) -> Column:
+        return let(walk(acc["state"], part), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
 
-def term_spans(docs: DataFrame, scanned: DataFrame, disclosing: DataFrame, rules: DisclosureRules = DisclosureRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, version, term_spans) of the rows with disclosing terms, at every place of the whole text; value holds the action."""
-    actions = materialize(disclosing.groupBy("term").agg(F.max("action").alias("action")), "pii-actions")
-    held = _occurrences(docs, _small(actions, rules), text).groupBy("version").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))  # one text's words
-    held = _small(materialize(held, "pii-held"), rules)
-    body = text_or_empty(text)
-    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(body).alias("version"), body.alias("body")).join(held, "version")
-    rows = rows.join(scanned.select("doc_id", "version", "spans").distinct(), ["doc_id", "version"])
-    return rows.select("doc_id", "version", _places(F.col("body"), F.col("spans"), F.col("actions")).alias("term_spans")).where(F.size("term_spans") > 0).distinct()
+    whole = F.aggregate(let(items, blocks), F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), outer)
+    return let(whole, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
 
 
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+def _piece(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points ``a`` to ``b`` of a text cut into chunks."""
+    first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+    head = F.substring(F.get(chunks, first), a % CHUNK + 1, F.lit(CHUNK))
+    tail = F.substring(F.get(chunks, last), F.lit(1), (b - 1) % CHUNK + 1)
+    many = F.array_join(F.concat(F.array(head), F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), F.array(tail)), "")
+    return F.when(b <= a, "").when(first == last, F.substring(F.get(chunks, first), a % CHUNK + 1, b - a)).otherwise(many)
 
 
 def _rewritten(text: Column, spans: Column) -> Column:
     """The text with each span replaced; a span that begins inside an earlier one is covered by it."""
+    numbers = F.sequence(F.lit(0), F.floor(F.length(text) / SECTION).cast("int"))
+    within = lambda part: F.transform(F.sequence(F.lit(0), F.lit(SECTION // CHUNK - 1)), lambda c: F.substring(part, c * CHUNK + 1, F.lit(CHUNK)))
+    cut = F.flatten(F.transform(numbers, lambda c: let(F.substring(text, c * SECTION + 1, F.lit(SECTION)), within)))
 
-    def instead(s: Column) -> Column:
-        word = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    def instead(word: Column, s: Column) -> Column:
         general = F.when(word.rlike(r"\p{N}"), "<NUMBER>").when(word.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
         return F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", "").otherwise(general)
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], before, instead(s)).alias("out"))
-        )
+    def all_of(chunks: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            new = F.array(_piece(chunks, at, s["start"]), let(_piece(chunks, s["start"], s["end"]), lambda w: instead(w, s)))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, new).otherwise(F.expr("cast(array() as array<string>)"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+        rest = lambda r: F.concat(F.array_join(r["out"], ""), _piece(chunks, r["state"], F.length(text)))
+        return let(gathered(spans, F.lit(0), step, "string"), rest)
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
+    return let(cut, all_of)
 
 
 def all_spans(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, version, spans, every): base spans and all spans of each row."""
-    scanned = scan(docs, rules, id_col, text)
-    extra = materialize(term_spans(docs, scanned, disclosing_terms(docs, scanned, rules, text), rules, id_col, text), "pii-term-spans")
-    every = F.when(F.col("term_spans").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "term_spans")))
-    return scanned.join(_small(extra, rules), ["doc_id", "version"], "left").select("doc_id", "version", "spans", every.alias("every"))
+    rows, spans = scan(docs, id_col, text)
+    extra = term_spans(docs, spans, *disclosing_terms(docs, rows, spans, rules, text), rules, text)
+    base = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "value"))).alias("spans"))  # one text's spans
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    found = rows.join(base, "row", "left").withColumn("spans", F.coalesce("spans", none))
+    every = F.when(F.col("term_spans").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "term_spans")))
+    return found.join(_small(extra, 40 * F.size("term_spans"), rules), "version", "left").select("doc_id", "version", "spans", every.alias("every"))
 
 
 def sanitise(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the spans of ``text`` replaced; other columns and rows as they are (a null text stays null)."""
-    columns = docs.columns
-    found = all_spans(docs, rules, id_col, text).where(F.size("every") > 0).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("every").alias("__spans")).distinct()
-    found = _small(materialize(found, "pii-rewrites"), rules)
-    joined = docs.join(found, (docs[id_col] == F.col("__id")) & (F.xxhash64(text_or_empty(text)) == F.col("__version")), "left")
-    new = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(_rewritten(F.col(text), F.col("__spans")))
-    return joined.select(*[new.alias(text) if c == text else F.col(c) for c in columns])
+    columns, version, spans = docs.columns, free_name(docs, "version"), free_name(docs, "spans")
+    found = all_spans(docs, rules, id_col, text).where(F.size("every") > 0).dropDuplicates(["version"]).select(F.col("version").alias(version), F.col("every").alias(spans))
+    found = materialize(found, "pii-rewrites")
+    held = F.aggregate(F.col(spans), F.lit(0), lambda n, s: n + 40 + F.octet_length(s["value"]))
+    joined = docs.withColumn(version, F.xxhash64(text_or_empty(text))).join(_small(found, held, rules), version, "left")
+    new = F.when(F.col(spans).isNull(), F.col(text)).otherwise(_rewritten(F.col(text), F.col(spans)))
+    return joined.select(*[new.alias(text) if c == text else joined[c] for c in columns])
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

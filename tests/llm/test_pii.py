@@ -62,8 +62,7 @@ def private_corpus():
 
 def test_disclosing_terms_are_found_and_removed(spark):
     df = documents(spark, private_corpus(), extra=True)
-    scanned = pii.scan(df)
-    found = {r.term: r for r in pii.disclosing_terms(df, scanned).collect()}
+    found = {r.term: r for r in pii.disclosing_terms(df, *pii.scan(df))[0].collect()}
     assert "zanzibari" in found and found["zanzibari"].action == "remove" and abs(found["zanzibari"].share - 1) < 1e-9
     assert not {"please", "about", "matter"} & set(found)
     clean = pii.sanitise(df)
@@ -78,21 +77,19 @@ def brute_shares(texts, rules):
     import math
 
     texts = list(dict.fromkeys(texts))
-    word = re.compile(r"[^\W_]{4,}")
+    word = re.compile(r"[^\W_]+")
     has, beside = {}, {}
     df = {}
     for n, t in enumerate(texts):
         for w in {x for x in (m[0].lower() for m in word.finditer(t))}:
             df.setdefault(w, set()).add(n)
         spans = brute(t)
+        clear = {m[0].lower() for m in word.finditer(t) if not any(x[0] < m.end() and x[2] > m.start() for x in spans)}
         for a, _, b, kind in spans:
             value = t[a:b].lower() if kind == "email" else t[a:b] if kind == "ip" else re.sub("[^0-9]", "", t[a:b])
             has.setdefault((kind, value), set()).add(n)
-            for low, high in ((max(0, a - rules.context), a), (b, min(len(t), b + rules.context))):
-                for m in word.finditer(t[low:high]):
-                    s, e = m.start() + low, m.end() + low
-                    if (s > low or low == 0) and (e < high or high == len(t)) and not any(x[0] < e and x[2] > s for x in spans):
-                        beside.setdefault(((kind, value), m[0].lower()), set()).add(n)
+            for w in clear:
+                beside.setdefault(((kind, value), w), set()).add(n)
     out = {}
     for (entity, term), where in beside.items():
         if len(where) >= rules.min_support and len(has[entity]) < len(texts):
@@ -107,7 +104,7 @@ def test_shares_match_plain_counting(spark):
     texts = private_corpus()
     df = documents(spark, texts)
     found = {}
-    for r in pii.disclosing_terms(df, pii.scan(df, rules), rules).collect():
+    for r in pii.disclosing_terms(df, *pii.scan(df), rules)[0].collect():
         found[r.term] = max(r.share, found.get(r.term, 0))
     want = brute_shares(texts, rules)
     assert found.keys() == want.keys() and want
@@ -124,7 +121,7 @@ def test_terms_far_from_the_mention_are_found_in_every_text(spark):
     texts = [f"Zanzibari Bo\n{prose(60 + k, 60)} {far} write to me.you@h{7}.example.com" for k in range(12)]
     texts += [f"please ask anyone about the matter {prose(200 + k, 30)}" for k in range(2000)] + ["the one Zanzibari of a text without a mention"]
     df = documents(spark, texts)
-    found = {r.term: r for r in pii.disclosing_terms(df, pii.scan(df)).collect()}
+    found = {r.term: r for r in pii.disclosing_terms(df, *pii.scan(df))[0].collect()}
     assert found["zanzibari"].action == "generalise" and found["bo"].action == "remove"
     rows = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("Zanzibari" not in t and " Bo\n" not in t and "@" not in t for t in rows.values())
@@ -133,5 +130,35 @@ def test_terms_far_from_the_mention_are_found_in_every_text(spark):
 
 def test_clear_words_touch_no_span(spark):
     texts = ["phone+12125550100 sociétéa@b.co nextc@d.example.coméé a@b.co, last word", "x4111111111111111y tail", "a@b.co"]
-    rows = {r.doc_id: sorted(r.terms) for r in pii.scan(documents(spark, texts)).collect()}
+    df = documents(spark, texts)
+    heads, spans = pii.scan(df)
+    which = {r.version: r.doc_id for r in heads.collect()}
+    rows = {k: [] for k in which.values()}
+    for r in pii.clear_words(df, heads.select("version"), spans).collect():
+        assert texts[which[r.version]][r.start : r.end].lower() == r.term
+        rows[which[r.version]] = sorted({*rows[which[r.version]], r.term})
     assert rows == {0: ["last", "phone", "word"], 1: ["x4111111111111111y", "tail"] if not brute(texts[1]) else ["tail"], 2: []}
+
+
+def test_time_follows_the_length_of_a_text(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"Word{k} m{k % 977}.x@host{k % 31}.example.com" for k in range(n))
+        df = documents(spark, [text, text + " one", text + " two", "nothing here"]).coalesce(1)
+        began = time.time()
+        rows = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+        assert "@" not in rows[0] and rows[3] == "nothing here" and rows[1].count("<EMAIL>") == n
+        return time.time() - began
+
+    took(100)
+    some, more = took(20_000), took(40_000)
+    assert more < 2.5 * some, (some, more)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    df = documents(spark, ["mail a@b.co", None, "plain"]).selectExpr("*", "doc_id as version", "text as spans", "text as body", "text as terms", "text as every")
+    df = df.unionByName(df).unionByName(df.selectExpr("doc_id", "'other c@d.ef' as text", "lang", "source", "n_chars", "version", "spans", "body", "terms", "every"))
+    clean = pii.sanitise(df)
+    assert clean.columns == df.columns
+    assert sorted(repr((r.doc_id, r.text)) for r in clean.collect()) == sorted(map(repr, [(0, "mail <EMAIL>"), (1, None), (2, "plain")] * 2 + [(k, "other <EMAIL>") for k in range(3)]))
