@@ -42,8 +42,10 @@ def _range_of(splitters: list[tuple[int, ...]]) -> Column:
         return F.lit(0)
     steps, many = len(splitters).bit_length(), len(splitters)
     at = f"acc + shiftleft(1, {steps} - s)"
-    lists = ", ".join(f"cast(split('{','.join(map(str, c))}', ',') as array<bigint>)" for c in zip(*splitters, strict=True))
-    below = f"element_at(arrays_zip({lists}), least({at}, {many})) <= named_struct({', '.join(f"'{k}', {c}" for k, c in enumerate(ORDER))})"
+    below = "true"
+    for numbers, column in reversed([*zip(zip(*splitters, strict=True), ORDER, strict=True)]):
+        it = f"element_at(cast(split('{','.join(map(str, numbers))}', ',') as array<bigint>), least({at}, {many}))"  # the list is folded into a constant
+        below = f"({it} < {column} or ({it} = {column} and {below}))"
     return F.expr(f"aggregate(sequence(1, {steps}), 0, (acc, s) -> case when {at} <= {many} and {below} then {at} else acc end)")
 
 
