@@ -1,7 +1,8 @@
 """Scoring by a gated recurrent language model in numpy.
 
 Words are counted over all training texts.  The commonest ``2 + shortlist`` tokens are the model's own; the others are one class, inside which a word has its
-share of the smoothed counts, so every text has a proper probability.  The output softmax is factored: first the class (of equal numbers of tokens by
+share of the smoothed counts, so every text has a proper probability.  As inputs, words outside the shortlist have a place by their hash, so they are context
+for the next word.  The output softmax is factored: first the class (of equal numbers of tokens by
 frequency), then the token in its class.
 
 Training is data-parallel: each task runs truncated backpropagation over the training texts of its partition from the same start (over every
@@ -10,10 +11,10 @@ number of tokens.  Scoring runs every text from its first word to its end with t
 
 Texts are dealt to lanes that advance together, longest lanes first, so one step is one matrix product for all of them.
 
-Counts of the ``HEAD`` commonest words go to the workers as a table of that size at most; rarer words are joined
-through a shuffle on the word.
+Counts of the commonest words, ``HEAD`` at most, go to the workers as a table; a histogram of the counts says from which count on they fit.  Rarer words are
+joined through a shuffle on the word.
 
-Defined cases: a null or empty text is one end token; equal texts get equal scores; without training texts all counts are zero and the
+Defined cases: a null or empty text is one end token; equal texts get equal scores; rows that repeat an id are scored one by one; a null id counts as the empty text; without training texts all counts are zero and the
 model is the start; an empty table yields no rows.
 """
 
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.support import materialize, text_or_empty
@@ -39,12 +40,13 @@ END, RARE = 0, 1
 
 @dataclass(frozen=True)
 class LanguageRules:
-    shortlist: int = 510  # words with a place of their own; the end and the rare class come first
-    classes: int = 16
+    shortlist: int = 1022  # words with a place of their own; the end and the rare class come first
+    classes: int = 32
+    buckets: int = 2048  # places of other words as inputs, by hash
     state: int = 16
     window: int = 16
     lanes: int = 512
-    chunk: int = 6_000_000  # tokens dealt to lanes at a time, 10 bytes each
+    chunk: int = 6_000_000  # tokens dealt to lanes at a time, 13 bytes each
     rate: float = 0.01
     smoothing: float = 0.1
 
@@ -66,7 +68,7 @@ class Gru:
         self.tokens = 2 + r.shortlist
         self.per = -(-self.tokens // r.classes)
         normal = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
-        self.table, self.gates, self.cand = normal(self.tokens, 3 * h), normal(h, 2 * h), normal(h, h)
+        self.table, self.gates, self.cand = normal(self.tokens + r.buckets, 3 * h), normal(h, 2 * h), normal(h, h)
         self.of_class, self.of_word = normal(h, r.classes) * 0, normal(r.classes, h, self.per) * 0
         full = np.full(r.classes * self.per, 1e-9)
         full[: self.tokens] = counts[: self.tokens] + 1e-3
@@ -204,9 +206,10 @@ class Lanes:
             yield a, min(a + size, len(self.inputs)), int(np.searchsorted(-self.lengths, -a, side="left"))
 
 
-def deal(texts: list[np.ndarray], most: int) -> Lanes:
-    """Deal texts (ids, the end last) to lanes of nearly equal length."""
+def deal(texts: list[np.ndarray], most: int, given: list[np.ndarray] | None = None) -> Lanes:
+    """Deal texts (ids, the end last) to lanes of nearly equal length; ``given`` has their ids as inputs where those differ."""
     sizes = np.array([len(t) for t in texts])
+    given = texts if given is None else given
     count = int(np.clip(sizes.sum() // max(sizes.max(), 1), 1, most))
     heap = [(0, k) for k in range(count)]
     lanes: list[list[int]] = [[] for _ in range(count)]
@@ -223,14 +226,14 @@ def deal(texts: list[np.ndarray], most: int) -> Lanes:
         for k in lanes[lane]:
             ids, end = texts[k], at + len(texts[k])
             out.targets[at:end, column], out.owner[at:end, column] = ids, k
-            out.inputs[at + 1 : end, column] = ids[:-1]
+            out.inputs[at + 1 : end, column] = given[k][:-1]
             out.inputs[at, column], out.keep[at, column] = END, 0
             at = end
     return out
 
 
-def train_chunk(model: Gru, texts: list[np.ndarray]) -> None:
-    r, lanes = model.rules, deal(texts, model.rules.lanes)
+def train_chunk(model: Gru, texts: list[np.ndarray], given: list[np.ndarray] | None = None) -> None:
+    r, lanes = model.rules, deal(texts, model.rules.lanes, given)
     state = np.zeros((lanes.inputs.shape[1], r.state), dtype=np.float32)
     for a, b, live in lanes.windows(r.window):
         some = (slice(a, b), slice(0, live))
@@ -240,9 +243,9 @@ def train_chunk(model: Gru, texts: list[np.ndarray]) -> None:
         state = states[-1]
 
 
-def score_chunk(model: Gru, texts: list[np.ndarray], size: int = 32) -> np.ndarray:
+def score_chunk(model: Gru, texts: list[np.ndarray], given: list[np.ndarray] | None = None, size: int = 32) -> np.ndarray:
     """log10 of the probability of each text under the model; rare words count as their class."""
-    lanes, total = deal(texts, model.rules.lanes), np.zeros(len(texts))
+    lanes, total = deal(texts, model.rules.lanes, given), np.zeros(len(texts))
     state = np.zeros((lanes.inputs.shape[1], model.rules.state), dtype=np.float32)
     for a, b, live in lanes.windows(size):
         some = (slice(a, b), slice(0, live))
@@ -256,14 +259,17 @@ def score_chunk(model: Gru, texts: list[np.ndarray], size: int = 32) -> np.ndarr
 
 
 # -- Spark ----------------------------------------------------------------------------------------------------------------
-def is_training(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 10 != 0
+def is_training(doc_id: int | None) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 != 0
+
+
+def _fold() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over the training texts of ``docs`` (doc_id, text); materialised."""
-    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
-    words = docs.where(training).select(F.explode(F.split(F.translate("text", UPPER, LOWER), SPACES)).alias("word")).where("word <> ''")
+    words = docs.where(_fold() != 0).select(F.explode(F.split(F.translate("text", UPPER, LOWER), SPACES)).alias("word")).where("word <> ''")
     return materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
 
 
@@ -286,17 +292,26 @@ class Vocabulary:
 
 
 def vocabulary(docs: DataFrame, counts: DataFrame) -> Vocabulary:
-    ends = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).count()
+    ends = docs.where(_fold() != 0).count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # a fixed number of rows at most
-    return Vocabulary(dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)), total + ends, kinds + (ends > 0), ends)
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)  # about a thousand steps hold any count
+    least, held = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        held += r.words
+        if held > HEAD:
+            break
+        least = r.step
+    head = sorted(counts.where(step >= least).collect(), key=lambda r: (-r.n, r.word)) if least is not None else []  # HEAD words at most
+    return Vocabulary({r.word: r.n for r in head}, total + ends, kinds + (ends > 0), ends)
 
 
 class Ranks(dict):  # keyed by UTF-8 words
-    """Places of words by frequency; of any other word, the number of words."""
+    """Places of words by frequency; of any other word, the number of words and the word's bucket."""
+
+    buckets = 1
 
     def __missing__(self, word: bytes) -> int:
-        return len(self)
+        return len(self) + zlib.crc32(word) % self.buckets
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -305,11 +320,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
             yield doc_id, text.as_buffer().to_pybytes()
 
 
-def _tokens(ranks: np.ndarray, own: int) -> np.ndarray:
-    """The model's ids of words of these ranks, and the end."""
-    out = np.full(len(ranks) + 1, END, dtype=np.int16)
-    out[:-1] = np.where(ranks < own, ranks + 2, RARE)
-    return out
+def _ended(ids: np.ndarray) -> np.ndarray:
+    return np.append(ids, END).astype(np.int16)
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, rules: LanguageRules = LanguageRules()) -> np.ndarray:
@@ -317,18 +329,23 @@ def fit(docs: DataFrame, vocab: Vocabulary, rules: LanguageRules = LanguageRules
     own, counts, _ = vocab.shortlist(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, held = Gru(rules, counts), 0, 0
-        rank, texts = Ranks((w.encode(), k) for k, w in enumerate(own)).__getitem__, []
+        model, seen, held, texts, given = Gru(rules, counts), 0, 0, [], []
+        ranks = Ranks((w.encode(), k) for k, w in enumerate(own))
+        ranks.buckets, rank = rules.buckets, ranks.__getitem__
+        # a place by rank: the shortlist's own, then unused ones where it is not full, then the buckets
+        place = np.concatenate((np.arange(len(own)) + 2, np.arange(rules.buckets) + 2 + rules.shortlist))
         for doc_id, text in _rows(batches):
             if is_training(doc_id):
                 words = words_of(text)
-                texts.append(_tokens(np.fromiter(map(rank, words), dtype=np.int32, count=len(words)), len(own)))
+                at = np.fromiter(map(rank, words), dtype=np.int32, count=len(words))
+                texts.append(_ended(np.where(at < len(own), at + 2, RARE)))
+                given.append(_ended(place[at]))
                 held += len(words) + 1
             if held >= rules.chunk:
-                train_chunk(model, texts)
-                texts, seen, held = [], seen + held, 0
+                train_chunk(model, texts, given)
+                texts, given, seen, held = [], [], seen + held, 0
         if texts:
-            train_chunk(model, texts)
+            train_chunk(model, texts, given)
             seen += held
         if seen:
             flat = model.weights().astype(np.float64)
@@ -355,27 +372,32 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: np.nda
             words, numbers, flat = shared.value
             model = Gru(rules, start)
             model.load(flat)
-            model_of["head"] = Ranks((w.encode(), k) for k, w in enumerate(words)), np.append(np.log10(numbers + smooth), 0.0), model
-        ranks, logs, model = model_of["head"]
+            ranks = Ranks((w.encode(), k) for k, w in enumerate(words))
+            ranks.buckets = rules.buckets
+            bucket = np.array([zlib.crc32(w.encode()) % rules.buckets for w in words[n_own:]], dtype=np.int64) + 2 + rules.shortlist
+            place = np.concatenate((np.arange(n_own) + 2, bucket, np.arange(rules.buckets) + 2 + rules.shortlist))
+            model_of["head"] = ranks, np.append(np.log10(numbers + smooth), 0.0), place, model
+        ranks, logs, place, model = model_of["head"]
         rank, none = ranks.__getitem__, len(ranks)
-        held, rows, texts = 0, [], []
+        held, rows, texts, given = 0, [], [], []
 
         def done() -> pa.RecordBatch:
             arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(score_chunk(model, texts))], names=names)
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(score_chunk(model, texts, given))], names=names)
 
         for doc_id, text in _rows(batches):
             words = words_of(text)
             at = np.fromiter(map(rank, words), dtype=np.int32, count=len(words))
-            texts.append(_tokens(at, n_own))
-            missing = np.flatnonzero(at == none).tolist()
-            log = logs[at]
+            texts.append(_ended(np.where(at < n_own, at + 2, RARE)))
+            given.append(_ended(place[at]))
+            missing = np.flatnonzero(at >= none).tolist()
+            log = logs[np.minimum(at, none)]
             rare = at >= n_own
             rows.append((doc_id, len(words) + 1, len(words) - len(missing), float(log.sum()), float(log[rare].sum()), int(rare.sum()), [words[k].decode() for k in missing]))
             held += len(words) + 1
             if held >= rules.chunk:
                 yield done()
-                held, rows, texts = 0, [], []
+                held, rows, texts, given = 0, [], [], []
         if rows:
             yield done()
 
@@ -388,7 +410,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: np.nda
     end_log = float(np.log10(ends + smooth))
     tail_sum, n_tail = F.coalesce("tail_sum", F.lit(0.0)), F.coalesce("n_tail", F.lit(0))
     return first.drop("tail").join(rest, "row", "left").select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held_out"), "n_tokens", (F.col("n_head") + n_tail + int(ends > 0)).cast("long").alias("n_known"),
+        "doc_id", (_fold() == 0).alias("held_out"), "n_tokens", (F.col("n_head") + n_tail + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(vocab.tokens).cast("long").alias("train_tokens"), (F.col("head_sum") + tail_sum + end_log - F.col("n_tokens") * whole).alias("base_score"),
         (F.col("model") + F.col("head_rare") + tail_sum - F.col("n_rare") * rare_mass).alias("score"),
     )

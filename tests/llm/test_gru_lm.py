@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from auditloom.llm import gru_lm as lm
-from tests.llm.fixtures import documents, folder
+from tests.llm.fixtures import documents, folder, prose
 
 SF = "/root/testdata/sf0.01"
 LOWER = str.maketrans(lm.UPPER, lm.LOWER)
@@ -113,3 +114,49 @@ def test_training_takes_every_step(monkeypatch):
     monkeypatch.setattr(lm.Gru, "gradients", counted)
     lm.train_chunk(lm.Gru(rules, np.ones(10)), texts)
     assert np.array_equal(np.sort(np.concatenate(taken)), np.sort(np.concatenate(texts)))
+
+
+def test_scores_match_a_plain_walk(spark, monkeypatch):
+    """Every text by itself, word by word, in 64 bits, with plain counts; the head table holds some of the words only."""
+    import zlib
+
+    monkeypatch.setattr(lm, "HEAD", 60)
+    rules = lm.LanguageRules(shortlist=20, classes=5, state=6, buckets=7, chunk=1500)
+    texts = [prose(k, n) for k, n in enumerate([3, 40, 90, 200, 300, 17, 120, 60, 250, 33])] + ["", None, "unseen qqq zzz THE the", "one"]
+    df = documents(spark, texts).unionByName(documents(spark, texts[:3])).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = lm.count_words(df)
+    vocab = lm.vocabulary(df, counts)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    c, ends = Counter(), 0
+    for k, t in rows:
+        if lm.is_training(k):
+            c.update(plain_words(t))
+            ends += 1
+    ranked = sorted(c, key=lambda w: (-c[w], w.encode()))
+    assert 20 < len(vocab.head) <= 60 and list(vocab.head) == ranked[: len(vocab.head)]
+    own = ranked[:20]
+    weights = np.random.default_rng(4).standard_normal(len(lm.Gru(rules, np.ones(22)).weights())) * 0.5
+    model = lm.Gru(rules, np.ones(22))
+    model.load(weights)
+    table, gates, cand, of_class, class_bias, of_word, word_bias = (getattr(model, n).astype(float) for n in model.NAMES)
+    smoothed = lambda n: n + 0.1
+    mass = sum(c.values()) + ends + 0.1 * (len(c) + 1 + 1) - smoothed(ends) - sum(smoothed(c[w]) for w in own)
+    log_softmax = lambda x: x - math.log(np.exp(x).sum())
+    want = []
+    for k, t in rows:
+        state, given, total = np.zeros(6), 0, 0.0
+        for w in [*plain_words(t), None]:
+            target = 0 if w is None else own.index(w) + 2 if w in own else 1
+            z, r = np.split(1 / (1 + np.exp(-(table[given][:12] + state @ gates))), 2)
+            n = np.tanh(table[given][12:] + (r * state) @ cand)
+            state = n + z * (state - n)
+            part, place = divmod(target, model.per)
+            total += (log_softmax(state @ of_class + class_bias)[part] + log_softmax(state @ of_word[part] + word_bias[part])[place]) / math.log(10)
+            if target == 1:
+                total += math.log10(smoothed(c[w])) - math.log10(mass)
+            given = target if w is None or w in own else 22 + zlib.crc32(w.encode()) % 7
+        want.append((k, total))
+    found = [(r.doc_id, r.score) for r in lm.score(df, counts, vocab, weights, rules).collect()]
+    assert len(found) == len(want)
+    for (k, a), (j, b) in zip(sorted(found), sorted(want)):
+        assert k == j and abs(a - b) <= 1e-4 * max(1, abs(b)), (k, a, b)
