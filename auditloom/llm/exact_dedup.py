@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.support import free_name, materialize, text_or_empty
+from auditloom.llm.support import materialize, text_or_empty, without_copies
 
 SUPPORT = 0.001  # at most 1,000 counters: the broadcast never exceeds 1,000 rows
 
@@ -59,16 +59,8 @@ def digest_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one for each different text."""
-    decided = decide(digest_table(docs, id_col, text), support)
-    gone = materialize(decided.where("not kept").select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin")).distinct(), "gone")
-    mark = free_name(docs, "digest")
-    marked = docs.withColumn(mark, _digest(text))
-    others, twins = gone.where("not twin").toDF("a", "b", "c"), gone.where("twin").toDF("a", "b", "c")
-    same = lambda g: marked[id_col].eqNullSafe(g["a"]) & (marked[mark] == g["b"])
-    left = marked.join(others, same(others), "left_anti")
-    if not twins.isEmpty():  # rows that repeat both the id and the text of the row that stays
-        left = left.join(twins, same(twins), "left_anti").unionByName(left.join(twins, same(twins), "left_semi").dropDuplicates([id_col, mark]))
-    return left.select(*[left[c] for c in docs.columns])
+    decided = decide(digest_table(docs, id_col, text), support).select("doc_id", F.col("digest").alias("mark"), F.col("kept").alias("stays"))
+    return without_copies(docs, decided, _digest(text), id_col)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

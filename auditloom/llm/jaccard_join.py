@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its different ``n``-word shingles.
 
 1. *Sketches.*  Each class keeps its ``SKETCH`` smallest hashes: a set of up to that size whole, a larger one as a uniform sample.  Two sets of similarity 0.8
       share at least the fraction p = 4/9 * (n + m) / max(n, m) of the larger one, so the sketch with the smaller range shares a binomial number with p; a number
-   ``SIGMAS`` deviations below the mean has a chance of about 1e-11, and none at all a far smaller one.  Candidates are the pairs that share enough.
+   ``SIGMAS`` deviations below the mean has a chance of about 1e-13, and none at all a far smaller one.  Candidates are the pairs that share enough.
 2. *Leaders.*  The smallest class with a hash leads that hash.  Pairs with a leader are tested first, as many as there are shared hashes.  Their components
    hold nearly all large groups of near copies.
 3. *Trees.*  Classes of one hash that are not yet in one component are joined block by block.  In a block a signature tree is built over the
@@ -12,12 +12,17 @@ A document's set holds the 64-bit hashes of its different ``n``-word shingles.
    a pair of nodes whose sizes, largest possible overlap or single common component rule out a new link.  A block with more
    candidates than twice its classes passes its classes on instead, and is joined again on whole sets, giving only links that join components.
 4. *Verification.*  Pairs of sets larger than a sketch are compared in full, on hashes made again from the whole texts of the classes concerned.
+5. *Link counts.*  All links lie inside components.  A component's classes are compared on whole sets, block by block, and only counts leave a block.
 
 A hash in very many components (a passage that unrelated documents share) is left out for classes that keep at least ``ENOUGH`` other
-sketch hashes, through which any similar class must meet them; classes that keep fewer use it.  Blocks of more than ``BLOCK`` classes are divided into pairs of parts.
+sketch hashes.  A similar class is missed only if all common hashes of the two sketches are among those left out, so that ``ENOUGH`` of 48 sketch
+hashes or more lie in the fifth of the union, at most, that the pair does not share: a chance below 2e-12 a pair, and the largest of this join besides
+equal 64-bit hashes of different shingles.  Groups of more than ``BLOCK`` classes are cut into bands of sizes, of which only neighbours can link, and the bands
+into parts; blocks are pairs of parts.
 
 Defined cases: a null, empty or blank text has an empty set, size 0 and is linked with nothing; a text of fewer words than ``n`` is one shingle; equal
-texts are in one component; an empty table yields no rows.
+texts are in one component and linked; rows that repeat an id are judged by their texts and each has its row; a null id is the smallest of no component; an
+empty table yields no rows; other columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
@@ -32,13 +37,15 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import textscan
 from auditloom.llm.components import components
-from auditloom.llm.support import materialize, text_or_empty
+from auditloom.llm.support import materialize, text_or_empty, without_copies
 
 SKETCH = 48
 SIGMAS = 8
-ENOUGH = 24
+ENOUGH = 32
 HOT = 512  # components
 BLOCK = 1024  # classes
+VOLUME = 1_000_000  # hashes of whole sets in a part
+COLUMNS = 4096  # hashes counted at a time
 DENSE_HASHES = 4_000_000  # in the whole sets of a block that is joined on them
 BROADCAST_ROWS = 200_000
 LEAF = 16
@@ -74,49 +81,55 @@ def _sums(keys: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sketch): the size, a 128-bit digest and the smallest hashes of each text's set."""
-    source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("__text"))
+    """(doc_id, version, n_shingles, d1, d2, sketch, row): the size, a 128-bit digest and the smallest hashes of each text's set.
+
+    ``version`` is a hash of the text, ``row`` tells rows apart.
+    """
+    source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("version"), text_or_empty(text).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in textscan.groups(batch.column(1)):
+            for group in textscan.groups(batch.column(2)):
                 keys, offsets = shingle_sets(group, n)
                 sizes = np.diff(offsets)
                 rank = np.arange(len(keys)) - np.repeat(offsets[:-1], sizes)
                 kept = np.concatenate(([0], np.cumsum(np.minimum(sizes, SKETCH)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(kept), pa.array(keys[rank < SKETCH].view(np.int64)))
-                ids = batch.column(0).slice(group.first, group.size)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(_sums(keys, offsets, 1)), pa.array(_sums(keys, offsets, 2)), lists], names=["doc_id", "n_shingles", "d1", "d2", "sketch"])
+                own = [c.slice(group.first, group.size) for c in batch.columns[:2]]
+                numbers = [pa.array(x) for x in (sizes, _sums(keys, offsets, 1), _sums(keys, offsets, 2))]
+                yield pa.RecordBatch.from_arrays([*own, *numbers, lists], names=["doc_id", "version", "n_shingles", "d1", "d2", "sketch"])
 
-    return materialize(source.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>"), "sketches")
+    found = source.mapInArrow(run, "doc_id long, version long, n_shingles long, d1 long, d2 long, sketch array<long>")
+    return materialize(found.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
-def full_sets(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """(doc_id, keys): the whole set of each row; materialised."""
-    source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("__text"))
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
+    """(rep, keys): the whole sets of the classes in ``wanted`` (rep), made again from their texts; materialised.
+
+    A class is found by the id and the text's hash of one of its rows.
+    """
+    active = materialize(classes.join(wanted.distinct(), "rep").select("rep", "best.doc_id", "best.version"), "active")
+    count = active.count()
+    near = F.broadcast(active) if count <= BROADCAST_ROWS else active
+    rows = docs.select(docs[id_col].alias("own"), text_or_empty(text).alias("body"))
+    rows = rows.join(near, F.col("own").eqNullSafe(F.col("doc_id")) & (F.xxhash64("body") == F.col("version"))).select("rep", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in textscan.groups(batch.column(1)):
                 keys, offsets = shingle_sets(group, n)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.first, group.size), lists], names=["doc_id", "keys"])
-
-    return materialize(source.mapInArrow(run, "doc_id long, keys array<long>"), "sets")
-
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.first, group.size), lists], names=["rep", "keys"])
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """(doc_id, keys) of the ids in ``wanted`` (__id)."""
-    active = materialize(wanted.distinct(), "active")
-    if active.count() <= BROADCAST_ROWS:
-        active = F.broadcast(active)
-    rows = docs.select(F.col(id_col).alias("__key"), F.col(text).alias("__body")).join(active, F.col("__key") == F.col("__id"), "left_semi")
-    return full_sets(rows, n, "__key", "__body")
+    found = materialize(rows.mapInArrow(run, "rep long, keys array<long>"), "sets")
+    if found.count() > count:  # rows that repeat both the id and the text
+        found = materialize(found.groupBy("rep").agg(F.first("keys").alias("keys")), "sets")
+    return found
 
 
-def verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
+def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
     """The pairs (a, b) whose whole sets link; ``pairs`` is materialised."""
-    sets = _sets_of(docs, pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))), n, id_col, text)
+    sets = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")), n, id_col, text)
     met = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     met = met.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("sizes"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     return materialize(met.where(f"common > 0 and 100 * common >= {percent} * (sizes - common)").select("a", "b").distinct(), "verified")
@@ -337,76 +350,146 @@ def _tested(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.where(F.when(sure, links).otherwise(F.col("common") >= least)).select("a", "b", sure.alias("sure"))
 
 
-def _linked(docs: DataFrame, tested: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
+def _linked(docs: DataFrame, classes: DataFrame, tested: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
     tested = materialize(tested, "tested")
-    checked = verify(docs, tested.where("not sure").select("a", "b"), n, percent, id_col, text)
+    checked = verify(docs, classes, tested.where("not sure").select("a", "b"), n, percent, id_col, text)
     return tested.where("sure").select("a", "b").unionByName(checked)
 
 
+def _celled(rows: DataFrame, key: str, percent: int, volume: int | None = None) -> DataFrame:
+    """``rows`` (key, rep, n, ...), a written table, with the blocks (i, j) that they are in, and ``cell``, which is i or j.
+
+    Groups of up to ``BLOCK`` classes (and ``volume`` hashes) are one block (0, 0).  Larger ones are cut into bands of sizes and these into parts of
+    about that many.  Sets that link are in one band or in neighbours, so blocks are pairs of parts of one band or of two neighbours.
+    """
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / volume) if volume else F.lit(1)).cast("int")
+    big = materialize(rows.groupBy(key).agg(parts.alias("parts")).where("parts > 1").select(key), "big")
+    big = F.broadcast(big) if big.count() <= BROADCAST_ROWS else big
+    one = [F.lit(0).cast("long").alias(x) for x in ("i", "j", "cell")]
+    small = rows.join(big, key, "left_anti").select("*", *one)
+    banded = rows.join(big, key, "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int"))
+    cells = materialize(banded.groupBy(key, "band").agg(parts.alias("parts")), "cells")
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
+    beside = lambda d: cells.select(key, (F.col("band") - d).alias("band"), F.col("parts").alias(f"parts_{d + 1}"))
+    for d in (0, -1, 1):
+        banded = banded.join(beside(d), [key, "band"], "left")
+    cell = lambda band, part: band.cast("long") * (1 << 32) + part
+    part = F.pmod(F.xxhash64("rep"), F.col("parts_1")).cast("int")
+    banded = banded.withColumn("cell", cell(F.col("band"), part))
+    every = lambda d: F.transform(F.sequence(F.lit(1), F.col(f"parts_{d + 1}")), lambda k: cell(F.col("band") + d, k - 1))
+    other = F.concat(every(0), *[F.when(F.col(f"parts_{d + 1}").isNotNull(), every(d)).otherwise(F.expr("cast(array() as array<bigint>)")) for d in (-1, 1)])
+    banded = banded.withColumn("other", F.explode(other))
+    return small.unionByName(banded.select(*rows.columns, F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell"))
+
+
 def _between(shared: DataFrame, classes: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     """What :func:`block_pairs` finds among the classes that share a hash and lie in two components.
 
     A pair with a leader has been tested, so leaders stay out, and so do hashes of two classes.
     """
     open_rows = shared.where("rep <> leader and classes > 2").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    spread = open_rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.sum("rows").alias("rows")).where("components > 1")
+    spread = open_rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(F.count(F.lit(1)).alias("components")).where("components > 1")
     spread = materialize(spread, "spread")
     hot = spread.where(F.col("components") > HOT).select("token")
     many = open_rows.select("token", "rep", "n").join(hot, "token").groupBy("rep", "n").agg(F.collect_list("token").alias("unused"))
     many = materialize(many.where(F.least("n", F.lit(SKETCH)) - F.size("unused") >= ENOUGH).select("rep", "unused"), "unused")  # a sketch at most
     rows = open_rows.join(spread, "token").join(many, "rep", "left").where(F.col("unused").isNull() | (F.col("components") <= HOT))
-    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "n", "component", "unused")
+    rows = _celled(materialize(rows.select("token", "rep", "n", "component", "unused"), "open"), "token", percent)
     blocks = rows.join(classes.select("rep", "sketch"), "rep").select("token", "i", "j", "rep", "n", "component", "sketch", "unused")
     return block_pairs(_dealt(blocks), percent)
 
 
 def _dealt(blocks: DataFrame) -> DataFrame:
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return blocks.repartition(parts, *blocks.columns[:3]).sortWithinPartitions(*blocks.columns[:3])
+
+
+def linked_weights(sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray | None, percent: int) -> np.ndarray:
+    """For each set, the weights of the sets that it links with; with ``left``, only those of the other side count."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    use = counts[column] > 1
+    order = np.argsort(column[use], kind="stable")
+    column, owner = (np.cumsum(counts > 1) - 1)[column[use]][order], owner[use][order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, (a, a + COLUMNS))
+        bits = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - a)), dtype=np.float32)
+        bits[owner[low:high], column[low:high] - a] = 1
+        common += bits @ bits.T
+    links = (common > 0) & (100 * common.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - common))
+    links &= ~np.eye(len(sets), dtype=bool) if left is None else left[:, None] != left[None, :]
+    return links @ weights
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, grouped: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """(rep, links): how many documents of other classes each class links with, for classes with any.  Only counts leave the blocks."""
+    rows = materialize(classes.join(grouped.withColumnRenamed("node", "rep"), "rep").select("component", "rep", "n", "weight"), "members")
+    two = rows.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("weight").alias("all"))
+    pairs = materialize(two.where("members = 2"), "pairs")  # the two are linked
+    rows = rows.join(pairs, "component", "left")
+    of_pairs = rows.where("members is not null").select("rep", (F.col("all") - F.col("weight")).alias("links"))
+    rows = materialize(rows.where("members is null").select("component", "rep", "n", "weight"), "members")
+    blocks = _celled(rows, "component", percent, VOLUME).join(sets_of(docs, classes, rows.select("rep"), n, id_col, text), "rep")
+    blocks = blocks.select("component", "i", "j", "rep", "weight", "cell", "keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_block(batches):
+            left = None if held[0][1] == held[0][2] else np.array([r[5] for r in held]) == held[0][1]
+            found = linked_weights([r[6] for r in held], np.array([r[4] for r in held]), left, percent)
+            some = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array([held[k][3] for k in some], pa.int64()), pa.array(found[some], pa.int64())], names=["rep", "links"])
+
+    return of_pairs.unionByName(_dealt(blocks).mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: component_id is the smallest id reachable by links."""
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, first, version) of each row: component_id is the smallest id reachable by links, n_links the number
+    of documents it links with (null without ``counts``), first whether the row is the one of its component that stays.  ``version`` is a hash of the text."""
     every = sketches(docs, n, id_col, text)
     key = ["n_shingles", "d1", "d2"]
-    classes = every.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "version"))
+    classes = every.where("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("rep"), best.alias("best"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumnRenamed("n_shingles", "n"), "classes")
 
     tokens = classes.select("rep", "n", F.explode("sketch").alias("token"))
     led = tokens.groupBy("token").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     shared = materialize(tokens.join(materialize(led, "led"), "token"), "shared")
     pairs = shared.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = materialize(_linked(docs, _tested(pairs, classes, percent), n, percent, id_col, text), "first-links")
+    first = materialize(_linked(docs, classes, _tested(pairs, classes, percent), n, percent, id_col, text), "first-links")
     grouped = components(first)
 
     found = materialize(_between(shared, classes, grouped, percent), "candidates")
     pairs = found.where("b is not null").select("a", "b", "sure").distinct()  # blocks of several parts may repeat a pair
-    second = _linked(docs, pairs, n, percent, id_col, text)
+    second = _linked(docs, classes, pairs, n, percent, id_col, text)
     dense = found.where("b is null").select("token", "i", "j", F.col("a").alias("rep"))
-    sets = _sets_of(docs, dense.select(F.col("rep").alias("__id")), n, id_col, text)
-    dense = dense.join(sets.toDF("rep", "keys"), "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
+    dense = dense.join(sets_of(docs, classes, dense.select("rep"), n, id_col, text), "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
     dense = dense.select("token", "i", "j", "rep", F.size("keys").cast("long").alias("n"), F.coalesce("component", "rep").alias("component"), "keys")
     third = dense_links(_dealt(dense), percent)
     known = grouped.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     grouped = components(known.unionByName(second).unionByName(third))
-    last = grouped.withColumnRenamed("node", "rep")
-    named = every.join(classes.select("rep", F.col("n").alias("n_shingles"), "d1", "d2"), key, "left").select("doc_id", "n_shingles", "rep")
-    return named.join(last, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    links = link_counts(docs, classes, grouped, n, percent, id_col, text) if counts else classes.select("rep", F.lit(None).cast("long").alias("links")).where("false")
+    named = classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(links, "rep", "left")
+    named = materialize(named.select("component", "rep", F.col("n").alias("n_shingles"), "d1", "d2", "best", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
+    heads = named.groupBy("component").agg(F.min("best").alias("head"))
+    named = named.join(heads, "component").select(*key, "head", "n_links")
+    out = every.join(named, key, "left")
+    number = F.when(F.lit(counts), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")
+    first = F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("first")
+    return out.select(every["doc_id"], "n_shingles", F.coalesce("head.doc_id", every["doc_id"]).alias("component_id"), number, first, every["version"])
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id; ids are unique."""
-    found = jaccard_components(docs.select(id_col, text), n, percent, id_col, text)
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")), "near-copies")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stay: of each component one with the smallest id, and all rows without words."""
+    found = jaccard_components(docs.select(id_col, text), n, percent, id_col, text, counts=False)
+    decided = found.where("n_shingles > 0").select("doc_id", F.col("version").alias("mark"), F.col("first").alias("stays"))
+    return without_copies(docs, decided, F.xxhash64(text_or_empty(text)), id_col, BROADCAST_ROWS)
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 #: All pairs that share a shingle, and every document's links followed to the end: for tables of a few thousand rows.
@@ -423,5 +506,6 @@ WITH RECURSIVE words AS (
 ), reach(doc_id, other) AS (
     SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a
 )
-SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, coalesce(any_value(l.n_links), 0) AS n_links
+FROM reach LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) l USING (doc_id) GROUP BY doc_id
 """

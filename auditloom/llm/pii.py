@@ -6,18 +6,18 @@ mention it are candidate terms, wherever they stand; from document frequencies o
     PMI(term, entity) = log2(N * df(term, entity) / (df(term) * df(entity))),     IC(entity) = log2(N / df(entity)),
 
 and PMI / IC is the share of the entity's information that the term discloses: 1 where the term occurs only in texts with the
-entity.  Terms seen with an entity in at least ``min_support`` different texts (fewer are no evidence: every word that occurs once would disclose all of its
+entity.  Frequencies count documents, copies included.  Terms seen with an entity in at least ``min_support`` different texts (fewer are no evidence: every word that occurs once would disclose all of its
 text) are removed at ``remove_at`` and generalised to their shape at ``generalise_at``, at every place in every text; both add spans of the kind ``term``.
 
 Entities that occur in the same texts are one class, and so are terms: frequencies of pairs are counted between classes, so a text
-with many of both makes few pairs.
+with many of both makes few pairs.  Candidate terms touch no match of a base pattern.
 
 Positions come from splitting at the matches: the lengths of the parts between matches and of the matches add up to code-point
 offsets, in a window over the matches of one text.  Patterns are written possessively and anchored to the start of a run, which finds the same leftmost
 matches in linear time.  So a text takes time in proportion to its length and matches (sorting aside), and windows spill.
 
 Defined cases: a null text counts as empty and has no spans; equal rows get equal spans; rows that repeat an id stay rows of their own; copies of a text
-count once in every frequency; an empty table yields no rows; other columns, whatever their names, pass by.
+are one different text; an empty table yields no rows; other columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"[\p{L}\p{N}]++"
+MARK = "\ue000"  # stands for a match
 CHUNK = 512  # code points of the parts of a text that is read at many places
 SECTION = 128 * CHUNK
 
@@ -97,22 +98,32 @@ _HOLDS = {
 }
 
 
+def _clear_terms(text: Column) -> Column:
+    """The different words of a text, in lower case, that touch no match of a base pattern."""
+    marked = F.translate(text, MARK, " ")
+    for p in PATTERNS.values():
+        marked = F.regexp_replace(marked, p, MARK)
+    cut = F.regexp_replace(F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]*+{MARK}", MARK), rf"{MARK}++[\p{{L}}\p{{N}}]*+", " ")
+    return F.array_distinct(F.transform(F.regexp_extract_all(cut, F.lit(WORD), 0), lambda w: F.lower(w)))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, version) of each row, and (row, version, start, rank, end, kind, value) of each base span; both materialised without texts.
+    """(row, doc_id, version, terms) of each row, and (row, version, start, rank, end, kind, value) of each base span; both materialised without texts.
 
-    ``row`` tells rows apart, ``version`` is a hash of the text.  Texts without a match of a kind cost one search.
+    ``row`` tells rows apart, ``version`` is a hash of the text; texts without a match have no terms.  Texts without a match of a kind cost one search.
     """
     body = F.col("body")
     possible = {"email": body.contains("@"), "phone": body.contains("+")}
     found = [F.when(possible.get(k, body.rlike(p)), _matches(body, p)).alias(k) for k, p in PATTERNS.items()]
-    rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(text).alias("body")).select("doc_id", F.xxhash64("body").alias("version"), *found)
+    rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(text).alias("body")).select("doc_id", "body", F.xxhash64("body").alias("version"), *found)
+    rows = rows.withColumn("terms", F.when(reduce(Column.__or__, [F.coalesce(F.size(k) > 1, F.lit(False)) for k in PATTERNS]), _clear_terms(F.col("body")))).drop("body")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
     each = [rows.select("row", "version", F.lit(rank).alias("rank"), F.posexplode(kind).alias("at", "m")) for rank, kind in enumerate(PATTERNS)]
     spans = _placed(reduce(DataFrame.unionByName, each), "row", "rank", "version")
     holds = reduce(lambda c, k: c.when(F.col("rank") == KINDS.index(k), _HOLDS[k](F.col("value"))), PATTERNS, F.when(F.lit(False), True))
     named = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
     spans = materialize(spans.where(holds).select("row", "version", "start", "rank", "end", named.alias("kind"), "value"), "pii-spans")
-    return rows.select("row", "doc_id", "version"), spans
+    return rows.select("row", "doc_id", "version", "terms"), spans
 
 
 def _entity() -> Column:
@@ -146,47 +157,52 @@ def _small(df: DataFrame, bytes_of: Column, rules: DisclosureRules) -> DataFrame
 
 
 def _classes(members: DataFrame, name: str, rules: DisclosureRules) -> DataFrame:
-    """(name, df, class) of what occurs in at least ``min_support`` texts, from (version, name); a class is what occurs in the same texts."""
+    """(name, df, class) of what occurs in at least ``min_support`` texts, from (version, copies, name); a class is what occurs in the same texts."""
     marks = [F.bit_xor(F.xxhash64("version", F.lit(k))) for k in range(2)]
-    return members.groupBy(name).agg(F.count(F.lit(1)).alias("df"), F.struct(F.count(F.lit(1)), *marks).alias("class")).where(F.col("df") >= rules.min_support)
-
-
-def disclosing_terms(docs: DataFrame, rows: DataFrame, spans: DataFrame, rules: DisclosureRules = DisclosureRules(), text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, share, action) of the terms that disclose an entity, over the whole corpus, and (version, term) of where candidates occur; both materialised."""
-    entity_of = materialize(spans.select("version", _entity().alias("entity")).distinct(), "pii-entities")
-    entities = _classes(entity_of, "entity", rules)
-    entity_of = entity_of.join(entities, "entity").select("version", F.col("class").alias("e"), F.col("df").alias("df_entity")).distinct()
+    found = members.groupBy(name).agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("texts"), *[m.alias(f"mark_{k}") for k, m in enumerate(marks)])
+    return found.where(F.col("texts") >= rules.min_support).select(name, "df", F.struct("texts", "mark_0", "mark_1").alias("class"))
+
+
+def disclosing_terms(docs: DataFrame, rows: DataFrame, spans: DataFrame, rules: DisclosureRules = DisclosureRules(), text: str = "text") -> DataFrame:
+    """(term, share, action) of the terms that disclose an entity, over the whole corpus; materialised."""
+    none = docs.sparkSession.createDataFrame([], "term string, share double, action string")
+    copies = rows.groupBy("version").agg(F.count(F.lit(1)).alias("copies"), F.max("terms").alias("terms"))  # copies of a text have the same
+    mentions = materialize(copies.join(spans.select("version").distinct(), "version", "left_semi"), "pii-mentions")
+    entity_of = spans.select("version", _entity().alias("entity")).distinct().join(mentions.select("version", "copies"), "version")
+    entity_of = materialize(entity_of, "pii-entities")
+    entity_of = entity_of.join(_classes(entity_of, "entity", rules), "entity").select("version", F.col("class").alias("e"), F.col("df").alias("df_entity")).distinct()
     entity_of = materialize(entity_of, "pii-entity-classes")
     if entity_of.isEmpty():  # nothing to disclose
-        none = docs.sparkSession.createDataFrame([], "version long, term string, share double, action string")
-        return none.select("term", "share", "action"), none.select("version", "term")
-    texts = F.lit(float(max(rows.select("version").distinct().count(), 1)))
+        return none
+    texts = F.lit(float(max(rows.count(), 1)))
     information = F.log2(texts / F.col("df_entity"))
     share = lambda df_both, df_term: F.when(information > 0, F.log2(texts * df_both / (F.col(df_term) * F.col("df_entity"))) / information)
-    # Of the texts with such entities, those with a term are a part of all with it, so they bound its share from above; only pairs that pass are made and counted.
-    held = _small(materialize(entity_of.select("version").distinct(), "pii-mentions"), F.lit(8), rules)
-    term_of = materialize(clear_words(docs, held, spans, text).select("version", "term").distinct(), "pii-words")
+    # Of the documents that mention anything, those with a term are a part of all with it, so they bound its share from above; only pairs that pass are made.
+    term_of = mentions.select("version", "copies", F.explode("terms").alias("term"))
     terms = materialize(_classes(term_of, "term", rules), "pii-terms")
-    term_of = term_of.join(terms, "term").select("version", F.col("class").alias("t"), F.col("df").alias("df_near")).distinct()
+    term_of = term_of.join(terms, "term").select("version", "copies", F.col("class").alias("t"), F.col("df").alias("df_near")).distinct()
     pairs = entity_of.join(term_of, "version").where(share(F.least("df_near", "df_entity"), "df_near") >= rules.generalise_at - 1e-9)
-    together = pairs.groupBy("e", "t", "df_entity", "df_near").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= rules.min_support)
-    together = together.where(share(F.col("df_both"), "df_near") >= rules.generalise_at).select(F.col("t").alias("class"), "df_both", "df_entity").distinct()
+    together = pairs.groupBy("e", "t", "df_entity", "df_near").agg(F.sum("copies").alias("df_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= rules.min_support)
+    together = together.where(share(F.col("df_both"), "df_near") >= rules.generalise_at - 1e-9).select(F.col("t").alias("class"), "df_both", "df_entity").distinct()
     together = materialize(terms.select("term", "class").join(together, "class").select("term", "df_both", "df_entity"), "pii-together")
     wanted = materialize(together.select("term").distinct(), "pii-wanted")
-    body = docs.select(F.xxhash64(text_or_empty(text)).alias("version"), text_or_empty(text).alias("body"))  # before the words, not for each of them
-    words = body.select("version", F.explode(F.regexp_extract_all("body", F.lit(WORD), 0)).alias("term")).withColumn("term", F.lower("term"))
-    places = materialize(words.join(_small(wanted, F.octet_length("term"), rules), "term").distinct(), "pii-places")
-    counted = places.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    counted = _words(docs, text).join(_small(wanted, F.octet_length("term"), rules), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     rated = together.join(counted, "term").groupBy("term").agg(F.max(share(F.col("df_both"), "df_term")).alias("share")).where(F.col("share") >= rules.generalise_at)
-    return materialize(rated.withColumn("action", F.when(F.col("share") >= rules.remove_at, "remove").otherwise("generalise")), "pii-disclosing"), places
+    return materialize(rated.withColumn("action", F.when(F.col("share") >= rules.remove_at, "remove").otherwise("generalise")), "pii-disclosing")
+
+
+def _words(docs: DataFrame, text: str) -> DataFrame:
+    """(version, term) of the different words, in lower case, of each row."""
+    body = docs.select(F.xxhash64(text_or_empty(text)).alias("version"), text_or_empty(text).alias("body"))  # before the words, not for each of them
+    return body.select("version", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(WORD), 0), lambda w: F.lower(w)))).alias("term"))
 
 
-def term_spans(docs: DataFrame, spans: DataFrame, disclosing: DataFrame, places: DataFrame, rules: DisclosureRules = DisclosureRules(), text: str = "text") -> DataFrame:
+def term_spans(docs: DataFrame, spans: DataFrame, disclosing: DataFrame, rules: DisclosureRules = DisclosureRules(), text: str = "text") -> DataFrame:
     """(version, term_spans) of the texts with disclosing terms, at every place of the whole text; value holds the action; materialised."""
     if disclosing.isEmpty():
         return docs.sparkSession.createDataFrame([], f"version long, term_spans array<{SPAN}>")
     actions = _small(disclosing.select("term", "action"), F.octet_length("term"), rules)
-    held = _small(materialize(places.join(actions, "term").select("version").distinct(), "pii-held"), F.lit(8), rules)
+    held = _small(materialize(_words(docs, text).join(actions, "term").select("version").distinct(), "pii-held"), F.lit(8), rules)
     hits = clear_words(docs, held, spans, text).join(actions, "term")
     span = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end", F.lit("term").alias("kind"), F.col("action").alias("value"))
     found = hits.groupBy("version").agg(F.sort_array(F.collect_list(span)).alias("term_spans"))  # one text's words
@@ -255,7 +271,7 @@ def _rewritten(text: Column, spans: Column) -> Column:
 def all_spans(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, version, spans, every): base spans and all spans of each row."""
     rows, spans = scan(docs, id_col, text)
-    extra = term_spans(docs, spans, *disclosing_terms(docs, rows, spans, rules, text), rules, text)
+    extra = term_spans(docs, spans, disclosing_terms(docs, rows, spans, rules, text), rules, text)
     base = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "value"))).alias("spans"))  # one text's spans
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     found = rows.join(base, "row", "left").withColumn("spans", F.coalesce("spans", none))

@@ -75,3 +75,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a written table, marked for broadcast if its rows, counted, are at most so many."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def without_copies(docs: DataFrame, decided: DataFrame, mark: Column, id_col: str, broadcast_rows: int = 0) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (doc_id, mark, stays; one row for each of ``docs``) lets stay.
+
+    A row is known by its id and ``mark``, a digest of its text.  Of rows that repeat both, one stays if any does.
+    """
+    judged = decided.groupBy("doc_id", "mark").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")).where("times > 1 or not stays")
+    judged = materialize(judged.toDF("a", "b", "stays", "times"), "judged")
+    name = free_name(docs, "mark")
+    marked = docs.withColumn(name, mark)
+    gone, twins = judged.where("not stays"), judged.where("stays")
+    small = broadcast_rows and judged.count() <= broadcast_rows
+    same = lambda g: marked[id_col].eqNullSafe(g["a"]) & (marked[name] == g["b"])
+    met = lambda rows, g, how: rows.join(F.broadcast(g) if small else g, same(g), how)
+    left = met(marked, gone, "left_anti")
+    if not twins.isEmpty():
+        left = met(left, twins, "left_anti").unionByName(met(left, twins, "left_semi").dropDuplicates([id_col, name]))
+    return left.select(*[left[c] for c in docs.columns])

@@ -42,14 +42,14 @@ def brute(texts):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 links.append((a, b))
     comp = union(ids, links)
-    return {k: (len(sets[k]), comp[k]) for k in ids}
+    return {k: (len(sets[k]), comp[k], sum(k in link for link in links)) for k in ids}
 
 
 def check(spark, path):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
     rows = jj.op1_jaccard_join(spark, path).collect()
     assert len(rows) == len(texts)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows} == brute(texts)
 
 
 def families(seed=0):
@@ -76,10 +76,11 @@ def test_components_match_brute_force(spark, tmp_path):
     check(spark, SF)
 
 
-@pytest.mark.parametrize("hot, block, enough", [(2, 3, 24), (2, 3, 0)])
+@pytest.mark.parametrize("hot, block, enough", [(2, 3, 32), (2, 3, 0)])
 def test_small_blocks_and_hot_hashes(spark, tmp_path, monkeypatch, hot, block, enough):
     monkeypatch.setattr(jj, "HOT", hot)
     monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "COLUMNS", 50)
     if enough:
         check(spark, folder(documents(spark, families(2)), tmp_path))
     else:  # the trees find what leaders leave: sketches of a few hashes, blocks of parts
@@ -126,4 +127,26 @@ def test_one_of_each_group_stays(spark):
     kept = jj.drop_near_copies(df)
     assert kept.columns == df.columns
     want = brute(dict(enumerate(texts)))
-    assert {r.doc_id for r in kept.collect()} == {k for k, (_, c) in want.items() if c == k}
+    assert {r.doc_id for r in kept.collect()} == {k for k, (_, c, _) in want.items() if c == k}
+
+
+def test_weights_of_links_in_blocks():
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.choice(60, size=rng.integers(20, 50), replace=False)) for _ in range(60)]
+    weights = rng.integers(1, 5, size=60)
+    linked = np.array([[x is not y and 100 * len(np.intersect1d(x, y)) >= 60 * len(np.union1d(x, y)) for y in sets] for x in sets])
+    assert linked.any() and np.array_equal(jj.linked_weights(sets, weights, None, 60), linked @ weights)
+    left = rng.integers(0, 2, size=60)
+    assert np.array_equal(jj.linked_weights(sets, weights, left, 60), (linked & (left[:, None] != left[None, :])) @ weights)
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(5, a), (9, a + " end"), (5, b), (7, c), (7, c), (None, c + " more"), (None, prose(4, 30)), (None, prose(4, 30)), (3, ""), (3, None), (8, prose(5, 40)), (8, prose(6, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as own", "text as body", "doc_id as mark", "doc_id as rep")
+    kept = jj.drop_near_copies(df)
+    assert kept.columns == df.columns
+    want = [(5, a), (5, b), (7, c), (None, prose(4, 30)), (3, ""), (3, None), (8, prose(5, 40)), (8, prose(6, 40))]
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(repr, want))
+    links = sorted(repr((r.doc_id, r.component_id, r.n_links)) for r in jj.jaccard_components(df).collect())
+    assert links == sorted(map(repr, [(5, 5, 1), (9, 5, 1), (5, 5, 0), (7, 7, 2), (7, 7, 2), (None, 7, 2), (None, None, 1), (None, None, 1), (3, 3, 0), (3, 3, 0), (8, 8, 0), (8, 8, 0)]))

@@ -62,7 +62,7 @@ def private_corpus():
 
 def test_disclosing_terms_are_found_and_removed(spark):
     df = documents(spark, private_corpus(), extra=True)
-    found = {r.term: r for r in pii.disclosing_terms(df, *pii.scan(df))[0].collect()}
+    found = {r.term: r for r in pii.disclosing_terms(df, *pii.scan(df)).collect()}
     assert "zanzibari" in found and found["zanzibari"].action == "remove" and abs(found["zanzibari"].share - 1) < 1e-9
     assert not {"please", "about", "matter"} & set(found)
     clean = pii.sanitise(df)
@@ -73,10 +73,9 @@ def test_disclosing_terms_are_found_and_removed(spark):
 
 
 def brute_shares(texts, rules):
-    """Shares by plain counting over different texts."""
+    """Shares by plain counting over documents; support is by different texts."""
     import math
 
-    texts = list(dict.fromkeys(texts))
     word = re.compile(r"[^\W_]+")
     has, beside = {}, {}
     df = {}
@@ -84,7 +83,8 @@ def brute_shares(texts, rules):
         for w in {x for x in (m[0].lower() for m in word.finditer(t))}:
             df.setdefault(w, set()).add(n)
         spans = brute(t)
-        clear = {m[0].lower() for m in word.finditer(t) if not any(x[0] < m.end() and x[2] > m.start() for x in spans)}
+        near = [x.span() for p in PLAIN.values() for x in re.finditer(p, t)]
+        clear = {m[0].lower() for m in word.finditer(t) if not any(x < m.end() and y > m.start() for x, y in near)}
         for a, _, b, kind in spans:
             value = t[a:b].lower() if kind == "email" else t[a:b] if kind == "ip" else re.sub("[^0-9]", "", t[a:b])
             has.setdefault((kind, value), set()).add(n)
@@ -92,7 +92,7 @@ def brute_shares(texts, rules):
                 beside.setdefault(((kind, value), w), set()).add(n)
     out = {}
     for (entity, term), where in beside.items():
-        if len(where) >= rules.min_support and len(has[entity]) < len(texts):
+        if len({texts[n] for n in where}) >= rules.min_support and len(has[entity]) < len(texts):
             share = math.log2(len(texts) * len(where) / (len(df[term]) * len(has[entity]))) / math.log2(len(texts) / len(has[entity]))
             if share >= rules.generalise_at:
                 out[term] = max(share, out.get(term, 0))
@@ -104,7 +104,7 @@ def test_shares_match_plain_counting(spark):
     texts = private_corpus()
     df = documents(spark, texts)
     found = {}
-    for r in pii.disclosing_terms(df, *pii.scan(df), rules)[0].collect():
+    for r in pii.disclosing_terms(df, *pii.scan(df), rules).collect():
         found[r.term] = max(r.share, found.get(r.term, 0))
     want = brute_shares(texts, rules)
     assert found.keys() == want.keys() and want
@@ -121,7 +121,7 @@ def test_terms_far_from_the_mention_are_found_in_every_text(spark):
     texts = [f"Zanzibari Bo\n{prose(60 + k, 60)} {far} write to me.you@h{7}.example.com" for k in range(12)]
     texts += [f"please ask anyone about the matter {prose(200 + k, 30)}" for k in range(2000)] + ["the one Zanzibari of a text without a mention"]
     df = documents(spark, texts)
-    found = {r.term: r for r in pii.disclosing_terms(df, *pii.scan(df))[0].collect()}
+    found = {r.term: r for r in pii.disclosing_terms(df, *pii.scan(df)).collect()}
     assert found["zanzibari"].action == "generalise" and found["bo"].action == "remove"
     rows = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("Zanzibari" not in t and " Bo\n" not in t and "@" not in t for t in rows.values())

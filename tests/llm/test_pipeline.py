@@ -32,7 +32,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert not failed & set(rows[0]) and len(rows[0]) >= 0.9 * (len(texts) - len(failed))
     last = {t: k for k, t in sorted(rows[0].items())}
     assert rows[1] == {k: t for t, k in last.items()}
-    assert rows[2] == {k: rows[1][k] for k, (_, c) in brute_components(rows[1]).items() if c == k}
+    assert rows[2] == {k: rows[1][k] for k, (_, c, _) in brute_components(rows[1]).items() if c == k}
     assert set(rows[3]) == set(rows[2]) and not any(brute_spans(t) for t in rows[3].values())
     assert any(rows[2][k] != rows[3][k] for k in rows[2])
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
