@@ -132,22 +132,76 @@ def _entity() -> Column:
     return F.xxhash64("kind", F.when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(_digits(value)))
 
 
-def clear_words(docs: DataFrame, held: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """(version, start, end, term) of the words, in lower case, of the texts ``held`` (version) that touch no base span.
+def gathered(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """struct<state, out> of a walk over an array: ``step(state, item)`` gives the next state and an array<``kind``> to add to ``out``.
+
+    Appending copies an array, so results are gathered in blocks of about the square root of their number.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def walk(state: Column, part: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            after, found = step(acc["state"], x)
+            return F.struct(after.alias("state"), F.concat(acc["out"], found).alias("out"))
+
+        return F.aggregate(part, F.struct(state.alias("state"), none.alias("out")), one)
+
+    def blocks(xs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda c: F.slice(xs, c * size + 1, size))
+
+    def outer(acc: Column, part: Column) -> Column:
+        return let(walk(acc["state"], part), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    whole = F.aggregate(let(items, blocks), F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), outer)
+    return let(whole, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
 
-    Words and spans go by their starts: a word is out if a span before it reaches into it or the next span begins inside it.  Equal texts count as one.
+
+def clear_words(text: Column, spans: Column) -> Column:
+    """array<struct<start, end, value>> of the words of a text that touch no span (start, end, ...).
+
+    Words and spans are walked together by their starts: a word is out if a span before it reaches into it or the next span begins inside it.
     """
-    body = text_or_empty(text)
-    rows = docs.select(F.xxhash64(body).alias("version"), body.alias("body")).join(held, "version", "left_semi")
-    words = _placed(rows.select("version", F.posexplode(_matches(F.col("body"), WORD)).alias("at", "m")).distinct(), "version")
-    words = words.select("version", "start", "end", F.lower("value").alias("term"), F.lit(1).alias("word"))
-    blocks = spans.join(held, "version", "left_semi").select("version", "start", "end", F.lit(None).cast("string").alias("term"), F.lit(0).alias("word")).distinct()
-    text_of = Window.partitionBy("version")
-    forward = text_of.orderBy("start", "word").rowsBetween(Window.unboundedPreceding, -1)
-    backward = text_of.orderBy(F.desc("start"), F.desc("word")).rowsBetween(Window.unboundedPreceding, -1)
-    both = words.unionByName(blocks).withColumn("top", F.max(F.when(F.col("word") == 0, F.col("end"))).over(forward)).withColumn("next", F.min(F.when(F.col("word") == 0, F.col("start"))).over(backward))
-    clear = (F.col("word") == 1) & (F.coalesce("top", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
-    return both.where(clear).select("version", "start", "end", "term")
+    kind = "struct<start:int,end:int,value:string>"
+    item = lambda x, word, value: F.struct(x["start"].alias("start"), F.lit(word).alias("word"), x["end"].alias("end"), value.alias("value"))
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + x["0"]
+        end = begin + F.length(x["1"])
+        found = F.struct(begin.alias("start"), end.alias("end"), x["1"].alias("value"))
+        return F.coalesce(end, at), F.when(x["1"].isNull(), none).otherwise(F.array(found))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        top, held = state["top"], state["held"]
+        this = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))
+        after_span = F.struct(F.greatest(top, x["end"]).alias("top"), F.when(held["end"] <= x["start"], held).alias("held"))
+        after_word = F.struct(top.alias("top"), F.when(x["start"] >= top, this).alias("held"))
+        return F.when(x["word"] == 1, after_word).otherwise(after_span), F.when((x["word"] == 1) & held.isNotNull(), F.array(held)).otherwise(none)
+
+    def cleared(words: Column) -> Column:
+        both = F.sort_array(F.concat(F.transform(words, lambda w: item(w, 1, w["value"])), F.transform(spans, lambda s: item(s, 0, F.lit("")))))
+        walked = gathered(both, F.struct(F.lit(0).alias("top"), F.expr(f"cast(null as {kind})").alias("held")), step, kind)
+        last = lambda r: F.when(r["state"]["held"].isNotNull(), F.array_append(r["out"], r["state"]["held"])).otherwise(r["out"])
+        return F.when(F.size(spans) == 0, words).otherwise(let(walked, last))
+
+    return let(gathered(_matches(text, WORD), F.lit(0), place, kind)["out"], cleared)
+
+
+def _marked(words: Column, actions: Column) -> Column:
+    """Spans of the words that are terms of ``actions`` (term, action), by start; value holds the action.  Both are walked together in the order of terms."""
+    rank = KINDS.index("term")
+    term = lambda a: F.struct(a["term"].alias("term"), F.lit(0).alias("word"), F.lit(0).alias("start"), F.lit(0).alias("end"), a["action"].alias("action"))
+    word = lambda w: F.struct(F.lower(w["value"]).alias("term"), F.lit(1).alias("word"), w["start"].alias("start"), w["end"].alias("end"), F.lit("").alias("action"))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        span = F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit("term").alias("kind"), state["action"].alias("value"))
+        hit = (x["word"] == 1) & (x["term"] == state["term"])
+        now = F.struct(x["term"].alias("term"), x["action"].alias("action"))
+        return F.when(x["word"] == 0, now).otherwise(state), F.when(hit, F.array(span)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+
+    start = F.struct(F.lit("").alias("term"), F.lit("").alias("action"))
+    return F.sort_array(gathered(F.sort_array(F.concat(F.transform(words, word), F.transform(actions, term))), start, step, SPAN)["out"])
 
 
 def _small(df: DataFrame, bytes_of: Column, rules: DisclosureRules) -> DataFrame:
@@ -202,42 +256,20 @@ def term_spans(docs: DataFrame, spans: DataFrame, disclosing: DataFrame, rules:
     if disclosing.isEmpty():
         return docs.sparkSession.createDataFrame([], f"version long, term_spans array<{SPAN}>")
     actions = _small(disclosing.select("term", "action"), F.octet_length("term"), rules)
-    held = _small(materialize(_words(docs, text).join(actions, "term").select("version").distinct(), "pii-held"), F.lit(8), rules)
-    hits = clear_words(docs, held, spans, text).join(actions, "term")
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end", F.lit("term").alias("kind"), F.col("action").alias("value"))
-    found = hits.groupBy("version").agg(F.sort_array(F.collect_list(span)).alias("term_spans"))  # one text's words
-    return materialize(found, "pii-term-spans")
+    found = _words(docs, text).join(actions, "term").distinct().groupBy("version").agg(F.collect_list(F.struct("term", "action")).alias("actions"))  # one text's terms
+    blocks = spans.select("version", F.struct("start", "end").alias("span")).distinct().groupBy("version").agg(F.sort_array(F.collect_list("span")).alias("blocks"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    held = materialize(found.join(blocks, "version", "left").withColumn("blocks", F.coalesce("blocks", none)), "pii-held")
+    body = docs.select(F.xxhash64(text_or_empty(text)).alias("version"), text_or_empty(text).alias("body"))
+    rows = body.join(_small(held, 32 * F.size("actions") + 8 * F.size("blocks"), rules), "version")
+    marked = let(clear_words(F.col("body"), F.col("blocks")), lambda words: _marked(words, F.col("actions")))
+    return materialize(rows.select("version", marked.alias("term_spans")).where(F.size("term_spans") > 0).dropDuplicates(["version"]), "pii-term-spans")
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def gathered(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
-    """struct<state, out> of a walk over an array: ``step(state, item)`` gives the next state and an array<``kind``> to add to ``out``.
-
-    Appending copies an array, so results are gathered in blocks of about the square root of their number.
-    """
-    none = F.expr(f"cast(array() as array<{kind}>)")
-
-    def walk(state: Column, part: Column) -> Column:
-        def one(acc: Column, x: Column) -> Column:
-            after, found = step(acc["state"], x)
-            return F.struct(after.alias("state"), F.concat(acc["out"], found).alias("out"))
-
-        return F.aggregate(part, F.struct(state.alias("state"), none.alias("out")), one)
-
-    def blocks(xs: Column) -> Column:
-        size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), size - 1), lambda c: F.slice(xs, c * size + 1, size))
-
-    def outer(acc: Column, part: Column) -> Column:
-        return let(walk(acc["state"], part), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
-
-    whole = F.aggregate(let(items, blocks), F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), outer)
-    return let(whole, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
-
-
 def _piece(chunks: Column, a: Column, b: Column) -> Column:
     """Code points ``a`` to ``b`` of a text cut into chunks."""
     first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
