@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Names and numbers of the open(2) flags above the access mode.
+# Names and numbers of the open(2) flags, by number.
 OPEN_FLAGS = [
-    ("O_CREAT", 0o100), ("O_EXCL", 0o200), ("O_NOCTTY", 0o400), ("O_TRUNC", 0o1000), ("O_APPEND", 0o2000), ("O_NONBLOCK", 0o4000), ("O_DSYNC", 0o10000), ("O_ASYNC", 0o20000),
-    ("O_DIRECT", 0o40000), ("O_DIRECTORY", 0o200000), ("O_NOFOLLOW", 0o400000), ("O_NOATIME", 0o1000000), ("O_CLOEXEC", 0o2000000),
+    ("O_WRONLY", 1), ("O_RDWR", 2), ("O_CREAT", 64), ("O_EXCL", 128), ("O_NOCTTY", 256), ("O_TRUNC", 512), ("O_APPEND", 1024), ("O_NONBLOCK", 2048), ("O_DSYNC", 4096), ("O_ASYNC", 8192), ("O_DIRECT", 16384),
+    ("O_DIRECTORY", 65536), ("O_NOFOLLOW", 131072), ("O_NOATIME", 262144), ("O_CLOEXEC", 524288), ("__O_SYNC", 1048576), ("O_PATH", 2097152), ("__O_TMPFILE", 4194304),
 ]
 DEPTH_DIFFERS = 4097
+STAR = "if(p <=> q, p, '*')"
 # Fields of an account record, in order.
 ACCOUNT_FIELDS = ["pid", "uid", "auid", "ses", "op", "acct", "exe", "hostname", "addr", "terminal", "res"]
 
@@ -73,10 +75,13 @@ def account_record(msg: Column) -> Column:
 
 
 def open_flags(value: Column) -> Column:
-    """Names of the flags in a number, the access mode first, joined by a bar."""
-    mode = F.when(value.bitwiseAND(F.lit(3)) == 1, "O_WRONLY").when(value.bitwiseAND(F.lit(3)) == 2, "O_RDWR").otherwise("O_RDONLY")
-    names = [F.when(value.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for name, bit in OPEN_FLAGS]
-    return F.concat_ws("|", mode, *names)
+    """Names of the flags of a hexadecimal field, joined by a bar: O_RDONLY if neither access bit is set, then each flag whose bit is, by number.
+
+    What is no hexadecimal number counts as 0; null stays null.
+    """
+    flags = F.coalesce(hex_number(F.when(value.rlike("^(0[xX])?[0-9A-Fa-f]+$"), F.regexp_replace(value, "^0[xX]", ""))), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
+    names = [F.when(flags.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for name, bit in OPEN_FLAGS]
+    return F.when(value.isNotNull(), F.concat_ws("|", F.when(flags.bitwiseAND(F.lit(3)) == 0, "O_RDONLY"), *names))
 
 
 def construct_path(cwd: Column, path: Column) -> Column:
@@ -170,8 +175,21 @@ def leader_clusters(values: list[str], close, merge) -> dict[str, str]:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions for users: audit_field, path_wildcard."""
-    import re
-
-    spark.udf.register("audit_field", lambda msg, name: (m := re.search(rf"(?:^| ){re.escape(name)}=([^ ]{{1,99}})", msg or "")) and m[1], "string")
-    spark.udf.register("path_wildcard", lambda a, b: None if a is None or b is None else wildcard(a, b), "string")
+    """SQL functions for users: audit_field, open_flags, dir_distance and dir_wildcard, which Spark plans like any expression, and path_wildcard."""
+    flags = ", ".join(f"if(v & {bit} <> 0, '{name}', null)" for name, bit in OPEN_FLAGS)
+    zipped = "zip_with(split(a, '/'), split(b, '/'), (p, q) -> {})"
+    same_depth = "size(split(a, '/')) = size(split(b, '/'))"
+    bodies = {
+        "audit_field(msg STRING, name STRING) RETURNS STRING": "nullif(regexp_extract(msg, concat('(?:^| )', name, '=([^ ]{1,99})'), 1), '')",
+        "open_flags(value STRING) RETURNS STRING": f"(SELECT concat_ws('|', if(v & 3 = 0, 'O_RDONLY', null), {flags}) FROM (SELECT coalesce(cast(conv(value, 16, 10) as bigint), 0) & 4294967295 AS v))",
+        "dir_distance(a STRING, b STRING) RETURNS INT": f"if({same_depth}, aggregate({zipped.format('if(p <=> q, 0, 1)')}, 0, (n, d) -> n + d), {DEPTH_DIFFERS})",
+        "dir_wildcard(a STRING, b STRING) RETURNS STRING": f"if({same_depth}, array_join({zipped.format(STAR)}, '/'), '')",
+    }
+    for head, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+
+    @F.pandas_udf("string")
+    def path_wildcard(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else wildcard(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    spark.udf.register("path_wildcard", path_wildcard)

@@ -25,27 +25,47 @@ def syscall_class(column: str = "syscall"):
     return F.when(c.isin(*FILE_CALLS), "file").when(c.isin(*PROCESS_CALLS), "process").when(c.isin(*NETWORK_CALLS), "network").otherwise("other")
 
 
-def decisions(dropped: dict[str, DataFrame]) -> DataFrame:
-    """(epoch_id, event_id, technique), once each."""
-    parts = [df.select("epoch_id", "event_id", F.lit(name).alias("technique")) for name, df in dropped.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+ACTIONS = ("ALLOW", "MANGLE", "DROP")  # 0, 1, 2
 
 
 def first_action(actions: DataFrame) -> DataFrame:
-    """One action for each (event, technique) of (epoch_id, event_id, technique, place, action): the first placed."""
+    """One action for each (event, technique) of (epoch_id, event_id, technique, place, action): the first by place, which is a column of any type that has an order."""
     return actions.groupBy("epoch_id", "event_id", "technique").agg(F.min_by("action", "place").alias("action"))
 
 
+def dropped(decided: DataFrame) -> DataFrame:
+    """(epoch_id, event_id, technique) of what decisions drop."""
+    return decided.where("action = 'DROP'").select("epoch_id", "event_id", "technique")
+
+
 def matrix(events: DataFrame, decided: DataFrame, techniques: list[str]) -> DataFrame:
-    """(epoch_id, event_id, syscall, one column for each technique): 2 for a dropped event, else 0."""
-    masks = decided.groupBy("epoch_id", "event_id").agg(*[F.max(F.when(F.col("technique") == t, 2).otherwise(0)).alias(t) for t in techniques])
+    """(epoch_id, event_id, syscall, one column for each technique): 2 for a dropped event, 1 for a rewritten one, else 0."""
+    value = F.when(F.col("action") == "DROP", 2).when(F.col("action") == "MANGLE", 1).otherwise(0)
+    masks = decided.groupBy("epoch_id", "event_id").agg(*[F.max(F.when(F.col("technique") == t, value).otherwise(0)).alias(t) for t in techniques])
     rows = events.select("epoch_id", "event_id", "syscall").join(masks, ["epoch_id", "event_id"], "left")
     return rows.select("epoch_id", "event_id", "syscall", *[F.coalesce(t, F.lit(0)).alias(t) for t in techniques])
 
 
+def reductions(events: DataFrame, decided: DataFrame, size_technique: str = "DPRESERVE_SD") -> DataFrame:
+    """For each epoch: events handled, removed (any technique drops them), kept (they have decisions, none of them a drop), bytes, bytes removed, and bytes that ``size_technique`` removes."""
+    drop = F.col("action") == "DROP"
+    judged = decided.groupBy("epoch_id", "event_id").agg(F.max(drop.cast("int")).alias("gone"), F.max((drop & (F.col("technique") == size_technique)).cast("int")).alias("sized"))
+    rows = events.select("epoch_id", "event_id", "size_bytes").join(judged, ["epoch_id", "event_id"], "left")
+    bytes_of = lambda c: F.sum(F.when(F.col(c) == 1, F.col("size_bytes")).otherwise(0))
+    return rows.groupBy("epoch_id").agg(
+        F.count(F.lit(1)).alias("handled"), F.count(F.when(F.col("gone") == 1, 1)).alias("removed"), F.count(F.when(F.col("gone") == 0, 1)).alias("kept"),
+        F.sum("size_bytes").alias("raw_bytes"), bytes_of("gone").alias("removed_bytes"), bytes_of("sized").alias("technique_bytes"),
+    )
+
+
+def report(decided: DataFrame) -> DataFrame:
+    """(technique, dropped, percent): each technique's drops, and their share of the events that any technique drops."""
+    gone = dropped(decided)
+    total = gone.select("epoch_id", "event_id").distinct().agg(F.count(F.lit(1)).alias("total"))  # one row
+    counts = gone.groupBy("technique").agg(F.count(F.lit(1)).alias("dropped"))
+    return counts.join(F.broadcast(total)).select("technique", "dropped", percent("dropped", "total").alias("percent"))
+
+
 def histogram(table: DataFrame, techniques: list[str]) -> DataFrame:
     """(mask, class, n): at most two to the power of the techniques rows for each class, whatever the input."""
     mask = sum((F.when(F.col(t) == 2, F.lit(1 << k)).otherwise(0) for k, t in enumerate(techniques)), F.lit(0))
@@ -101,11 +121,11 @@ def percent(part: str, whole: str):
 
 
 def coverage(hist: DataFrame, techniques: list[str], size: int) -> DataFrame:
-    """(subset, covered): events dropped by any technique of each subset of that size."""
+    """(subset, covered): events dropped by any technique of each subset of that size, the widest first and ties in the order of the techniques."""
     subsets = [(k, "+".join(techniques[i] for i in c), sum(1 << i for i in c)) for k, c in enumerate(combinations(range(len(techniques)), size))]
     numbered = hist.sparkSession.createDataFrame(subsets, "k int, subset string, m int")
     met = hist.select("mask", "n", F.explode(F.sequence(F.lit(0), F.lit(len(subsets) - 1))).alias("k")).join(F.broadcast(numbered), "k")
-    return met.groupBy("subset").agg(_sum_where(F.col("mask").bitwiseAND(F.col("m")) != 0).alias("covered"))
+    return met.groupBy("subset", "k").agg(_sum_where(F.col("mask").bitwiseAND(F.col("m")) != 0).alias("covered")).orderBy(F.desc("covered"), "k").select("subset", "covered")
 
 
 def greedy(hist: DataFrame, techniques: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,22 +20,60 @@ CALLS = {
 }
 
 
+@dataclass
+class Provenance:
+    """Datums by kind.  Every table has seq, the datum's place in its file, and uuid."""
+
+    events: DataFrame  # type, nanos, subject, object
+    processes: DataFrame  # pid, parent, principal, nanos, unit, iteration, count, command, name, cwd
+    files: DataFrame  # path
+    flows: DataFrame  # local, local_port, remote, remote_port, protocol
+
+    def vertices(self) -> DataFrame:
+        """(uuid, seq) of everything that an event may have at its ends."""
+        parts = [t.select("uuid", "seq") for t in (self.processes, self.files, self.flows)]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def dispatch(datums: DataFrame) -> Provenance:
+    """Datums (seq and the columns of ``CDM_SCHEMA``) to tables; kinds that make neither vertices nor events are left out."""
+    kind = F.regexp_extract("type", r"([A-Za-z]+)$", 1)
+    event = F.col("type").startswith("EVENT_")
+    events = datums.where(event).select("seq", "uuid", "type", F.col("timestampNanos").alias("nanos"), "subject", F.col("predicateObject").alias("object"))
+    of = lambda name: datums.where(~event & (kind == name))
+    held = lambda c, k: F.try_element_at(c, F.lit(k))
+    props, base = F.col("properties"), F.col("baseObject.properties")
+    processes = of("Subject").select(
+        "seq", "uuid", F.col("cid").alias("pid"), F.col("parentSubject").alias("parent"), F.col("localPrincipal").alias("principal"), F.col("startTimestampNanos").alias("nanos"), F.col("unitId").alias("unit"),
+        "iteration", "count", F.col("cmdLine").alias("command"), held(props, "name").alias("name"), held(props, "cwd").alias("cwd"),
+    )
+    files = of("FileObject").select("seq", "uuid", F.coalesce(held(base, "filename"), held(base, "path"), F.lit("")).alias("path"))
+    flows = of("NetFlowObject").select("seq", "uuid", F.col("localAddress").alias("local"), F.col("localPort").alias("local_port"), F.col("remoteAddress").alias("remote"), F.col("remotePort").alias("remote_port"), F.col("ipProtocol").alias("protocol"))
+    return Provenance(events, processes, files, flows)
+
+
+def _known(rows: DataFrame, vertices: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` names a vertex that comes before them."""
+    first = vertices.groupBy(F.col("uuid").alias(column)).agg(F.min("seq").alias("since"))
+    return rows.join(first, column).where("since < seq").drop("since")
+
+
 def edges(events: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(uuid, src, dst, type) of events (uuid, type, subject, object) whose two ends are known vertices (uuid)."""
+    """(uuid, src, dst, type) of events (seq, uuid, type, subject, object) both of whose ends are vertices (uuid, seq) that come before the event."""
     forward, backward = F.col("type").isin(*SUBJECT_TO_OBJECT), F.col("type").isin(*OBJECT_TO_SUBJECT)
-    rows = events.where(forward | backward).select("uuid", "type", F.when(forward, F.col("subject")).otherwise(F.col("object")).alias("src"), F.when(forward, F.col("object")).otherwise(F.col("subject")).alias("dst"))
-    known = lambda c: vertices.select(F.col("uuid").alias(c)).distinct()
-    return rows.join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi").select("uuid", "src", "dst", "type")
+    rows = events.where(forward | backward).select("seq", "uuid", "type", F.when(forward, F.col("subject")).otherwise(F.col("object")).alias("src"), F.when(forward, F.col("object")).otherwise(F.col("subject")).alias("dst"))
+    return _known(_known(rows, vertices, "src"), vertices, "dst").select("uuid", "src", "dst", "type")
 
 
 def to_audit(events: DataFrame, subjects: DataFrame, files: DataFrame) -> DataFrame:
     """(seq, at, value): audit lines of events (seq, uuid, type, nanos, subject, object).
 
-    ``subjects`` has (uuid, pid, parent); a missing parent is process 1.  ``files`` has (uuid, path); files get inodes from 3 on in
-    the order of their first use.
+    ``subjects`` has (seq, uuid, pid, parent); a missing parent is process 1.  ``files`` has (seq, uuid, path).  A subject or file counts for
+    events that come after it.  Files get inodes from 3 on in the order of their first use.
     """
+    used = events.select("seq", F.col("object").alias("uuid")).join(files.select("uuid", F.col("seq").alias("since")), "uuid").where("since < seq")
     # Places of first use: one row for each file, numbered by ranges so that no task holds them all.
-    first = events.join(files, events.object == files.uuid, "left_semi").groupBy("object").agg(F.min("seq").alias("first"))
+    first = used.groupBy(F.col("uuid").alias("object")).agg(F.min("seq").alias("first"))
     width = 1 << 16
     block = F.floor(F.col("first") / width)
     inside = first.withColumn("block", block).withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("first")))
@@ -41,9 +81,9 @@ def to_audit(events: DataFrame, subjects: DataFrame, files: DataFrame) -> DataFr
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "before")
     inodes = inside.join(before, "block").select("object", (F.col("nth") + F.col("before") + 2).alias("inode"))
     parents = subjects.select(F.col("uuid").alias("parent"), F.col("pid").alias("parent_pid"))
-    who = subjects.join(parents, "parent", "left").select(F.col("uuid").alias("subject"), "pid", F.coalesce("parent_pid", F.lit(1)).alias("ppid"))
-    named = files.select(F.col("uuid").alias("object"), "path").join(inodes, "object", "left")
-    rows = events.join(who, "subject").join(named, "object", "left")
+    who = subjects.join(parents, "parent", "left").select(F.col("uuid").alias("subject"), F.col("seq").alias("subject_seq"), "pid", F.coalesce("parent_pid", F.lit(1)).alias("ppid"))
+    named = files.select(F.col("uuid").alias("object"), F.col("seq").alias("since"), "path").join(inodes, "object")
+    rows = events.join(who, "subject").where("subject_seq < seq").join(named, "object", "left").withColumn("path", F.when(F.col("since") < F.col("seq"), F.col("path")))
     number = F.create_map(*[F.lit(x) for k, v in CALLS.items() for x in (k, v)])[F.col("type")]
     stamp = F.concat(F.lit("msg=audit("), F.format_string("%f", F.col("nanos") / 1e9), F.lit(":0):"))
     call = lambda *rest: F.concat(F.lit("type=SYSCALL "), stamp, F.lit(" arch=c000003e syscall="), number.cast("string"), *rest)

@@ -67,16 +67,17 @@ def dpreserve_fd(edges: DataFrame) -> DataFrame:
     return edges.select("epoch_id", "event_id").join(both, ["epoch_id", "event_id"], "left_anti")
 
 
-def tag_seeds(events: DataFrame, keywords: list[str]) -> DataFrame:
-    """(epoch_id, event_id) of events whose program or path holds a keyword."""
-    text = F.concat_ws(" ", "exe", "cwd", "path")
-    return events.where(F.coalesce(*[F.when(text.contains(k), F.lit(True)) for k in keywords], F.lit(False))).select("epoch_id", "event_id")
+def tag_seeds(events: DataFrame, keywords: list[str], pairs: list[tuple[str, str]] = ()) -> DataFrame:
+    """(epoch_id, event_id) of events whose call record holds a keyword, or whose directory and path hold both parts of a pair."""
+    held = [F.col("message").contains(k) for k in keywords] + [F.col("cwd").contains(a) & F.col("path").contains(b) for a, b in pairs]
+    return events.where(F.coalesce(*[F.when(h, F.lit(True)) for h in held], F.lit(False))).select("epoch_id", "event_id")
 
 
-def tag(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(epoch_id, event_id) of edges that neither lead from a seed's cause nor to a seed's effect, nor are seeds."""
+def tag(events: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(epoch_id, event_id) of events that are no seeds and whose edge, if any, neither leads from a seed's cause nor to a seed's effect."""
     hit = materialize(edges.join(seeds, ["epoch_id", "event_id"], "left_semi"), "seeds")
     back = trace(edges, hit.select("epoch_id", F.col("dst").alias("node"))).withColumnRenamed("node", "src")
     fore = trace(reversed_edges(edges), hit.select("epoch_id", F.col("src").alias("node"))).withColumnRenamed("node", "dst")
-    rest = edges.join(seeds, ["epoch_id", "event_id"], "left_anti").join(back, ["epoch_id", "src"], "left_anti").join(fore, ["epoch_id", "dst"], "left_anti")
-    return rest.select("epoch_id", "event_id")
+    traced = edges.join(back, ["epoch_id", "src"], "left_semi").select("epoch_id", "event_id").unionByName(edges.join(fore, ["epoch_id", "dst"], "left_semi").select("epoch_id", "event_id"))
+    kept = traced.unionByName(seeds.select("epoch_id", "event_id")).distinct()
+    return events.select("epoch_id", "event_id").join(kept, ["epoch_id", "event_id"], "left_anti")

@@ -44,6 +44,11 @@ def degrees(edge_table: DataFrame) -> DataFrame:
     return ends.groupBy("epoch_id", "node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
+def without_events(edge_table: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The edges without those of dropped events; nodes that lose all their edges are gone with them (see :func:`nodes`)."""
+    return edge_table.join(dropped.select("epoch_id", "event_id").distinct(), ["epoch_id", "event_id"], "left_anti")
+
+
 def runs(resolved: DataFrame) -> DataFrame:
     """(epoch_id, event_id, pid, op, object, is_socket, run, rn, n, last_run) of reads and writes.
 

@@ -47,7 +47,7 @@ def events_of(sessions: DataFrame, fd_exit_base: int = 16) -> DataFrame:
         F.max(F.when(call, T.number(msg, "ppid"))).alias("ppid"), F.max(F.when(call, T.field(msg, "a0"))).alias("a0"), F.max(F.when(call, T.field(msg, "exit"))).alias("exit"),
         F.max(F.when(call, T.field(msg, "exe"))).alias("exe"), of("CWD", T.unquoted(T.field(msg, "cwd"))).alias("cwd"), of("PATH", T.unquoted(T.field(msg, "name"))).alias("path"),
         of("PATH", T.field(msg, "inode").try_cast("long")).alias("inode"), of("EXECVE", T.field(msg, "a0")).alias("program"), of("SOCKADDR", T.field(msg, "saddr")).alias("saddr"),
-        F.sum("msg_len").alias("size_bytes"),
+        F.max(F.when(call, msg)).alias("message"), F.sum("msg_len").alias("size_bytes"), F.count(F.lit(1)).alias("records"),
     )
     fd = F.when(F.col("syscall") == 2, T.hex_number(F.col("exit"), fd_exit_base)).otherwise(T.hex_number(F.col("a0")))
     return rows.where(~F.col("syscall").isin(*IGNORED)).withColumn("fd", fd)
@@ -60,7 +60,7 @@ def resolve(events: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("epoch_id", "pid", "fd").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     call = F.col("syscall")
-    owner = F.when(call == 2, F.struct(F.col("inode").alias("file"))).when(call.isin(3, 42, 43) | (call.isin(44, 45) & F.col("saddr").isNotNull()), F.struct(F.lit(None).cast("long").alias("file")))
+    owner = F.when(call == 2, F.struct(F.col("inode").alias("file"))).when((call == 3) | (call.isin(42, 43, 44, 45) & F.col("saddr").isNotNull()), F.struct(F.lit(None).cast("long").alias("file")))
     known = F.last(owner, ignorenulls=True).over(order)["file"]
     target = F.when(call.isin(2, 87, 263), F.col("inode")).when(call.isin(0, 1, 3) & F.col("fd").between(0, 2), F.col("fd")).when(call.isin(0, 1, 3), known)
     return events.withColumn("file", target)
@@ -78,15 +78,23 @@ def drop_virtual(resolved: DataFrame, is_virtual: Column) -> DataFrame:
     return marked.where(~F.col("syscall").isin(0, 1) | F.col("virtual_from").isNull() | (F.col("event_id") <= F.col("virtual_from"))).drop("virtual_from")
 
 
-def kept_by_kernel(events: DataFrame, syscalls: tuple[int, ...] = HANDLED, ignored_exe: tuple[str, ...] = ()) -> DataFrame:
-    """The predicate that a capture rule set would apply."""
-    rows = events.where(F.col("syscall").isin(*syscalls))
-    return rows.where(~F.coalesce("exe", F.lit("")).isin(*ignored_exe)) if ignored_exe else rows
+def kept_by_kernel(events: DataFrame, syscalls: tuple[int, ...] = HANDLED, ignored_exe: tuple[str, ...] = (), any_result: tuple[int, ...] = (60, 231), ignored_uid: tuple[int, ...] = (0,)) -> DataFrame:
+    """What a capture rule set would let in: calls of the list that succeeded (those of ``any_result`` whether or not), not of ignored users or programs."""
+    message = F.col("message")
+    good = F.coalesce(T.field(message, "success") == "yes", F.lit(True)) | F.col("syscall").isin(*any_result)
+    rows = events.where(F.col("syscall").isin(*syscalls) & good & ~F.coalesce(T.number(message, "uid"), F.lit(-1)).isin(*ignored_uid))
+    return rows.where(~F.coalesce(T.unquoted(F.col("exe")), F.lit("")).isin(*ignored_exe)) if ignored_exe else rows
 
 
 def counters(events: DataFrame) -> DataFrame:
-    """Events, bytes and unsupported events of each epoch."""
-    return events.groupBy("epoch_id").agg(F.count(F.lit(1)).alias("events"), F.sum("size_bytes").alias("bytes"), F.sum((~F.col("syscall").isin(*HANDLED)).cast("long")).alias("unsupported"))
+    """Events, entries, bytes and unsupported events of each epoch."""
+    unsupported = F.sum((~F.col("syscall").isin(*HANDLED)).cast("long")).alias("unsupported")
+    return events.groupBy("epoch_id").agg(F.count(F.lit(1)).alias("events"), F.sum("records").alias("entries"), F.sum("size_bytes").alias("bytes"), unsupported)
+
+
+def without_events(sessions: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The records of the log without those of dropped events (epoch_id, event_id)."""
+    return sessions.join(dropped.select("epoch_id", "event_id").distinct(), ["epoch_id", "event_id"], "left_anti")
 
 
 def bursting(sessions: DataFrame, seconds: float = 5.0, records: int = 20) -> DataFrame:

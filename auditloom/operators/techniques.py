@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
-from auditloom.operators import closure, graph, sessions
+from auditloom.operators import analysis, closure, graph, sessions
 from auditloom.operators.support import materialize
 
 KEY = ["epoch_id", "event_id"]
@@ -23,6 +24,9 @@ class Context:
 
     resolved: DataFrame
     edges: DataFrame
+    templates: DataFrame | None = None  # (tokens) for node merging; mined from the context if not given
+    keywords: list[str] = field(default_factory=list)  # of call records
+    pairs: list[tuple[str, str]] = field(default_factory=list)  # of parts of a directory and a path
 
 
 def context(resolved: DataFrame) -> Context:
@@ -37,9 +41,9 @@ def redundant_io(ctx: Context) -> DataFrame:
 
 
 def iburst(ctx: Context) -> DataFrame:
-    """The inside of file runs, both sides of breaks between runs, and repeated openings and closings."""
+    """The inside of file runs, both sides of breaks between runs (of files and sockets), and repeated openings and closings."""
     hit = "(not is_socket and rn > 1 and rn < n) or (rn = n and run < last_run) or (rn = 1 and run > 0)"
-    return graph.runs(ctx.resolved).where(hit).where("not is_socket").select(*KEY).unionByName(graph.repeats(ctx.resolved))
+    return graph.runs(ctx.resolved).where(hit).select(*KEY).unionByName(graph.repeats(ctx.resolved))
 
 
 def approx_at_once(ctx: Context) -> DataFrame:
@@ -82,11 +86,22 @@ def induction(ctx: Context) -> DataFrame:
     return _touches(ctx).where("rank > 1").join(common, ["epoch_id", "program", "dir", "neighbour"], "left_semi").select(*KEY).distinct()
 
 
+def opened_names(ctx: Context) -> DataFrame:
+    """(epoch_id, pid, file, cwd, path) of the latest opening of each file by each process."""
+    opens = ctx.resolved.where("syscall = 2 and path is not null and file is not null")
+    return opens.groupBy("epoch_id", "pid", "file").agg(F.max_by("cwd", "event_id").alias("cwd"), F.max_by("path", "event_id").alias("path"))
+
+
 def grammar(ctx: Context) -> DataFrame:
-    """(epoch_id, program, dir, files): what the first process of each program shares with the others, as neighbours in order."""
+    """(epoch_id, program, dir, files): what the first process of each program shares with the others, as full paths in order.
+
+    Standard descriptors and files that it did not open itself are left out.
+    """
     common = induction_frequencies(ctx).where("n = members").select("epoch_id", "program", "dir", "neighbour")
-    rows = _touches(ctx).where("rank = 1").join(common, ["epoch_id", "program", "dir", "neighbour"], "left_semi").select("epoch_id", "program", "dir", "neighbour").distinct()
-    return rows.groupBy("epoch_id", "program", "dir").agg(F.array_join(F.array_sort(F.collect_list("neighbour")), " ").alias("files"))
+    rows = _touches(ctx).where("rank = 1 and neighbour like 'i%'").join(common, ["epoch_id", "program", "dir", "neighbour"], "left_semi").select("epoch_id", "program", "dir", "node", "neighbour").distinct()
+    rows = rows.withColumn("pid", F.substring("node", 2, 20).cast("int")).withColumn("file", F.substring("neighbour", 2, 20).cast("long")).where("file >= 3")
+    named = rows.join(opened_names(ctx), ["epoch_id", "pid", "file"]).withColumn("full", T.construct_path(F.col("cwd"), F.col("path")))
+    return named.groupBy("epoch_id", "program", "dir").agg(F.array_join(F.array_sort(F.collect_list("full")), " ").alias("files"))
 
 
 # -- node merging ------------------------------------------------------------------------------------------------------------
@@ -142,18 +157,31 @@ def wildcards(values: DataFrame, kind: str) -> DataFrame:
         shapes = T.leader_clusters(sorted(rows["value"]), close, merge)
         return pd.DataFrame({"epoch_id": rows["epoch_id"], "value": rows["value"], "wildcard": rows["value"].map(shapes)})
 
-    return values.distinct().groupBy("epoch_id").applyInPandas(cluster, "epoch_id long, value string, wildcard string")
+    kind_of = dict(values.dtypes)["epoch_id"]
+    return values.distinct().groupBy("epoch_id").applyInPandas(cluster, f"epoch_id {kind_of}, value string, wildcard string")
 
 
-def approx(ctx: Context, least_length: int = 10) -> DataFrame:
-    """(epoch_id, event_id, action): of the accesses of one process to files with one generalised name, reads and writes apart, the oldest is MANGLE and others DROP."""
-    names = ctx.resolved.where("syscall = 2 and path is not null").groupBy("epoch_id", "pid", "file").agg(F.max_by("cwd", "event_id").alias("cwd"), F.max_by("path", "event_id").alias("path"))
-    access = ctx.resolved.where("syscall in (0, 1) and file >= 3").select(*KEY, "pid", "file", "syscall").join(names, ["epoch_id", "pid", "file"])
-    dirs = wildcards(access.select("epoch_id", F.col("cwd").alias("value")), "dir").toDF("epoch_id", "cwd", "cwd_wildcard")
-    paths = wildcards(access.select("epoch_id", F.col("path").alias("value")), "path").toDF("epoch_id", "path", "path_wildcard")
-    rows = access.join(dirs, ["epoch_id", "cwd"]).join(paths, ["epoch_id", "path"]).where(F.length("cwd_wildcard") + F.length("path_wildcard") >= least_length)
+def approx_actions(ctx: Context, least_length: int = 10) -> DataFrame:
+    """(epoch_id, event_id, place, action) by generalised names.
+
+    A file is in the group of each generalised name that a process gave it.  Of the accesses of one process to a group, reads and writes apart, the oldest
+    is MANGLE and the others DROP; groups follow one another by name, which is their place.
+    """
+    access = ctx.resolved.where("syscall in (0, 1) and file >= 3").select(*KEY, "pid", "file", "syscall")
+    named = access.select("epoch_id", "pid", "file").distinct().join(opened_names(ctx), ["epoch_id", "pid", "file"])
+    dirs = wildcards(named.select("epoch_id", F.col("cwd").alias("value")), "dir").toDF("epoch_id", "cwd", "cwd_wildcard")
+    paths = wildcards(named.select("epoch_id", F.col("path").alias("value")), "path").toDF("epoch_id", "path", "path_wildcard")
+    groups = named.join(dirs, ["epoch_id", "cwd"]).join(paths, ["epoch_id", "path"]).where(F.length("cwd_wildcard") + F.length("path_wildcard") >= least_length)
+    rows = access.join(groups.select("epoch_id", "file", "cwd_wildcard", "path_wildcard").distinct(), ["epoch_id", "file"])
     nth = F.row_number().over(Window.partitionBy("epoch_id", "cwd_wildcard", "path_wildcard", "pid", "syscall").orderBy("event_id"))
-    return rows.select(*KEY, F.when(nth == 1, "MANGLE").otherwise("DROP").alias("action"))
+    place = F.concat(F.lit("1/"), F.col("cwd_wildcard"), F.lit("\0"), F.col("path_wildcard"))
+    return rows.select(*KEY, place.alias("place"), F.when(nth == 1, "MANGLE").otherwise("DROP").alias("action"))
+
+
+def approx(ctx: Context, least_length: int = 10) -> DataFrame:
+    """(epoch_id, event_id, place, action): what is dropped at once comes before what generalised names decide."""
+    at_once = approx_at_once(ctx).select(*KEY, F.lit("0/").alias("place"), F.lit("DROP").alias("action"))
+    return at_once.unionByName(approx_actions(ctx, least_length))
 
 
 # -- garbage collection --------------------------------------------------------------------------------------------------------
@@ -223,13 +251,38 @@ def log_gc(ctx: Context) -> DataFrame:
         found = collect_garbage(list(rows[["event_id", "src", "dst", "rel"]].itertuples(index=False, name=None)))
         return pd.DataFrame({"epoch_id": [rows["epoch_id"].iloc[0]] * len(found), "event_id": sorted(found)})
 
-    return ctx.edges.select(*KEY, "src", "dst", "rel").groupBy("epoch_id").applyInPandas(run, "epoch_id long, event_id long")
+    kind = dict(ctx.edges.dtypes)["epoch_id"]
+    return ctx.edges.select(*KEY, "src", "dst", "rel").groupBy("epoch_id").applyInPandas(run, f"epoch_id {kind}, event_id long")
 
 
 # -- registry -----------------------------------------------------------------------------------------------------------------
-#: Techniques by name, in the order in which the first action on an event wins.  Add to it to extend the engine.
+def _drops(technique: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
+    return lambda ctx: technique(ctx).select(*KEY, F.lit("0").alias("place"), F.lit("DROP").alias("action"))
+
+
+def _with_repeats(technique: Callable[[DataFrame], DataFrame]) -> Callable[[Context], DataFrame]:
+    return _drops(lambda ctx: technique(ctx.edges).unionByName(graph.repeats(ctx.resolved)))
+
+
+def tag(ctx: Context) -> DataFrame:
+    return closure.tag(ctx.resolved, ctx.edges, materialize(closure.tag_seeds(ctx.resolved, ctx.keywords, ctx.pairs), "tagged"))
+
+
+def nodemerge_mined(ctx: Context) -> DataFrame:
+    """Node merging by the context's templates, or by those mined from the context itself."""
+    return nodemerge(ctx, ctx.templates if ctx.templates is not None else materialize(mine_templates(frequent_accesses(ctx)), "templates"))
+
+
+#: Techniques by name, in the order of the decision table's columns; each gives (epoch_id, event_id, place, action).  Add to it to extend the engine.
 REGISTRY: dict[str, Callable[[Context], DataFrame]] = {
-    "REDUNDANT_IO": redundant_io, "LOG_GC": log_gc_batch, "APPROX": approx_at_once, "INDUCTION": induction, "UNSUPPORTED": unsupported, "IBURST": iburst,
-    "DPRESERVE_FD": lambda ctx: closure.dpreserve_fd(ctx.edges), "DPRESERVE_SD": lambda ctx: closure.dpreserve_sd(ctx.edges),
-    "NODEMERGE": lambda ctx: nodemerge(ctx, mine_templates(frequent_accesses(ctx))),
+    "REDUNDANT_IO": _drops(redundant_io), "LOG_GC": _drops(log_gc_batch), "APPROX": approx, "INDUCTION": _drops(induction), "UNSUPPORTED": _drops(unsupported), "IBURST": _drops(iburst), "TAG": _drops(tag),
+    "DPRESERVE_FD": _with_repeats(closure.dpreserve_fd), "DPRESERVE_SD": _with_repeats(closure.dpreserve_sd), "NODEMERGE": _drops(nodemerge_mined),
 }
+#: The techniques that a run uses unless told otherwise.
+ACTIVE = [t for t in REGISTRY if t not in ("UNSUPPORTED", "TAG")]
+
+
+def decide(ctx: Context, names: list[str] | None = None) -> DataFrame:
+    """(epoch_id, event_id, technique, action) of the techniques named: for each event and technique its first action."""
+    parts = [REGISTRY[name](ctx).select(*KEY, F.lit(name).alias("technique"), "place", "action") for name in names or ACTIVE]
+    return analysis.first_action(reduce(DataFrame.unionByName, parts))

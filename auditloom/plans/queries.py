@@ -9,11 +9,13 @@ from auditloom.functions import text as T
 from auditloom.operators import analysis, cdm, closure, graph, sessions, techniques
 from auditloom.operators.support import materialize
 from auditloom.plans.projection import audit_events, audit_lines, wall_seconds
+from auditloom.sources import audit
 from auditloom.streaming import epochs
 
-KEYWORDS = ["f3.log", "u1/"]
-VIRTUAL = r"^/home/u[0-9]+/f[3-5]\.log$"
-MATRIX = ["REDUNDANT_IO", "INDUCTION", "UNSUPPORTED", "IBURST", "NODEMERGE"]
+KEYWORDS = ["aaaaaaaa3.log"]
+PAIRS = [("/home/u1", "7.log"), ("/home/u2", "aaa4")]
+VIRTUAL = r"^/home/u[0-9]+/aaaaaaaa[3-5]\.log$"
+MATRIX = list(techniques.REGISTRY)  # the study takes all ten
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,14 +30,14 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.drop_unresolved(sessions.resolve(events(spark, sf_dir)))
 
 
-def context(spark: SparkSession, sf_dir: str) -> techniques.Context:
-    return techniques.context(resolved(spark, sf_dir))
-
-
 def settled(spark: SparkSession, sf_dir: str) -> techniques.Context:
     """The context with its tables written once, for operators that read them many times."""
     rows = materialize(resolved(spark, sf_dir), "resolved")
-    return techniques.Context(rows, materialize(graph.edges(rows), "edges"))
+    return techniques.Context(rows, materialize(graph.edges(rows), "edges"), keywords=KEYWORDS, pairs=PAIRS)
+
+
+def context(spark: SparkSession, sf_dir: str) -> techniques.Context:
+    return techniques.context(resolved(spark, sf_dir))
 
 
 # -- parsing and sessions -----------------------------------------------------------------------------------------------
@@ -107,11 +109,11 @@ def repeat_open_close(spark, sf_dir):
 
 
 def induction_freq(spark, sf_dir):
-    return techniques.induction_frequencies(context(spark, sf_dir))
+    return techniques.induction_frequencies(settled(spark, sf_dir))
 
 
 def grammar(spark, sf_dir):
-    return techniques.grammar(context(spark, sf_dir))
+    return techniques.grammar(settled(spark, sf_dir))
 
 
 def fap(spark, sf_dir):
@@ -128,12 +130,11 @@ def nodemerge(spark, sf_dir):
 
 
 def tag_seed(spark, sf_dir):
-    return closure.tag_seeds(resolved(spark, sf_dir), KEYWORDS)
+    return closure.tag_seeds(resolved(spark, sf_dir), KEYWORDS, PAIRS)
 
 
 def tag_trace(spark, sf_dir):
-    ctx = settled(spark, sf_dir)
-    return closure.tag(ctx.edges, closure.tag_seeds(ctx.resolved, KEYWORDS))
+    return techniques.tag(settled(spark, sf_dir))
 
 
 def wildcard_cluster(spark, sf_dir):
@@ -142,7 +143,20 @@ def wildcard_cluster(spark, sf_dir):
 
 
 def approx(spark, sf_dir):
-    return techniques.approx(context(spark, sf_dir))
+    return techniques.decide(settled(spark, sf_dir), ["APPROX"]).drop("technique")
+
+
+def reduced_log(spark, sf_dir):
+    """What is left of the log without the events that runs of reads and writes make redundant."""
+    rows = sessions.sessionize(entries(spark, sf_dir))
+    left = sessions.without_events(rows, techniques.redundant_io(context(spark, sf_dir)))
+    return left.groupBy("epoch_id").agg(F.count(F.lit(1)).alias("records"), F.sum("msg_len").alias("bytes"))
+
+
+def reduced_nodes(spark, sf_dir):
+    """The nodes that keep an edge without the events that runs make redundant."""
+    ctx = settled(spark, sf_dir)
+    return graph.nodes(graph.without_events(ctx.edges, techniques.iburst(ctx)))
 
 
 # -- strings -------------------------------------------------------------------------------------------------------------------
@@ -161,7 +175,8 @@ def dir_distance(spark, sf_dir):
 
 
 def open_flags(spark, sf_dir):
-    return audit_events(spark, sf_dir).select("event_id", T.open_flags((F.col("k") * 37).cast("int")).alias("flags"))
+    value = F.lower(F.hex((F.col("k") * 84017 + F.col("event_id") % 4).cast("long")))
+    return audit_events(spark, sf_dir).select("event_id", T.open_flags(value).alias("flags"))
 
 
 def proctitle(spark, sf_dir):
@@ -186,7 +201,7 @@ def account_record(spark, sf_dir):
 
 
 def bursting(spark, sf_dir):
-    return sessions.bursting(sessions.sessionize(entries(spark, sf_dir)), records=4, seconds=0.0).select("event_id", "records", "bursting")
+    return sessions.bursting(sessions.sessionize(entries(spark, sf_dir)), records=3, seconds=5.0).select("event_id", "records", "span", "bursting")
 
 
 def dedup_lines(spark, sf_dir):
@@ -200,13 +215,17 @@ def epoch_tumbling(spark, sf_dir):
 
 
 # -- decisions and the study ------------------------------------------------------------------------------------------------------
+_study: dict[tuple[str, str], tuple] = {}
+
+
 def _decided(spark, sf_dir):
-    ctx = settled(spark, sf_dir)
-    templates = materialize(techniques.mine_templates(techniques.frequent_accesses(ctx)), "templates")
-    found = {
-        "REDUNDANT_IO": techniques.redundant_io(ctx), "INDUCTION": techniques.induction(ctx), "UNSUPPORTED": techniques.unsupported(ctx), "IBURST": techniques.iburst(ctx), "NODEMERGE": techniques.nodemerge(ctx, templates),
-    }
-    return ctx, analysis.decisions(found)
+    """The context and the decisions of all techniques, written once for each session and folder: the study's questions share them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _study:
+        _study.clear()
+        ctx = settled(spark, sf_dir)
+        _study[key] = ctx, materialize(techniques.decide(ctx, MATRIX), "decided")
+    return _study[key]
 
 
 def _matrix(spark, sf_dir):
@@ -220,18 +239,20 @@ def decision_matrix(spark, sf_dir):
 
 def decision_rows(spark, sf_dir):
     ctx, decided = _decided(spark, sf_dir)
-    return analysis.decision_rows(ctx.resolved, decided).select("epoch_id", "event_id", "seconds", "size_bytes", "techniques")
+    return analysis.decision_rows(ctx.resolved, analysis.dropped(decided)).select("epoch_id", "event_id", "seconds", "size_bytes", "techniques")
 
 
 def confusion_matrix(spark, sf_dir):
-    return analysis.confusion(materialize(_decided(spark, sf_dir)[1], "decided"))
+    return analysis.confusion(analysis.dropped(_decided(spark, sf_dir)[1]))
 
 
 def reduction_counters(spark, sf_dir):
     ctx, decided = _decided(spark, sf_dir)
-    gone = decided.select("epoch_id", "event_id").distinct().withColumn("gone", F.lit(1))
-    rows = ctx.resolved.join(gone, ["epoch_id", "event_id"], "left")
-    return rows.groupBy("epoch_id").agg(F.count(F.lit(1)).alias("handled"), F.count("gone").alias("removed"), F.sum("size_bytes").alias("raw_bytes"), F.sum(F.when(F.col("gone") == 1, F.col("size_bytes")).otherwise(0)).alias("removed_bytes"))
+    return analysis.reductions(ctx.resolved, decided)
+
+
+def technique_report(spark, sf_dir):
+    return analysis.report(_decided(spark, sf_dir)[1])
 
 
 def rq1_drop_counts(spark, sf_dir):
@@ -273,28 +294,41 @@ def rq4_greedy(spark, sf_dir):
 
 
 # -- provenance datums -----------------------------------------------------------------------------------------------------------------
-def cdm_tables(spark, sf_dir):
-    """(events, vertices, subjects, files) made of the audit projection."""
+def cdm_datums(spark, sf_dir):
+    """The audit projection as datums: first subjects, files and flows, then events.  Objects whose number is divisible by 7 are flows for 7, missing for 14."""
     rows = audit_events(spark, sf_dir)
-    kind = F.expr("""CASE syscall WHEN 0 THEN 'EVENT_READ' WHEN 1 THEN 'EVENT_WRITE' WHEN 2 THEN 'EVENT_OPEN' WHEN 3 THEN 'EVENT_CLOSE' WHEN 59 THEN 'EVENT_EXECUTE'
-                     WHEN 45 THEN 'EVENT_RECVFROM' WHEN 44 THEN 'EVENT_SENDTO' WHEN 87 THEN 'EVENT_UNLINK' ELSE 'EVENT_EXIT' END""")
-    datums = rows.select(
-        F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id")).alias("uuid"), kind.alias("type"), (F.col("sec") * 1000000000).alias("nanos"),
-        F.concat(F.lit("s"), F.col("pid")).alias("subject"), F.concat(F.lit("o"), F.col("inode")).alias("object"),
-    )
-    subjects = rows.select("pid").distinct().select(F.concat(F.lit("s"), F.col("pid")).alias("uuid"), "pid", F.concat(F.lit("s"), F.col("pid") - 1).alias("parent"))
-    files = rows.select("inode").distinct().where("inode % 7 <> 0").select(F.concat(F.lit("o"), F.col("inode")).alias("uuid"), F.concat(F.lit("/data/d"), F.col("inode") % 5, F.lit("/f"), F.col("inode")).alias("path"))
-    return datums, subjects.select("uuid").unionByName(files.select("uuid")), subjects, files
+    kind = F.expr("""CASE syscall WHEN 0 THEN 'EVENT_READ' WHEN 1 THEN 'EVENT_WRITE' WHEN 2 THEN 'EVENT_OPEN' WHEN 3 THEN 'EVENT_CLOSE' WHEN 59 THEN 'EVENT_EXECUTE' WHEN 45 THEN 'EVENT_RECVFROM'
+                     WHEN 44 THEN 'EVENT_SENDTO' WHEN 42 THEN 'EVENT_CONNECT' WHEN 43 THEN 'EVENT_ACCEPT' WHEN 10 THEN 'EVENT_MPROTECT' WHEN 41 THEN 'EVENT_OTHER' WHEN 87 THEN 'EVENT_UNLINK' WHEN 263 THEN 'EVENT_TRUNCATE' ELSE 'EVENT_EXIT' END""")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    path = F.concat(F.lit("/data/d"), (F.col("inode") % 5).cast("string"), F.lit("/"), text("f", "inode"))
+    own = F.create_map(F.when(F.col("inode") % 2 == 0, "filename").otherwise("path"), path)
+    inodes = rows.select("inode").distinct()
+    parts = [
+        rows.select("pid").distinct().select(F.lit("Subject").alias("type"), F.lit(-2).cast("long").alias("seq"), text("s", "pid").alias("uuid"), F.col("pid").alias("cid"), F.concat(F.lit("s"), (F.col("pid") - 1).cast("string")).alias("parentSubject")),
+        inodes.where("inode % 7 <> 0").select(F.lit("FileObject").alias("type"), F.lit(-1).cast("long").alias("seq"), text("o", "inode").alias("uuid"), F.struct(own.alias("properties")).alias("baseObject")),
+        inodes.where("inode % 14 = 7").select(F.lit("NetFlowObject").alias("type"), F.lit(-1).cast("long").alias("seq"), text("o", "inode").alias("uuid"), F.lit(80).alias("localPort")),
+        rows.select(kind.alias("type"), F.col("event_id").alias("seq"), text("e", "event_id").alias("uuid"), (F.col("sec") * 1000000000).alias("timestampNanos"), text("s", "pid").alias("subject"), text("o", "inode").alias("predicateObject")),
+    ]
+    every = spark.createDataFrame([], audit.CDM_SCHEMA + ", seq bigint")
+    for part in parts:
+        every = every.unionByName(part, allowMissingColumns=True)
+    return every
 
 
 def cdm_edges(spark, sf_dir):
-    datums, vertices, _, _ = cdm_tables(spark, sf_dir)
-    return cdm.edges(datums, vertices)
+    found = cdm.dispatch(cdm_datums(spark, sf_dir))
+    return cdm.edges(found.events, found.vertices())
 
 
 def cdm_to_audit(spark, sf_dir):
-    datums, _, subjects, files = cdm_tables(spark, sf_dir)
-    return cdm.to_audit(datums, subjects, files)
+    found = cdm.dispatch(cdm_datums(spark, sf_dir))
+    return cdm.to_audit(found.events, found.processes, found.files)
+
+
+def cdm_vertices(spark, sf_dir):
+    found = cdm.dispatch(cdm_datums(spark, sf_dir))
+    rows = [found.processes.select("uuid", F.concat_ws("|", F.col("pid").cast("string"), "parent").alias("what")), found.files.select("uuid", F.col("path").alias("what")), found.flows.select("uuid", F.col("local_port").cast("string").alias("what"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def queries() -> dict:
@@ -302,11 +336,11 @@ def queries() -> dict:
         "audit_parse": audit_parse, "audit_fields": audit_fields, "sessionize": sessionize, "event_size": event_size, "fd_resolve": fd_resolve, "drop_unresolved": drop_unresolved, "drop_virtual": drop_virtual,
         "kernel_rules": kernel_rules, "epoch_counters": epoch_counters, "edges": edges, "edges_unlink_twice": edges_unlink_twice, "nodes": nodes, "node_degree": node_degree,
         "redundant_io": _dropped(techniques.redundant_io), "iburst": _dropped(techniques.iburst), "repeat_open_close": repeat_open_close, "unsupported": _dropped(techniques.unsupported),
-        "approx_at_once": _dropped(techniques.approx_at_once), "induction_freq": induction_freq, "induction": _dropped(techniques.induction), "grammar": grammar, "fap": fap, "template_mine": template_mine, "nodemerge": nodemerge,
+        "approx_at_once": _dropped(techniques.approx_at_once), "induction_freq": induction_freq, "induction": _dropped(techniques.induction, True), "grammar": grammar, "fap": fap, "template_mine": template_mine, "nodemerge": nodemerge,
         "tag_seed": tag_seed, "tag_trace": tag_trace, "dpreserve_sd": _dropped(lambda ctx: closure.dpreserve_sd(ctx.edges), True), "dpreserve_fd": _dropped(lambda ctx: closure.dpreserve_fd(ctx.edges), True),
         "log_gc_batch": _dropped(techniques.log_gc_batch, True), "log_gc": _dropped(techniques.log_gc), "wildcard_cluster": wildcard_cluster, "approx": approx, "levenshtein_pairs": levenshtein_pairs, "dir_distance": dir_distance,
         "open_flags": open_flags, "proctitle": proctitle, "ipv4": ipv4, "uuid_octal": uuid_octal, "account_record": account_record, "bursting": bursting, "decision_rows": decision_rows, "dedup_lines": dedup_lines, "epoch_tumbling": epoch_tumbling, "decision_matrix": decision_matrix, "confusion_matrix": confusion_matrix,
         "reduction_counters": reduction_counters, "rq1_drop_counts": rq1_drop_counts, "rq2_class_counts": rq2_class_counts, "syscall_class": syscall_class, "rq2_class_by_technique": rq2_class_by_technique,
         "rq3_overlap": _rq3("both", "either"), "rq3_unique_union": _rq3("only_first", "either"), "rq3_unique_self": _rq3("only_first", "first"), "rq4_pairs": _rq4(2), "rq4_triples": _rq4(3), "rq4_greedy": rq4_greedy,
-        "cdm_edges": cdm_edges, "cdm_to_audit": cdm_to_audit,
+        "cdm_edges": cdm_edges, "cdm_to_audit": cdm_to_audit, "cdm_vertices": cdm_vertices, "reduced_log": reduced_log, "reduced_nodes": reduced_nodes, "technique_report": technique_report,
     }

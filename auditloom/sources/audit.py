@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CDM_SCHEMA = """
@@ -14,21 +14,26 @@ baseObject struct<properties: map<string,string>>, localAddress string, localPor
 """
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """(entry_id, epoch_id, value) of the ``*.log*`` files of a folder: a file is an epoch, entries are in the order of the file.
+def _in_order(lines: DataFrame) -> DataFrame:
+    """``lines`` read from files with seq, which grows with the place in the file: the block's start, then the line inside the block."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.withColumn("seq", F.col("_metadata.file_block_start") + inside)
 
-    Ids grow with the place in the file: the block's start, then the line inside the block.
-    """
-    lines = spark.read.option("pathGlobFilter", "*.log*").text(path).where("value <> ''")
-    lines = lines.select("value", F.col("_metadata.file_path").alias("epoch_id"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
-    inside = F.col("line").bitwiseAND(F.lit((1 << 33) - 1))
-    return lines.select((F.col("start") + inside).alias("entry_id"), "epoch_id", "value")
+
+def read_audit(spark: SparkSession, path: str, most_lines: int | None = None) -> DataFrame:
+    """(entry_id, epoch_id, value) of the ``*.log*`` files of a folder: a file is an epoch, entries are in the order of the file; of each file the first ``most_lines``."""
+    lines = _in_order(spark.read.option("pathGlobFilter", "*.log*").text(path)).where("value <> ''")
+    lines = lines.select(F.col("seq").alias("entry_id"), F.col("_metadata.file_path").alias("epoch_id"), "value")
+    if most_lines is None:
+        return lines
+    nth = F.row_number().over(Window.partitionBy("epoch_id").orderBy("entry_id"))
+    return lines.withColumn("nth", nth).where(F.col("nth") <= most_lines).drop("nth")
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """(template, tokens): lines of more than one token, tokens sorted."""
+    """(template, tokens): lines of more than one token, tokens sorted, the largest first."""
     tokens = F.array_sort(F.filter(F.split("value", " "), lambda t: t != ""))
-    return spark.read.text(path).select(F.col("value").alias("template"), tokens.alias("tokens")).where("size(tokens) > 1")
+    return spark.read.text(path).select(F.col("value").alias("template"), tokens.alias("tokens")).where("size(tokens) > 1").orderBy(F.desc(F.size("tokens")), "template")
 
 
 def read_patterns(spark: SparkSession, path: str) -> list[str]:
@@ -47,9 +52,18 @@ def read_decisions(spark: SparkSession, path: str, techniques: list[str]) -> Dat
 
 
 def read_cdm(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """CDM datums from JSON lines, or from Avro where that source is installed; ``limit`` keeps the first datums."""
-    datums = spark.read.schema(CDM_SCHEMA).json(path) if str(path).endswith(".json") else spark.read.format("avro").load(path)
-    return datums.limit(limit) if limit else datums
+    """CDM datums with seq, their place in the file, from JSON lines or, for ``.avro`` or ``.bin``, from Avro where that source is installed.
+
+    ``limit`` keeps the first datums.  Another ending, or a path without files, is an error.
+    """
+    kind = str(path).rsplit(".", 1)[-1].lower()
+    if kind not in ("json", "avro", "bin"):
+        raise ValueError(f"{path}: datums are read from .json, .avro or .bin")
+    place = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):
+        raise FileNotFoundError(str(path))
+    datums = _in_order(spark.read.schema(CDM_SCHEMA).json(path) if kind == "json" else spark.read.format("avro").load(path))
+    return datums.orderBy("seq").limit(limit) if limit else datums
 
 
 @dataclass

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
-from auditloom.operators import sessions
+from auditloom.operators import cdm, sessions
 from auditloom.sources import audit
 
 
@@ -10,26 +11,29 @@ def one(spark, expr):
 
 
 def test_wildcards_and_clusters():
-    assert T.wildcard("helloworld", "helloworle") == "helloworl*"
-    assert T.wildcard("helloworld", "heloworld") == "he*loworld"
-    names = "helloworld helloworle heloworld oops oop oopse nope".split()
+    assert T.wildcard("lantern", "lanterns") == "lantern*"
+    assert T.wildcard("lantern", "latern") == "la*tern"
+    names = "lantern latern lanterns oats oat oatsy zip".split()
     shapes = T.leader_clusters(names, T.similar, T.wildcard)
-    assert shapes["heloworld"] == shapes["helloworld"] == "he*loworl*" and shapes["oopse"] == "oop*" and shapes["nope"] == "nope"
-    dirs = "/he/wh/wwe /he/wi/wwe /he/wii/wwe /var/log/audit /etc/audisp /etc/auditd".split()
+    assert shapes["latern"] == shapes["lantern"] == shapes["lanterns"] == "la*tern*" and shapes["oatsy"] == "oat*" and shapes["zip"] == "zip"
+    dirs = "/a/bb/c /a/x/c /a/yy/c /q/r/s /m/n /m/o".split()
     shapes = T.leader_clusters(dirs, T.near_dirs, T.merge_dirs)
-    assert [shapes[d] for d in dirs] == ["/he/*/wwe"] * 3 + ["/var/log/audit"] + ["/etc/*"] * 2
+    assert [shapes[d] for d in dirs] == ["/a/*/c"] * 3 + ["/q/r/s"] + ["/m/*"] * 2
 
 
 def test_paths_and_decoding(spark):
     lit = F.lit
-    assert one(spark, T.dir_distance(lit("/he/wh/wwe"), lit("/he/wii/wwe"))) == 1
-    assert one(spark, T.dir_distance(lit("/he/wh/wwe"), lit("/var/log/audit"))) == 3
-    assert one(spark, T.dir_distance(lit("/he/wh/wwe"), lit("/etc/audisp"))) == 4097
+    assert one(spark, T.dir_distance(lit("/a/bb/c"), lit("/a/yy/c"))) == 1
+    assert one(spark, T.dir_distance(lit("/a/bb/c"), lit("/q/r/s"))) == 3
+    assert one(spark, T.dir_distance(lit("/a/bb/c"), lit("/m/n"))) == 4097
     assert one(spark, T.proctitle(lit("6c73002d6c"))) == "ls -l"
     assert one(spark, T.hex_number(lit("1f"))) == 31
     assert one(spark, T.construct_path(lit("/a/b"), lit("./c/../d"))) == "/a/b/d"
     assert one(spark, T.construct_path(lit("/a/b"), lit("/x"))) == "/x"
-    assert one(spark, T.open_flags(lit(0o1101))) == "O_WRONLY|O_CREAT|O_TRUNC"
+    flags = {"241": "O_WRONLY|O_CREAT|O_TRUNC", "0": "O_RDONLY", "80000": "O_RDONLY|O_CLOEXEC", "3": "O_WRONLY|O_RDWR", "0x700002": "O_RDWR|__O_SYNC|O_PATH|__O_TMPFILE", "zz": "O_RDONLY", "4": "O_RDONLY"}
+    for value, names in flags.items():
+        assert one(spark, T.open_flags(lit(value))) == names
+    assert one(spark, T.open_flags(lit(None).cast("string"))) is None
     assert one(spark, T.ipv4(lit("02000050C0A80101"))) == 0xC0A80101
     assert one(spark, T.ipv4(lit("0200"))) is None and one(spark, T.ipv4(lit("02000050zzzzzzzz"))) is None
     assert one(spark, T.uuid_hex(lit(b"\x01\xab"))) == "01ab" and one(spark, T.octal(lit(0o644))) == "644"
@@ -62,3 +66,30 @@ def test_bursting(spark):
     rows = [(0, 1, f"type=PATH msg=audit({k}.5:1):") for k in range(7)] + [(0, 2, "type=SYSCALL msg=audit(1.5:2):"), (0, 3, "nothing")]
     found = sessions.bursting(spark.createDataFrame(rows, "epoch_id int, event_id long, msg string"), records=7)
     assert {r.event_id: (r.records, r.span, r.bursting) for r in found.collect()} == {1: (7, 6.0, True), 2: (1, 0.0, False), 3: (1, 0.0, False)}
+
+
+def test_sql_functions(spark):
+    T.register(spark)
+    row = spark.sql("SELECT audit_field('type=X ppid=7 pid=9', 'pid') a, audit_field('x', 'pid') b, open_flags('241') c, dir_distance('/a/b', '/a/c') d, dir_distance('/a', '/a/c') e, dir_wildcard('/a/b', '/a/c') f, path_wildcard('oak', 'oaks') g").first()
+    assert tuple(row) == ("9", None, "O_WRONLY|O_CREAT|O_TRUNC", 1, 4097, "/a/*", "oak*")
+
+
+def test_line_limit(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.log").write_text("".join(f"line {k} {j}\n" for j in range(5)))
+    rows = audit.read_audit(spark, str(tmp_path), most_lines=2).collect()
+    assert sorted(r.value for r in rows) == ["line 0 0", "line 0 1", "line 1 0", "line 1 1"]
+
+
+def test_datums_are_checked(spark, tmp_path):
+    with pytest.raises(ValueError):
+        audit.read_cdm(spark, f"{tmp_path}/x.csv")
+    with pytest.raises(FileNotFoundError):
+        audit.read_cdm(spark, f"{tmp_path}/x.json")
+    (tmp_path / "d.json").write_text('{"type":"Subject","uuid":"s1","cid":5,"properties":{"name":"sh","cwd":"/r"}}\n{"type":"FileObject","uuid":"o1","baseObject":{"properties":{"path":"/d/f"}}}\n{"type":"NetFlowObject","uuid":"n1","remotePort":9}\n{"type":"Host","uuid":"h"}\n{"type":"EVENT_READ","uuid":"e1","timestampNanos":1000000000,"subject":"s1","predicateObject":"o1"}\n{"type":"EVENT_READ","uuid":"e2","timestampNanos":1,"subject":"s1","predicateObject":"late"}\n{"type":"FileObject","uuid":"late","baseObject":{"properties":{"filename":"/late"}}}\n')
+    found = cdm.dispatch(audit.read_cdm(spark, f"{tmp_path}/d.json"))
+    assert [(r.pid, r.name, r.cwd) for r in found.processes.collect()] == [(5, "sh", "/r")]
+    assert sorted(r.path for r in found.files.collect()) == ["/d/f", "/late"] and found.flows.first().remote_port == 9
+    assert [(r.uuid, r.src, r.dst) for r in cdm.edges(found.events, found.vertices()).collect()] == [("e1", "s1", "o1")]
+    assert [r.value for r in cdm.to_audit(found.events, found.processes, found.files).collect()] == ['type=SYSCALL msg=audit(1.000000:0): arch=c000003e syscall=0 a0=3 pid=5 exe="/d/f"']
+    assert audit.read_cdm(spark, f"{tmp_path}/d.json", limit=2).count() == 2
