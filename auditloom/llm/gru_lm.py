@@ -108,22 +108,23 @@ class Gru:
                 traces.append((before, z, r, held, n))
         return out, traces
 
-    def _by_class(self, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """An order of the targets by class, their places in their classes in that order, and each class with its stretch."""
         of = targets // self.per
         order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(self.rules.classes + 1))
-        for c in range(self.rules.classes):
-            if cuts[c] < cuts[c + 1]:
-                yield c, order[cuts[c] : cuts[c + 1]]
+        cuts = np.searchsorted(of[order], np.arange(self.rules.classes + 1)).tolist()
+        return order, (targets % self.per)[order], [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each target."""
-        rows = np.arange(len(targets))
         logits = _bounded(states @ self.of_class + self.class_bias)
-        out = logits[rows, targets // self.per] - _log_sum(logits)
-        for c, part in self._by_class(targets):
+        out = logits[np.arange(len(targets)), targets // self.per] - _log_sum(logits)
+        order, places, stretches = self._by_class(targets)
+        states, found = states[order], np.empty(len(targets), dtype=out.dtype)
+        for c, part in stretches:
             logits = _bounded(states[part] @ self.of_word[c] + self.word_bias[c])
-            out[part] += logits[np.arange(len(part)), targets[part] % self.per] - _log_sum(logits)
+            found[part] = logits[np.arange(len(logits)), places[part]] - _log_sum(logits)
+        out[order] += found
         return out
 
     # -- training ------------------------------------------------------------------------------------------------
@@ -137,26 +138,31 @@ class Gru:
         soft *= weight[:, None]
         grads["of_class"], grads["class_bias"] = flat.T @ soft, soft.sum(axis=0)
         back = soft @ self.of_class.T
-        for c, part in self._by_class(wanted):
-            soft = _softmax(_bounded(flat[part] @ self.of_word[c] + self.word_bias[c]))
-            soft[np.arange(len(part)), wanted[part] % self.per] -= 1
-            soft *= weight[part][:, None]
-            grads["of_word"][c], grads["word_bias"][c] = flat[part].T @ soft, soft.sum(axis=0)
-            back[part] += soft @ self.of_word[c].T
+        order, places, stretches = self._by_class(wanted)
+        sorted_states, sorted_weight, found = flat[order], weight[order][:, None], np.empty_like(back)
+        for c, part in stretches:
+            soft = _softmax(_bounded(sorted_states[part] @ self.of_word[c] + self.word_bias[c]))
+            soft[np.arange(len(soft)), places[part]] -= 1
+            soft *= sorted_weight[part]
+            grads["of_word"][c], grads["word_bias"][c] = sorted_states[part].T @ soft, soft.sum(axis=0)
+            np.matmul(soft, self.of_word[c].T, out=found[part])
+        back[order] += found
         back = back.reshape(states.shape)
-        carried, given = np.zeros_like(states[0]), np.empty((*inputs.shape, 3 * h), dtype=np.float32)
+        carried, given = np.zeros_like(states[0]), np.empty((*inputs.shape, 3 * h), dtype=states.dtype)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, held, n = traces[t]
             d = back[t] + carried
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
+            dn = d * (1 - z)
+            dn *= 1 - n * n
             dheld = dn @ self.cand.T
-            dr = dheld * before * r * (1 - r)
-            gate = np.concatenate((dz, dr), axis=1)
-            grads["cand"] += held.T @ dn
-            grads["gates"] += before.T @ gate
-            given[t, :, : 2 * h], given[t, :, 2 * h :] = gate, dn
+            gate = given[t, :, : 2 * h]
+            gate[:, :h] = d * (before - n) * z * (1 - z)
+            gate[:, h:] = dheld * before * r * (1 - r)
+            given[t, :, 2 * h :] = dn
             carried = (d * z + dheld * r + gate @ self.gates.T) * keep[t][:, None]
+        each = given.reshape(-1, 3 * h)
+        grads["gates"] = np.concatenate([x[0] for x in traces]).T @ each[:, : 2 * h]
+        grads["cand"] = np.concatenate([x[3] for x in traces]).T @ each[:, 2 * h :]
         order = np.argsort(inputs.ravel(), kind="stable")
         ids = inputs.ravel()[order]
         starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
@@ -169,9 +175,18 @@ class Gru:
         scale = self.rules.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for n, g in grads.items():
             m, v = self.moments.setdefault(n, [np.zeros_like(g), np.zeros_like(g)])
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            setattr(self, n, (getattr(self, n) - scale * m / (np.sqrt(v) + 1e-6)).astype(np.float32))
+            weights = getattr(self, n)
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            np.multiply(g, g, out=g)
+            g *= 0.01
+            v += g
+            np.sqrt(v, out=g)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= weights.dtype.type(scale)
+            weights -= g
 
 
 def _bounded(logits: np.ndarray) -> np.ndarray:
