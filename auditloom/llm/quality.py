@@ -5,7 +5,8 @@ for a length is the share of its word characters that lie in n-grams found twice
 share of word characters in lines equal to an earlier line.
 
 Defined cases: a null or empty text has no words, counts zero everywhere and fails the base rule (fewer than
-``min_words`` words); equal rows are judged each by itself; other columns pass through untouched.
+``min_words`` words); equal rows are judged each by itself; rows that repeat an id stay rows of their own; other columns, whatever their names, pass
+through untouched; an empty table yields no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import textscan
-from auditloom.llm.support import text_or_empty
+from auditloom.llm.support import free_name, text_or_empty
 
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -33,7 +34,7 @@ class QualityRules:
 
     min_words: int = 20
     repeat_window: int = 8
-    max_repeat_words: float = 0.30
+    max_repeat_percent: int = 30
     coverage: tuple[tuple[int, float], ...] = ((5, 0.40), (10, 0.30))
     max_line_coverage: float = 0.30
 
@@ -66,7 +67,7 @@ def measure(group: textscan.Group, rules: QualityRules) -> dict[str, np.ndarray]
     whole = np.maximum(word_chars, 1)
     out = {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup_lines, "n_repeat_words": n_repeat,
-        "base_failed": (n_words < rules.min_words) | (n_repeat > rules.max_repeat_words * n_words + 1e-9),
+        "base_failed": (n_words < rules.min_words) | (100 * n_repeat > rules.max_repeat_percent * n_words),
         "line_coverage": dup_chars / whole,
     }
     kept = ~out["base_failed"] & (out["line_coverage"] <= rules.max_line_coverage)
@@ -104,7 +105,7 @@ def _lines(group: textscan.Group, chars: np.ndarray) -> tuple[np.ndarray, np.nda
 def measures(docs: DataFrame, keep: list[str], rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
     """The columns ``keep`` and the measures of each row's ``text``, one row for each row."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    source = docs.select(*keep, text_or_empty(text).alias("__text"))
+    source = docs.select(*keep, text_or_empty(text).alias("_".join(["body", *keep])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +121,7 @@ def measures(docs: DataFrame, keep: list[str], rules: QualityRules = QualityRule
 def filter_quality(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     columns = docs.columns
-    source = docs.withColumn("__text", text_or_empty(text))
+    source = docs.withColumn(free_name(docs, "body"), text_or_empty(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,3 +139,37 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("line_coverage", 6).alias("line_coverage"), F.round("coverage_5", 6).alias("coverage_5"), F.round("coverage_10", 6).alias("coverage_10"),
     )
+
+
+#: Words are numbered through a text, and the starts of repeated runs looked for in a window before each word.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nth FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY nth) > 1 AS copy FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l) WHERE len(ws) > 0),
+w AS (SELECT doc_id, nth, copy, unnest(ws) AS word, unnest(range(len(ws))) AS k FROM r),
+p AS (SELECT doc_id, copy, word, length(word) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY nth, k) AS i FROM w),
+g AS (
+  SELECT *, string_agg(word, ' ') OVER a AS g5, string_agg(word, ' ') OVER b AS g8, string_agg(word, ' ') OVER c AS g10, count(*) OVER (PARTITION BY doc_id) - i + 1 AS rest FROM p
+  WINDOW a AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), c AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)
+),
+s AS (
+  SELECT doc_id, copy, chars, i, rest >= 5 AND count(*) OVER (PARTITION BY doc_id, g5, rest >= 5) > 1 AS s5, rest >= 8 AND count(*) OVER (PARTITION BY doc_id, g8, rest >= 8) > 1 AS s8,
+    rest >= 10 AND count(*) OVER (PARTITION BY doc_id, g10, rest >= 10) > 1 AS s10 FROM g
+),
+c AS (
+  SELECT doc_id, copy, chars, bool_or(s5) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5, bool_or(s8) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c8,
+    bool_or(s10) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10 FROM s
+),
+m AS (
+  SELECT doc_id, count(*) AS n_words, sum(chars) AS word_chars, count(*) FILTER (c8) AS n_repeat_words, coalesce(sum(chars) FILTER (copy), 0) / sum(chars) AS lines, coalesce(sum(chars) FILTER (c5), 0) / sum(chars) AS v5, coalesce(sum(chars) FILTER (c10), 0) / sum(chars) AS v10
+  FROM c GROUP BY doc_id
+),
+d AS (SELECT doc_id, count(*) FILTER (copy) AS n_dup_lines FROM r GROUP BY doc_id),
+f AS (
+  SELECT t.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_words, 0) < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(lines, 0) AS lines, coalesce(v5, 0) AS v5, coalesce(v10, 0) AS v10 FROM t LEFT JOIN m USING (doc_id) LEFT JOIN d USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lines <= 0.30 AND v5 <= 0.40 AND v10 <= 0.30 AS kept,
+       round(CAST(lines AS DOUBLE), 6) AS line_coverage, round(CAST(v5 AS DOUBLE), 6) AS coverage_5, round(CAST(v10 AS DOUBLE), 6) AS coverage_10
+FROM f
+"""

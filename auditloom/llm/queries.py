@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": jaccard_join.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_jaccard_join": jaccard_join.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op9_quality_rules": quality.ORACLE, "op10_warc": warc.ORACLE}

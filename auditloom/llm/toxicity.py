@@ -2,12 +2,12 @@
 
 Linear models predict the categories in turn from hashed words and beginnings of words; each later model also sees the earlier categories'
 probabilities, in training as out-of-fold predictions, so that it does not lean on probabilities an earlier model has learnt by heart.  Models are fitted
-in numpy on the driver from a bounded sample of labelled rows (``sample_rows``, drawn by a hash of the id); every
+in numpy on the driver from a bounded sample of labelled rows (``sample_rows`` and ``sample_features``, drawn by a hash of the id); every
 row of every table is scored, whole texts, on the executors.  The threshold of the last category is the one with the best
 F1 score out of fold.
 
 Defined cases: a null or empty text has no words, gets the chain's constant terms and is never toxic; rows without labels are scored like others; label rows
-whose document is missing, or with a null label, are left out of training; without any labelled rows, or with one class only, the probability is the constant
+whose document is missing, or with a null label, are left out of training; of label rows that repeat an id the largest labels count; rows that repeat a document's id are trained on and scored one by one; without any labelled rows, or with one class only, the probability is the constant
 rate; an empty table yields no rows.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import textscan
-from auditloom.llm.support import text_or_empty
+from auditloom.llm.support import materialize, text_or_empty
 
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -33,6 +33,7 @@ class ChainRules:
     bits: int = 18  # of the feature table
     prefixes: tuple[int, ...] = (2, 4, 6, 8)  # bytes; stems of longer words are features besides the words
     sample_rows: int = 10_000  # about so many labelled rows train the chain
+    sample_features: int = 20_000_000  # and so many features at most, 8 bytes each on the driver
     folds: int = 4
     epochs: int = 6
     rate: float = 0.2
@@ -162,11 +163,15 @@ def fit_chain(rows: Rows, labels: dict[str, np.ndarray], fold: np.ndarray, rules
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rules: ChainRules = ChainRules(), id_col: str = "doc_id", text: str = "text") -> Chain:
     """Fit a chain for ``categories`` (name: SQL over the label columns that is 1 or 0), in their order."""
-    given = labels.select(F.col(id_col).alias("__id"), *[F.expr(f"cast(({sql}) as double)").alias(f"__{c}") for c, sql in categories.items()]).dropna()
+    marks = [f"label_{k}" for k in range(len(categories))]
+    given = labels.select(labels[id_col].alias("id"), *[F.expr(f"cast(({sql}) as double)").alias(m) for m, sql in zip(marks, categories.values(), strict=True)]).dropna()
+    given = given.groupBy("id").agg(*[F.max(m).alias(m) for m in marks])
     total = given.count()
-    chance = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.broadcast(given.where(chance < rules.sample_rows / max(total, 1)))  # about sample_rows rows
-    source = docs.join(chosen, docs[id_col] == F.col("__id")).select("__id", *[f"__{c}" for c in categories], text_or_empty(text).alias("__text"))
+    chance = lambda *key: F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = materialize(given.where(chance("id") < rules.sample_rows / max(total, 1)), "labels")
+    chosen = F.broadcast(chosen) if chosen.count() <= 2 * rules.sample_rows else chosen  # ids are different, so about sample_rows
+    body = docs.select(docs[id_col].alias("own"), text_or_empty(text).alias("body"))
+    source = body.join(chosen, F.col("own") == F.col("id")).select("id", *marks, "body")
     names = [*source.columns[:-1], "columns", "values"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rules:
                 part = batch.slice(group.first, group.size)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *lists], names=names)
 
-    schema = ", ".join([f"`__id` {source.schema[0].dataType.simpleString()}", *[f"`__{c}` double" for c in categories], "columns array<int>", "values array<float>"])
-    found = source.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("__id")
+    schema = ", ".join([f"id {source.schema[0].dataType.simpleString()}", *[f"{m} double" for m in marks], "columns array<int>", "values array<float>"])
+    table = materialize(source.mapInArrow(run, schema).withColumn("chance", chance("id", F.monotonically_increasing_id())), "features")
+    share = 1.0
+    while (size := table.where(F.col("chance") < share).agg(F.sum(F.size("columns"))).first()[0] or 0) > rules.sample_features:
+        share *= 0.95 * rules.sample_features / size
+    found = table.where(F.col("chance") < share).toArrow().combine_chunks().sort_by([("id", "ascending"), ("chance", "ascending")])
     listed = [found.column(c).combine_chunks() for c in ("columns", "values")]
     if found.num_rows:
         sizes = np.diff(listed[0].offsets.to_numpy())
@@ -187,12 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rules:
     else:
         rows = Rows(np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0, dtype=np.float32))
     fold = np.random.default_rng(1).permutation(found.num_rows) % rules.folds
-    return fit_chain(rows, {c: found.column(f"__{c}").to_numpy() for c in categories}, fold, rules)
+    return fit_chain(rows, {c: found.column(m).to_numpy() for c, m in zip(categories, marks, strict=True)}, fold, rules)
 
 
 def score(docs: DataFrame, chain: Chain, rules: ChainRules = ChainRules(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, p_<category>..., <last category>) of each row; the last column is the decision."""
-    source = docs.select(id_col, text_or_empty(text).alias("__text"))
+    source = docs.select(docs[id_col], text_or_empty(text).alias(f"{id_col}_body"))
     names = [id_col, *[f"p_{c}" for c in chain.names], chain.names[-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

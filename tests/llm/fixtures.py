@@ -32,7 +32,7 @@ def documents(spark, texts=None, extra=False):
     rows = [(k, t, "en", f"src{k % 3}", len(t or "")) for k, t in enumerate(odd_texts() if texts is None else texts)]
     df = spark.createDataFrame(rows, DOCUMENTS)
     if extra:  # names that operators might use themselves
-        for name in ("digest", "keep_id", "group_size", "n_words", "kept", "shard", "rep", "component_id", "start", "length"):
+        for name in ("digest", "keep_id", "group_size", "n_words", "kept", "shard", "rep", "component_id", "start", "length", "__text", "__id", "__gone", "body", "row", "mark", "version", "spans", "own", "id"):
             df = df.selectExpr("*", f"doc_id AS {name}")
     return df
 

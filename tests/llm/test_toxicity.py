@@ -52,3 +52,13 @@ def test_out_of_fold_probabilities_and_threshold():
     rows = tox.Rows(np.array([0, 2, 3, 3]), np.array([0, 5, 7], dtype=np.int32), np.array([1, 2, 3], dtype=np.float32))
     assert rows.dot(np.arange(8.0)).tolist() == [10, 21, 0]
     assert rows.take(np.array([2, 0])).dot(np.arange(8.0)).tolist() == [0, 10]
+
+
+def test_bounded_sample_and_clashing_columns(spark):
+    docs = documents(spark, [prose(k, 30) + (" vile" if k % 2 else " kind") for k in range(60)], extra=True)
+    docs = docs.unionByName(docs.limit(5))
+    labels = spark.range(60).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic", "id as __id", "1 as body").unionByName(spark.createDataFrame([(1, 0, 0, 0), (3, None, 0, 0)], "doc_id long, toxic int, __id long, body int"))
+    rules = tox.ChainRules(sample_features=2000)
+    chain = tox.train(docs, labels, {"low": "1 - toxic", "toxic": "toxic"}, rules)
+    assert chain.names == ["low", "toxic"] and len(chain.models) == 2
+    assert tox.score(docs, chain, rules).count() == 65
