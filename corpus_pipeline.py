@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Defined cases, in every stage: a null text counts as empty and stays null where the row stays; rows that repeat an id are judged by their texts, and a row that
+repeats another wholly is a copy of it; very long texts are read whole; extra columns, whatever their names, pass by up to the last stage; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,17 +17,17 @@ from auditloom.llm.support import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go, those without words among them."""
     return quality.filter_quality(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest id stays."""
+    """Of equal texts the row with the largest id stays, one of those that repeat it."""
     return exact_dedup.exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the smallest id stays."""
+    """Of each group of near copies (five words, 0.8) the row with the smallest id stays, one of those that repeat it."""
     return jaccard_join.drop_near_copies(docs)
 
 
