@@ -73,9 +73,11 @@ def drop_unresolved(resolved: DataFrame) -> DataFrame:
 
 def drop_virtual(resolved: DataFrame, is_virtual: Column) -> DataFrame:
     """Without reads and writes of a file after its first opening under a virtual path."""
-    first = F.min(F.when((F.col("syscall") == 2) & is_virtual, F.col("event_id"))).over(Window.partitionBy("epoch_id", "file"))
-    marked = resolved.withColumn("virtual_from", F.when(F.col("file").isNotNull(), first))
-    return marked.where(~F.col("syscall").isin(0, 1) | F.col("virtual_from").isNull() | (F.col("event_id") <= F.col("virtual_from"))).drop("virtual_from")
+    opens = resolved.where((F.col("syscall") == 2) & is_virtual & F.col("file").isNotNull())
+    first = opens.groupBy(F.col("epoch_id").alias("e"), F.col("file").alias("f")).agg(F.min("event_id").alias("since"))
+    touches = F.coalesce(F.col("syscall").isin(0, 1) & F.col("file").isNotNull(), F.lit(False))  # only these are joined: rows without a file have no key
+    seen = resolved.where(touches).join(first, (F.col("epoch_id") == F.col("e")) & (F.col("file") == F.col("f")) & (F.col("event_id") > F.col("since")), "left_anti")
+    return resolved.where(~touches).unionByName(seen)
 
 
 def kept_by_kernel(events: DataFrame, syscalls: tuple[int, ...] = HANDLED, ignored_exe: tuple[str, ...] = (), any_result: tuple[int, ...] = (60, 231), ignored_uid: tuple[int, ...] = (0,)) -> DataFrame:

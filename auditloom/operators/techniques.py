@@ -122,15 +122,20 @@ def frequent_accesses(ctx: Context) -> DataFrame:
 def mine_templates(profile: DataFrame) -> DataFrame:
     """(template, tokens, n): paths to leaves of the prefix tree of profiles (epoch_id, pid, exe, n) whose counters are two or more.
 
-    Each profile's files go by their total count and then by name.
+    Each profile's files go by their total count and then by name.  A path is known by its length and two 64-bit hashes of its files and their
+    places, so that a process with many files makes one row for each; a leaf's files are read from one of the processes that have it.
     """
-    ranked = profile.withColumn("total", F.sum("n").over(Window.partitionBy("exe")))
-    rows = ranked.groupBy("epoch_id", "pid").agg(F.array_sort(F.collect_list(F.struct("total", "exe"))).alias("files"))  # one process's files
-    paths = rows.select(F.transform("files", lambda f: f["exe"]).alias("files"))
-    prefixes = paths.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.size("files")), lambda k: F.slice("files", 1, k))).alias("at", "prefix"), F.size("files").alias("size"))
-    counted = prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("deepest"))
-    found = counted.where("n > 1 and deepest = size(prefix)")
-    return found.select(F.array_join(F.array_sort("prefix"), " ").alias("template"), F.array_sort("prefix").alias("tokens"), "n")
+    totals = profile.groupBy("exe").agg(F.sum("n").alias("total"))
+    process = Window.partitionBy("epoch_id", "pid")
+    rows = profile.join(totals, "exe").withColumn("place", F.row_number().over(process.orderBy("total", "exe"))).withColumn("size", F.count(F.lit(1)).over(process))
+    upto = process.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"path_{k}": F.bit_xor(F.xxhash64("exe", "place", F.lit(k))).over(upto) for k in (1, 2)})
+    path = ["place", "path_1", "path_2"]
+    counted = rows.groupBy(*path).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("deepest"), F.min(F.struct("epoch_id", "pid")).alias("one"))
+    leaves = counted.where("n > 1 and deepest = place").select("one.epoch_id", "one.pid", F.col("place").alias("last"), "n")
+    found = rows.join(leaves.withColumnRenamed("n", "times"), ["epoch_id", "pid"]).where("place <= last")
+    tokens = found.groupBy("epoch_id", "pid", "last", F.col("times").alias("n")).agg(F.sort_array(F.collect_list("exe")).alias("tokens"))  # one process's files
+    return tokens.select(F.array_join("tokens", " ").alias("template"), "tokens", "n")
 
 
 def nodemerge(ctx: Context, templates: DataFrame) -> DataFrame:
