@@ -315,14 +315,14 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
             i, j, sure = block.pairs(percent, rows[0][0], [r[7] for r in rows])
             if len(i) > 2 * len(rows) and block.sizes.sum() <= DENSE_HASHES:
                 some = block.ids[np.unique(np.concatenate((i, j)))]
-                key = [pa.array([x] * len(some), kind) for x, kind in zip(rows[0][:3], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                key = [pa.array([x] * len(some), pa.int64()) for x in rows[0][:3]]
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.bool_()), *key], names=names)
             elif len(i):
                 a, b = block.ids[i], block.ids[j]
-                none = [pa.nulls(len(a), kind) for kind in (pa.int64(), pa.int32(), pa.int32())]
+                none = [pa.nulls(len(a), pa.int64()) for _ in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure), *none], names=names)
 
-    return blocks.mapInArrow(run, "a long, b long, sure boolean, token long, i int, j int")
+    return blocks.mapInArrow(run, "a long, b long, sure boolean, token long, i long, j long")
 
 
 def dense_links(blocks: DataFrame, percent: int) -> DataFrame:
