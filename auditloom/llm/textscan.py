@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -36,17 +35,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-@lru_cache(maxsize=4)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     ups, downs = np.full(size, _BASE, dtype=np.uint64), np.full(size, inverse, dtype=np.uint64)
     ups[0] = downs[0] = 1
     return np.multiply.accumulate(ups), np.multiply.accumulate(downs)
 
 
+_table = _powers(1)
+
+
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(1 << 21, 1 << int(size).bit_length()))
+    """``size`` powers or more of the base and of its inverse modulo 2**64: one table, which grows with the longest text."""
+    global _table
+    if len(_table[0]) < size:
+        _table = _powers(1 << int(size - 1).bit_length())
+    return _table
 
 
 @dataclass

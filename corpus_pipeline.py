@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.llm import exact_dedup, jaccard_join, packing, pii, quality
-from auditloom.llm.support import materialize
+from auditloom.llm.support import materialize, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules reject go, those without words among them."""
+    small_batches(spark)
     return quality.filter_quality(docs)
 
 
@@ -28,6 +29,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the row with the smallest id stays, one of those that repeat it."""
+    small_batches(spark)
     return jaccard_join.drop_near_copies(docs)
 
 
@@ -40,6 +42,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pieces of documents in sequences of at most 4096 tokens."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

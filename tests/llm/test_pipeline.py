@@ -1,4 +1,9 @@
+import os
+import subprocess
+import sys
+
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -48,3 +53,31 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     path = folder(documents(spark, []), tmp_path)
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_stages_bound_arrow_batches(spark):
+    """A batch lies outside the heap in the JVM and in the worker of each task: 10,000 texts of 5 kB were one of 50 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 10_000, 1, 1).selectExpr("repeat('abcde fghi', 500) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("quality_rules", "near_copies", "packing"):
+            spark.conf.unset(key)
+            stage(spark, documents(spark, ["one text"]), "")
+            found = [r["size"] for r in wide.mapInArrow(sizes, "size long").collect()]
+            assert max(found) <= 5 << 20 and sum(found) >= 50_000_000, name
+    spark.conf.set(key, "1m")  # a smaller bound stays
+    corpus_pipeline.quality_stage(spark, documents(spark, ["one text"]), "")
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
+
+
+def test_scan_tables_follow_the_group():
+    """A worker keeps these tables: they were 32 MB for any text."""
+    code = "from auditloom.llm import textscan; import pyarrow as pa; [g.word_hashes() for g in textscan.groups(pa.array(['some words ' * 50] * 5000))]; print(sum(x.nbytes for x in textscan.powers(1)))"
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.path.dirname(corpus_pipeline.__file__)})
+    assert int(found.stdout) <= 8 << 20
