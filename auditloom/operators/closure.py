@@ -1,27 +1,17 @@
-"""Reachability: pairwise closure, tracing from seeds, and the techniques that rest on them."""
+"""Reachability: dependence, tracing from seeds, and the techniques that rest on them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.operators import dependence
 from auditloom.operators.support import materialize
 
 
-def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(epoch_id, source, node) of what each (epoch_id, source) reaches along (epoch_id, src, dst), itself included.
-
-    Semi-naive: each round joins only what the last round found.
-    """
-    steps = materialize(edges.select("epoch_id", "src", "dst").distinct(), "steps")
-    found = new = materialize(start.select("epoch_id", "source", F.col("source").alias("node")), "reach")
-    while not new.isEmpty():
-        further = new.join(steps, (new.epoch_id == steps.epoch_id) & (new.node == steps.src)).select(new.epoch_id, new.source, steps.dst.alias("node")).distinct()
-        new = materialize(further.join(found, ["epoch_id", "source", "node"], "left_anti"), "reach")
-        found = found.unionByName(new)
-    return found
-
-
 def trace(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(epoch_id, node) reachable from the seed nodes (epoch_id, node) of the same epoch."""
     steps = materialize(edges.select("epoch_id", "src", "dst").distinct(), "steps")
@@ -42,18 +32,26 @@ def required(edges: DataFrame, full: bool) -> DataFrame:
     """(epoch_id, event_id) of edges that dependence needs.
 
     For each source and each other node it reaches, the in-edge with the lowest t_s (none is lowest), the last on ties,
-    whose tail the source reaches.  Sources are all nodes (``full``) or those without in-edges.
+    whose tail the source reaches.  Sources are those without in-edges or, with ``full``, all nodes, in either direction.
+    An epoch's different (src, dst) are one group; of parallel edges only the first in order can be chosen.
     """
-    ends = edges.select("epoch_id", F.col("src").alias("source")).unionByName(edges.select("epoch_id", F.col("dst").alias("source"))).distinct()
-    if not full:
-        ends = ends.join(edges.select("epoch_id", F.col("dst").alias("source")).distinct(), ["epoch_id", "source"], "left_anti")
-    into = edges.select("epoch_id", F.col("src").alias("node"), "dst", "event_id", F.coalesce("t_s", F.lit(-1)).alias("t_s"))
-    # Of parallel edges only the first in order can be chosen.
-    first = F.row_number().over(Window.partitionBy("epoch_id", "node", "dst").orderBy("t_s", F.desc("event_id")))
-    into = into.withColumn("k", first).where("k = 1").drop("k")
-    pairs = reach(edges, ends).join(into, ["epoch_id", "node"]).where("source <> dst")
-    best = pairs.groupBy("epoch_id", "source", "dst").agg(F.min(F.struct(F.col("t_s"), (-F.col("event_id")).alias("last"))).alias("best"))
-    return best.select("epoch_id", (-F.col("best.last")).alias("event_id")).distinct()
+    order = F.struct(F.coalesce("t_s", F.lit(-1)).cast("long").alias("t_s"), (-F.col("event_id")).alias("last"))
+    first = edges.groupBy("epoch_id", "src", "dst").agg(F.min(order).alias("first"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("t_s", "ascending"), ("last", "ascending")])
+        ends = pa.chunked_array([*rows["src"].chunks, *rows["dst"].chunks]).combine_chunks().dictionary_encode()
+        ends, n = ends.indices.to_numpy(zero_copy_only=False).astype("int64"), len(ends.dictionary)
+        src, dst = ends[: len(rows)], ends[len(rows) :]
+        of, count = dependence.components(n, src, dst)
+        kept = dependence.needed(n, src, dst, full, of, count)
+        if full:
+            kept = np.union1d(kept, dependence.needed(n, dst, src, full, of, count, backward=True))
+        found = rows.take(pa.array(kept))
+        return pa.table({"epoch_id": found["epoch_id"], "event_id": pc.negate(found["last"])})
+
+    kind = dict(edges.dtypes)["epoch_id"]
+    return first.select("epoch_id", "src", "dst", "first.t_s", "first.last").groupBy("epoch_id").applyInArrow(run, f"epoch_id {kind}, event_id long")
 
 
 def dpreserve_sd(edges: DataFrame) -> DataFrame:
@@ -63,8 +61,7 @@ def dpreserve_sd(edges: DataFrame) -> DataFrame:
 
 def dpreserve_fd(edges: DataFrame) -> DataFrame:
     """(epoch_id, event_id) of edges that full dependence does not need, in either direction."""
-    both = required(edges, full=True).unionByName(required(reversed_edges(edges), full=True)).distinct()
-    return edges.select("epoch_id", "event_id").join(both, ["epoch_id", "event_id"], "left_anti")
+    return edges.select("epoch_id", "event_id").join(required(edges, full=True), ["epoch_id", "event_id"], "left_anti")
 
 
 def tag_seeds(events: DataFrame, keywords: list[str], pairs: list[tuple[str, str]] = ()) -> DataFrame:
