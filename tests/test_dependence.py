@@ -57,3 +57,9 @@ def test_source_dependence_of_many_sources_and_sinks(spark):
     """1.6 thousand million pairs of a source and a node it reaches."""
     found = {r.event_id for r in closure.dpreserve_sd(crossing(spark, 40000)).collect()}
     assert found == set(range(80000, 120000))
+
+
+def test_full_dependence_of_many_sources_and_sinks(spark):
+    """Either way the same pairs, and each node with itself besides."""
+    found = {r.event_id for r in closure.dpreserve_fd(crossing(spark, 40000)).collect()}
+    assert found == set(range(80000, 120000))
