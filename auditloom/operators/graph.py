@@ -24,7 +24,7 @@ def edges(resolved: DataFrame, unlink_twice: bool = False) -> DataFrame:
     shape = F.coalesce(*[F.when(test, F.struct(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"))) for test, src, dst, rel in shapes])
     rows = resolved.withColumn("e", shape).where("e.src is not null and e.dst is not null and e.src <> e.dst").select("epoch_id", "event_id", "pid", "syscall", "e.src", "e.dst", "e.rel")
     once = F.col("rel").isin("FORKED_BY", "OPENED_BY", "CLOSED_BY")
-    nth = F.row_number().over(Window.partitionBy("epoch_id", "src", "dst", "rel").orderBy("event_id"))
+    nth = F.row_number().over(Window.partitionBy("epoch_id", "pid", "src", "dst", "rel").orderBy("event_id"))  # one end of these is the process itself
     rows = rows.withColumn("nth", nth).where(~once | (F.col("nth") == 1)).drop("nth")
     if unlink_twice:
         rows = rows.withColumn("copy", F.explode(F.when(F.col("syscall") == 87, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
@@ -33,14 +33,15 @@ def edges(resolved: DataFrame, unlink_twice: bool = False) -> DataFrame:
 
 def nodes(edge_table: DataFrame) -> DataFrame:
     """(epoch_id, node, kind) of the nodes of edges."""
-    every = edge_table.select("epoch_id", F.col("src").alias("node")).unionByName(edge_table.select("epoch_id", F.col("dst").alias("node"))).distinct()
+    every = edge_table.select("epoch_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     kind = F.when(F.col("node") == SOCKET, "socket").when(F.col("node").startswith("p"), "process").otherwise("inode")
     return every.withColumn("kind", kind)
 
 
 def degrees(edge_table: DataFrame) -> DataFrame:
     """(epoch_id, node, n_out, n_in)."""
-    ends = edge_table.select("epoch_id", F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edge_table.select("epoch_id", F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    end = lambda node, o, i: F.struct(F.col(node).alias("node"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edge_table.select("epoch_id", F.inline(F.array(end("src", 1, 0), end("dst", 0, 1))))
     return ends.groupBy("epoch_id", "node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
@@ -50,23 +51,27 @@ def without_events(edge_table: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def runs(resolved: DataFrame) -> DataFrame:
-    """(epoch_id, event_id, pid, op, object, is_socket, run, rn, n, last_run) of reads and writes.
+    """(epoch_id, event_id, pid, fd, syscall, op, object, is_socket, run, rn, n, last_run, repeated) of reads, writes, openings and closings.
 
     A run of accesses of one (process, object, operation) is broken by a write of the object by anyone (for reads) or a read of anything by the process.
+    ``repeated`` are openings and closings after the first of a (file, process), which have no run.
     """
     call = F.col("syscall")
-    rows = resolved.where(call.isin(0, 1) & F.col("file").isNotNull() | call.isin(44, 45)).select(
-        "epoch_id", "event_id", "pid", F.when(call.isin(0, 45), "r").otherwise("w").alias("op"), F.when(call.isin(0, 1), F.concat(F.lit("i"), F.col("file").cast("string"))).otherwise(SOCKET).alias("object"), call.isin(44, 45).alias("is_socket")
+    op = F.when(call.isin(0, 45), "r").when(call.isin(1, 44), "w").when(call == 2, "o").otherwise("c")
+    rows = resolved.where(call.isin(0, 1, 2, 3) & F.col("file").isNotNull() | call.isin(44, 45)).select(
+        "epoch_id", "event_id", "pid", "fd", "syscall", op.alias("op"), F.when(call.isin(44, 45), SOCKET).otherwise(F.concat(F.lit("i"), F.col("file").cast("string"))).alias("object"), call.isin(44, 45).alias("is_socket")
     )
+    io, at = F.col("op").isin("r", "w"), F.col("event_id")
     pair = Window.partitionBy("epoch_id", "pid", "object", "op").orderBy("event_id")
     before = lambda key: Window.partitionBy("epoch_id", key).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("prev", F.lag("event_id").over(pair))
-    rows = rows.withColumn("lw", F.max(F.when(F.col("op") == "w", F.col("event_id"))).over(before("object"))).withColumn("lr", F.max(F.when(F.col("op") == "r", F.col("event_id"))).over(before("pid")))
+    rows = rows.withColumn("lw", F.max(F.when(F.col("op") == "w", at)).over(before("object")))  # by object first: all windows after it are a process's
+    rows = rows.withColumn("lr", F.max(F.when(F.col("op") == "r", at)).over(before("pid"))).withColumns({"prev": F.lag("event_id").over(pair), "nth": F.row_number().over(pair)})
     broken = F.col("prev").isNotNull() & ((F.coalesce("lr", F.lit(-1)) > F.col("prev")) | ((F.col("op") == "r") & (F.coalesce("lw", F.lit(-1)) > F.col("prev"))))
-    rows = rows.withColumn("run", F.sum(broken.cast("int")).over(pair))
+    rows = rows.withColumn("run", F.when(io, F.sum(broken.cast("int")).over(pair)))
     one = Window.partitionBy("epoch_id", "pid", "object", "op", "run")
-    rows = rows.withColumn("rn", F.row_number().over(one.orderBy("event_id"))).withColumn("n", F.count(F.lit(1)).over(one))
-    return rows.withColumn("last_run", F.max("run").over(Window.partitionBy("epoch_id", "pid", "object", "op"))).drop("prev", "lw", "lr")
+    rows = rows.withColumn("last_run", F.max("run").over(Window.partitionBy("epoch_id", "pid", "object", "op")))
+    rows = rows.withColumn("rn", F.when(io, F.row_number().over(one.orderBy("event_id")))).withColumn("n", F.when(io, F.count(F.lit(1)).over(one)))
+    return rows.withColumn("repeated", ~io & (F.col("nth") > 1)).drop("prev", "lw", "lr", "nth")
 
 
 def repeats(resolved: DataFrame) -> DataFrame:

@@ -29,6 +29,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys into enough parts that a task's part stays small, however well the rows are compressed on the way: parts of a given number are not joined again."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize`."""
     spark = df.sparkSession

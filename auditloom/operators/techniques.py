@@ -36,21 +36,18 @@ def context(resolved: DataFrame) -> Context:
 # -- windows ------------------------------------------------------------------------------------------------------------
 def redundant_io(ctx: Context) -> DataFrame:
     """Repeated openings and closings, and the inside of runs of file reads and writes."""
-    inside = graph.runs(ctx.resolved).where("not is_socket and rn > 1 and rn < n").select(*KEY)
-    return inside.unionByName(graph.repeats(ctx.resolved))
+    return graph.runs(ctx.resolved).where("repeated or (not is_socket and rn > 1 and rn < n)").select(*KEY)
 
 
 def iburst(ctx: Context) -> DataFrame:
     """The inside of file runs, both sides of breaks between runs (of files and sockets), and repeated openings and closings."""
     hit = "(not is_socket and rn > 1 and rn < n) or (rn = n and run < last_run) or (rn = 1 and run > 0)"
-    return graph.runs(ctx.resolved).where(hit).select(*KEY).unionByName(graph.repeats(ctx.resolved))
+    return graph.runs(ctx.resolved).where(f"repeated or {hit}").select(*KEY)
 
 
 def approx_at_once(ctx: Context) -> DataFrame:
     """Repeated openings, accesses of the standard descriptors and the inside of socket runs."""
-    standard = ctx.resolved.where(F.col("syscall").isin(0, 1, 3) & F.col("fd").between(0, 2)).select(*KEY)
-    sockets = graph.runs(ctx.resolved).where("is_socket and rn > 1 and rn < n").select(*KEY)
-    return standard.unionByName(sockets).unionByName(graph.repeats(ctx.resolved)).distinct()
+    return graph.runs(ctx.resolved).where("repeated or (syscall in (0, 1, 3) and fd between 0 and 2) or (is_socket and rn > 1 and rn < n)").select(*KEY)
 
 
 def unsupported(ctx: Context) -> DataFrame:

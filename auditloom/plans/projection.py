@@ -39,7 +39,8 @@ def audit_lines(events: DataFrame) -> DataFrame:
 
     Some events have no end record, and a path record may be up to eight seconds later than its event.
     """
-    stamp = lambda late: F.format_string("msg=audit(%d.000001:%d):", F.col("sec") + late, "event_id")
+    plain = lambda number: F.coalesce(number.cast("string"), F.lit("null"))
+    stamp = lambda late: F.concat(F.lit("msg=audit("), plain(F.col("sec") + late), F.lit(".000001:"), plain(F.col("event_id")), F.lit("):"))
     now, k = stamp(F.lit(0)), F.col("k")
     cwd = F.concat(F.lit("/home/u"), F.col("user_id").cast("string"))
     name, call = file_name(F.col("inode")), F.col("syscall")

@@ -86,7 +86,7 @@ def run_epochs(lines: DataFrame, handle: Callable[[DataFrame, int], None], check
         rows = df.where("value <> ''")
         rows = rows.withColumn("entry_id", F.col("start") + inside.bitwiseAND(F.lit((1 << 33) - 1))) if "start" in df.columns else rows.withColumn("entry_id", inside)
         rows = rows if "epoch_id" in df.columns else rows.withColumn("epoch_id", F.lit(number).cast("long"))
-        handle(sessions.resolve(sessions.events_of(sessions.sessionize(sessions.parse(rows.select("entry_id", "epoch_id", "value"))))), number)
+        handle(sessions.resolve(sessions.events_of(sessions.sessionize(sessions.with_fields(sessions.parse(rows.select("entry_id", "epoch_id", "value")))))), number)
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
