@@ -24,16 +24,16 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.events_of(sessions.sessionize(entries(spark, sf_dir)))
+    return sessions.events_of(sessions.sessionize(sessions.with_fields(entries(spark, sf_dir))))
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.drop_unresolved(sessions.resolve(events(spark, sf_dir)))
 
 
-def settled(spark: SparkSession, sf_dir: str) -> techniques.Context:
-    """The context with its tables written once, for operators that read them many times."""
-    rows = materialize(resolved(spark, sf_dir), "resolved")
+def settled(spark: SparkSession, sf_dir: str, *fields: str) -> techniques.Context:
+    """The context with its tables written once, for operators that read them many times; of an event's other fields only those named."""
+    rows = materialize(resolved(spark, sf_dir).select("epoch_id", "event_id", "syscall", "pid", "ppid", "fd", "file", *fields), "resolved")
     return techniques.Context(rows, materialize(graph.edges(rows), "edges"), keywords=KEYWORDS, pairs=PAIRS)
 
 
@@ -98,9 +98,9 @@ def node_degree(spark, sf_dir):
 
 
 # -- techniques --------------------------------------------------------------------------------------------------------------
-def _dropped(technique, settle=False):
+def _dropped(technique, settle=False, fields=()):
     def query(spark, sf_dir):
-        return technique((settled if settle else context)(spark, sf_dir)).select("epoch_id", "event_id")
+        return technique(settled(spark, sf_dir, *fields) if settle else context(spark, sf_dir)).select("epoch_id", "event_id")
 
     return query
 
@@ -110,11 +110,11 @@ def repeat_open_close(spark, sf_dir):
 
 
 def induction_freq(spark, sf_dir):
-    return techniques.induction_frequencies(settled(spark, sf_dir))
+    return techniques.induction_frequencies(settled(spark, sf_dir, "program"))
 
 
 def grammar(spark, sf_dir):
-    return techniques.grammar(settled(spark, sf_dir))
+    return techniques.grammar(settled(spark, sf_dir, "program", "cwd", "path"))
 
 
 def fap(spark, sf_dir):
@@ -126,7 +126,7 @@ def template_mine(spark, sf_dir):
 
 
 def nodemerge(spark, sf_dir):
-    ctx = settled(spark, sf_dir)
+    ctx = settled(spark, sf_dir, "exe")
     return techniques.nodemerge(ctx, materialize(techniques.mine_templates(techniques.frequent_accesses(ctx)), "templates"))
 
 
@@ -135,7 +135,7 @@ def tag_seed(spark, sf_dir):
 
 
 def tag_trace(spark, sf_dir):
-    return techniques.tag(settled(spark, sf_dir))
+    return techniques.tag(settled(spark, sf_dir, "message", "cwd", "path"))
 
 
 def wildcard_cluster(spark, sf_dir):
@@ -144,7 +144,7 @@ def wildcard_cluster(spark, sf_dir):
 
 
 def approx(spark, sf_dir):
-    return techniques.decide(settled(spark, sf_dir), ["APPROX"]).drop("technique")
+    return techniques.decide(settled(spark, sf_dir, "cwd", "path"), ["APPROX"]).drop("technique")
 
 
 def reduced_log(spark, sf_dir):
@@ -224,7 +224,7 @@ def _decided(spark, sf_dir):
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _study:
         _study.clear()
-        ctx = settled(spark, sf_dir)
+        ctx = settled(spark, sf_dir, "message", "cwd", "path", "program", "exe", "seconds", "size_bytes")
         _study[key] = ctx, materialize(techniques.decide(ctx, MATRIX), "decided")
     return _study[key]
 
@@ -337,7 +337,7 @@ def queries() -> dict:
         "audit_parse": audit_parse, "audit_fields": audit_fields, "sessionize": sessionize, "event_size": event_size, "fd_resolve": fd_resolve, "drop_unresolved": drop_unresolved, "drop_virtual": drop_virtual,
         "kernel_rules": kernel_rules, "epoch_counters": epoch_counters, "edges": edges, "edges_unlink_twice": edges_unlink_twice, "nodes": nodes, "node_degree": node_degree,
         "redundant_io": _dropped(techniques.redundant_io), "iburst": _dropped(techniques.iburst), "repeat_open_close": repeat_open_close, "unsupported": _dropped(techniques.unsupported),
-        "approx_at_once": _dropped(techniques.approx_at_once), "induction_freq": induction_freq, "induction": _dropped(techniques.induction, True), "grammar": grammar, "fap": fap, "template_mine": template_mine, "nodemerge": nodemerge,
+        "approx_at_once": _dropped(techniques.approx_at_once), "induction_freq": induction_freq, "induction": _dropped(techniques.induction, True, ["program"]), "grammar": grammar, "fap": fap, "template_mine": template_mine, "nodemerge": nodemerge,
         "tag_seed": tag_seed, "tag_trace": tag_trace, "dpreserve_sd": _dropped(lambda ctx: closure.dpreserve_sd(ctx.edges), True), "dpreserve_fd": _dropped(lambda ctx: closure.dpreserve_fd(ctx.edges), True),
         "log_gc_batch": _dropped(techniques.log_gc_batch, True), "log_gc": _dropped(techniques.log_gc), "wildcard_cluster": wildcard_cluster, "approx": approx, "levenshtein_pairs": levenshtein_pairs, "dir_distance": dir_distance,
         "open_flags": open_flags, "proctitle": proctitle, "ipv4": ipv4, "uuid_octal": uuid_octal, "account_record": account_record, "bursting": bursting, "decision_rows": decision_rows, "dedup_lines": dedup_lines, "epoch_tumbling": epoch_tumbling, "decision_matrix": decision_matrix, "confusion_matrix": confusion_matrix,
